@@ -49,26 +49,26 @@ def hash_rank(
     count of the lower buckets.  No task ever sorts a whole group, so one group
     holding most of the table is still spread over 16**digits buckets.
     """
-    by = list(by)
+    groups = ", ".join([*by, "_bucket"])
+    within = f"partition by {', '.join([*by, '0'])}"  # at most 16**digits rows per group
     bucketed = df.withColumn("_bucket", F.substring(hash_column, 1, digits))
-    sizes = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    # at most 16**digits rows per group
-    below = W.partitionBy(*by, F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *by,
-        "_bucket",
-        F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_offset"),
-        F.sum("_size").over(W.partitionBy(*by, F.lit(0))).alias("_count"),
+    offsets = (
+        bucketed.groupBy(*by, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .selectExpr(
+            *by,
+            "_bucket",
+            f"coalesce(sum(_size) over ({within} order by _bucket rows between unbounded preceding and 1 preceding), 0L)"
+            " AS _offset",
+            f"sum(_size) over ({within}) AS _count",
+        )
     )
-    local = W.partitionBy(*by, "_bucket").orderBy(hash_column, tie)
-    out = (
-        bucketed.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [*by, "_bucket"])
-        .withColumn(rank, (F.col("_local") + F.col("_offset")).cast("bigint"))
+    ranked = bucketed.selectExpr(
+        "*", f"row_number() over (partition by {groups} order by {hash_column}, {tie}) AS _local"
+    ).join(offsets, [*by, "_bucket"])
+    return ranked.selectExpr(
+        *df.columns, f"_local + _offset AS {rank}", *([f"_count AS {count}"] if count else [])
     )
-    if count:
-        out = out.withColumn(count, F.col("_count").cast("bigint"))
-    return out.drop("_bucket", "_local", "_offset", "_count")
 
 
 def first_per_group(

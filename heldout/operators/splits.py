@@ -31,22 +31,21 @@ def _validate(df: DataFrame, columns: Sequence[str], validate: bool) -> None:
         guard_complete(df, columns)
 
 
-def three_way(rank: Column, count: Column, validation: float, test: float) -> Column:
+def three_way(rank: str, count: str, validation: float, test: float) -> Column:
     """Split of the group at ``rank`` out of ``count``: test first, then validation.
 
-    When nothing would be left for training, test shrinks first and then
-    validation.  Fewer than three groups cannot be split.
+    Counts are rounded half to even, at least one each.  When nothing would be
+    left for training, test shrinks first and then validation.  Fewer than
+    three groups cannot be split.
     """
-    v = half_even_count(count, validation)
-    t = half_even_count(count, test)
-    t2 = F.when(t + v >= count, F.greatest(F.lit(1), count - v - 1)).otherwise(t)
-    v3 = F.when(t2 + v >= count, F.lit(1)).otherwise(v)
-    t3 = F.when(t2 + v >= count, count - 2).otherwise(t2)
-    return (
-        F.when(count < 3, F.raise_error(F.lit("a three-way split needs at least three groups")))
-        .when(rank <= t3, "test")
-        .when(rank <= t3 + v3, "validation")
-        .otherwise("train")
+    v = f"greatest(1L, cast(bround({count} * {float(validation)!r}D, 0) as bigint))"
+    t = f"greatest(1L, cast(bround({count} * {float(test)!r}D, 0) as bigint))"
+    t2 = f"if({t} + {v} >= {count}, greatest(1L, {count} - {v} - 1), {t})"
+    t3 = f"if({t2} + {v} >= {count}, {count} - 2, {t2})"
+    v3 = f"if({t2} + {v} >= {count}, 1L, {v})"
+    return F.expr(
+        f"case when {count} < 3 then raise_error('a three-way split needs at least three groups') "
+        f"when {rank} <= {t3} then 'test' when {rank} <= {t3} + {v3} then 'validation' else 'train' end"
     )
 
 
@@ -78,7 +77,7 @@ def group_partition(
     hashed = groups.withColumn("_hash", seeded_hash(effective, group, F.col(group)))
     ranked = hash_rank(hashed, hash_column="_hash", tie=group, by=by, rank="_rank", count="_n")
     keep = ["seed", group] + ([stratum] if stratum else [])
-    return ranked.select(*keep, three_way(F.col("_rank"), F.col("_n"), validation, test).alias(split))
+    return ranked.select(*keep, three_way("_rank", "_n", validation, test).alias(split))
 
 
 def group_holdout(

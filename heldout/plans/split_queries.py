@@ -87,13 +87,13 @@ def _(spark, d):
 
 @query("context_only_transfer", """
 WITH s AS (SELECT trial_uid, row_number() OVER w AS r, count(*) OVER (PARTITION BY subject_uid, condition_family) AS n
-  FROM (SELECT *, 'f' || k % 2 AS condition_family FROM trials WHERE context='view')
+  FROM (SELECT *, 'f' || user_id % 2 AS condition_family FROM trials WHERE context='view')
   WINDOW w AS (PARTITION BY subject_uid, condition_family ORDER BY sha256('11:context_only:' || trial_uid), trial_uid))
 SELECT trial_uid, split, 'view_to_click_context_only' AS protocol, CAST(11 AS BIGINT) AS seed FROM (
  SELECT trial_uid, CASE WHEN r <= least(greatest(1, CAST(round_even(n*0.15::DOUBLE,0) AS BIGINT)), n-1) THEN 'validation' ELSE 'train' END AS split FROM s
  UNION ALL SELECT trial_uid, CASE WHEN context='click' THEN 'test' ELSE 'excluded' END FROM trials WHERE context<>'view')""")
 def _(spark, d):
-    t = V.trials(spark, d).withColumn("condition_family", F.concat(F.lit("f"), (F.col("k") % 2).cast("string")))
+    t = V.trials(spark, d).withColumn("condition_family", F.expr("concat('f', user_id % 2)"))
     return S.context_only_transfer(t, source="view", target="click")
 
 

@@ -18,32 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trial per row of ``events``: subject = user, stimulus = the key in props."""
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    level = F.least(F.col("value"), F.lit(500.0)) / 500
-    user = F.col("user_id")
-    return e.select(
-        F.concat(F.lit("ev:"), F.col("event_id").cast("string")).alias("trial_uid"),
-        F.lit("ev").alias("dataset_id"),
-        F.concat(F.lit("u"), user.cast("string")).alias("subject_uid"),
-        F.concat(F.lit("k"), k.cast("string")).alias("stimulus_uid"),
-        F.col("event_type").alias("context"),
-        (0.5 * k / 99.0 + 0.3 * level + 0.2 * (user % 7) / 6).alias("target_valence"),
-        (0.5 * ((k * 37) % 100) / 99.0 + 0.3 * ((user * 13) % 11) / 10 + 0.2 * level).alias("target_arousal"),
-        (F.col("event_id") % 17 != 0).alias("label_available"),
-        F.col("event_id"),
-        user.alias("user_id"),
-        k.alias("k"),
-        F.col("value"),
+    e = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "event_type", "value",
+        "cast(get_json_object(props, '$.k') as bigint) AS k", "least(value, 500D) / 500 AS level",
+    )
+    return e.selectExpr(
+        "concat('ev:', event_id) AS trial_uid",
+        "'ev' AS dataset_id",
+        "concat('u', user_id) AS subject_uid",
+        "concat('k', k) AS stimulus_uid",
+        "event_type AS context",
+        "0.5D * k / 99.0D + 0.3D * level + 0.2D * (user_id % 7) / 6 AS target_valence",
+        "0.5D * ((k * 37) % 100) / 99.0D + 0.3D * ((user_id * 13) % 11) / 10 + 0.2D * level AS target_arousal",
+        "event_id % 17 <> 0 AS label_available",
+        "event_id", "user_id", "k", "value",
     )
 
 
 def trials_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same trials spread over three datasets that share no identities."""
-    t = trials(spark, sf_dir).withColumn("dataset_id", F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")))
-    for axis in ("subject_uid", "stimulus_uid"):
-        t = t.withColumn(axis, F.concat_ws(":", "dataset_id", axis))
-    return t
+    t = trials(spark, sf_dir)
+    keep = [c for c in t.columns if c not in ("dataset_id", "subject_uid", "stimulus_uid")]
+    return t.selectExpr(
+        "concat('d', user_id % 3) AS dataset_id",
+        "concat('d', user_id % 3, ':', subject_uid) AS subject_uid",
+        "concat('d', user_id % 3, ':', stimulus_uid) AS stimulus_uid",
+        *keep,
+    )
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,15 +61,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-user logs: view = cue, click = stimulus, signup = marker, purchase = rating."""
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    micros = F.unix_micros("ts")
-    return e.select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("recording"),
-        (micros / 1e6).alias("onset"),
-        F.col("event_id").alias("sample"),
-        F.col("event_type").alias("kind"),
-        k.alias("k"),
-        F.col("value"),
-        F.floor(micros / F.lit(86_400_000_000)).cast("bigint").alias("day"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('u', user_id) AS recording",
+        "unix_micros(cast(ts as timestamp)) / 1e6D AS onset",
+        "event_id AS sample",
+        "event_type AS kind",
+        "cast(get_json_object(props, '$.k') as bigint) AS k",
+        "value",
+        "unix_micros(cast(ts as timestamp)) div 86400000000 AS day",
     )
