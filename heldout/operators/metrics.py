@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from heldout.functions.checks import EvaluationError, guard_none
 from heldout.functions.formulas import ccc_from_sums, ccc_of, mae_of, rmse_of
 from heldout.functions.joins import attach_groups
+from heldout.functions.materialize import materialize
 
 
 def long_predictions(df: DataFrame, predictors: Sequence[str], names=("valence", "arousal"), keep: Sequence[str] = ()) -> DataFrame:
@@ -133,7 +134,7 @@ def additive_r2(df: DataFrame, target: str, first="subject_uid", second="stimulu
     Rows are first reduced to (first, second) cells.  One-factor fits are group
     means.  The two-factor fit alternates group means of the residuals until
     the explained sum of squares moves by less than ``tolerance`` of the total;
-    the effects are checkpointed every few sweeps so the lineage stays short.
+    the effects are written out every few sweeps so the lineage stays short.
     """
     rows = df.filter(f"{target} is not null and not isnan({target})")
     cells = rows.groupBy(first, second).agg(
@@ -159,7 +160,7 @@ def additive_r2(df: DataFrame, target: str, first="subject_uid", second="stimulu
             F.expr(f"sum(s - n * ({mean!r}D + b)) / sum(n)").alias("a")
         )
         if step % every == every - 1:
-            a = a.checkpoint()
+            a = materialize(a)
             b = attach_groups(cells, a, [first], spread=second).groupBy(second).agg(
                 F.expr(f"sum(s - n * ({mean!r}D + a)) / sum(n)").alias("b")
             )

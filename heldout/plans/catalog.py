@@ -6,7 +6,7 @@ import importlib
 
 from heldout.plans.registry import ORACLE, QUERIES
 
-FAMILIES = ("split_queries", "source_queries", "event_queries", "prior_queries")
+FAMILIES = ("split_queries", "source_queries", "event_queries", "prior_queries", "exposure_queries")
 
 for _family in FAMILIES:
     importlib.import_module(f"heldout.plans.{_family}")
