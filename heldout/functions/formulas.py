@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def ccc_of(y: str, x: str, guard: float = 0.0) -> Column:
@@ -93,20 +96,8 @@ def t_quantile(df: float, p: float = 0.975) -> float:
     return (low + high) / 2
 
 
-def t_quantile_column(df: Column, p: float = 0.975, exact_upto: int = 200) -> Column:
-    """Student-t quantile of an integer column: a literal table, then a series.
-
-    The tail uses the Cornish-Fisher expansion around the normal quantile,
-    whose error is below 1e-10 beyond 200 degrees of freedom.
-    """
-    table = F.array(*[F.lit(t_quantile(float(k), p)) for k in range(1, exact_upto + 1)])
-    z = 1.959963984540054 if p == 0.975 else None
-    if z is None:
-        raise ValueError("only the two-sided 95 % quantile is tabulated")
-    n = df.cast("double")
-    g1 = (z**3 + z) / 4
-    g2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96
-    g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
-    g4 = (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160
-    series = F.lit(z) + g1 / n + g2 / n**2 + g3 / n**3 + g4 / n**4
-    return F.when(df < 1, F.lit(None)).when(df <= exact_upto, F.element_at(table, df.cast("int"))).otherwise(series)
+@pandas_udf(DoubleType())
+def t_quantile_975(df: pd.Series) -> pd.Series:
+    """Upper 2.5 % Student-t quantile per row, computed once per distinct df in a batch."""
+    known = {v: t_quantile(float(v)) for v in df.dropna().unique() if v >= 1}
+    return df.map(known)

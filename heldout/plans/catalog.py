@@ -6,7 +6,9 @@ import importlib
 
 from heldout.plans.registry import ORACLE, QUERIES
 
-FAMILIES = ("split_queries", "source_queries", "event_queries", "prior_queries", "exposure_queries")
+FAMILIES = (
+    "split_queries", "source_queries", "event_queries", "prior_queries", "exposure_queries", "inference_queries",
+)
 
 for _family in FAMILIES:
     importlib.import_module(f"heldout.plans.{_family}")
