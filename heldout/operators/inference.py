@@ -453,6 +453,6 @@ def dose_response_summary(scores: DataFrame, keys: Sequence[str], value: str = "
         F.expr(at.format(p[-1], s[0])).alias("_end"),
     )
     half = scores.filter(F.col("stimulus_dose") == s[0]).join(base, list(keys)).filter(
-        f"_end > zero_exposure and {value} - zero_exposure >= (_end - zero_exposure) / 2"
+        f"_end > zero_exposure + 1e-12 and {value} - zero_exposure >= (_end - zero_exposure) / 2"
     ).groupBy(*keys).agg(F.min("participant_dose").alias("participant_half_gain_dose"))
     return base.drop("_end").join(half, list(keys), "left")

@@ -12,7 +12,7 @@ from heldout.functions.materialize import materialize
 from heldout.operators import inference as I
 from heldout.operators import resample as R
 from heldout.operators import splits as S
-from heldout.operators.metrics import pair_sums
+from heldout.operators.metrics import pair_sums, scores_from_sums
 from heldout.plans.prior_queries import rounded
 from heldout.plans.registry import query, view
 from heldout.sources import views as V
@@ -351,11 +351,10 @@ def _(spark, d):
 
 
 @query("dose_response_summary", """SELECT representation, predictor, round(c00,6) AS zero_exposure, round(c11,6) AS maximum_exposure, round((c00+c10+c01+c11)/4,6) AS normalized_surface_auc,
- round(c10-c00,6) AS first_participant_trial_gain, CASE WHEN c10>c00 THEN 4 END AS participant_half_gain_dose FROM corner_draws WHERE draw=0""")
+ round(c10-c00,6) AS first_participant_trial_gain, CASE WHEN c10>c00+1e-12 THEN 4 END AS participant_half_gain_dose FROM corner_draws WHERE draw=0""")
 def _(spark, d):
     p = predictions(spark, d)
     keys = [*I.CELL, "predictor"]
-    from heldout.operators.metrics import scores_from_sums
     per = scores_from_sums(pair_sums(p, ["seed", *keys, "target"]), ["seed", *keys])
     scores = materialize(per.groupBy(*keys).agg(F.avg("macro_ccc").alias("macro_ccc")))
     return rounded(I.dose_response_summary(scores, ["representation", "predictor"]))
