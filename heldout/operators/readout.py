@@ -16,7 +16,7 @@ from heldout.operators import gram as G
 from heldout.operators import metrics as M
 from heldout.operators import priors as P
 
-ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
+ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 TARGETS = ("target_valence", "target_arousal")
 PREDICTORS = ("prior", "prior_personalized", "eeg_population", "eeg_personalized", "combined_population", "combined_personalized")
 

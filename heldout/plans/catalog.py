@@ -9,6 +9,7 @@ from heldout.plans.registry import ORACLE, QUERIES
 FAMILIES = (
     "split_queries", "source_queries", "event_queries", "prior_queries", "exposure_queries", "inference_queries",
     "evidence_queries",
+    "readout_queries",
 )
 
 for _family in FAMILIES:
