@@ -10,6 +10,7 @@ FAMILIES = (
     "split_queries", "source_queries", "event_queries", "prior_queries", "exposure_queries", "inference_queries",
     "evidence_queries",
     "readout_queries",
+    "signal_queries",
 )
 
 for _family in FAMILIES:

@@ -139,9 +139,11 @@ def _(spark, d):
 
 
 NUISANCE_SQL = """
-WITH x AS (SELECT trial_uid, stimulus_uid, split, generate_subscripts(embedding,1) AS p, unnest(embedding)::DOUBLE AS x FROM assigned JOIN features USING (trial_uid)),
-g AS (SELECT stimulus_uid, p, count(*) n, sum(x) s FROM x WHERE split='train' GROUP BY 1,2)
-SELECT trial_uid, split, round(sum((x.x-0.5::DOUBLE*CASE WHEN split='train' THEN (s-x.x)/(n-1) ELSE s/n END)*sqrt(p::DOUBLE)),5) AS signature FROM x JOIN g USING (stimulus_uid, p) WHERE split<>'validation' GROUP BY 1,2"""
+WITH e AS MATERIALIZED (SELECT vec_id, generate_subscripts(embedding,1) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings),
+a AS MATERIALIZED (SELECT trial_uid, stimulus_uid, split, event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM assigned WHERE split<>'validation'),
+g AS MATERIALIZED (SELECT stimulus_uid, p, count(*) n, sum(x) s FROM a JOIN e USING (vec_id) WHERE split='train' GROUP BY 1,2)
+SELECT a.trial_uid, a.split, round(sum((e.x-0.5::DOUBLE*CASE WHEN a.split='train' THEN (g.s-e.x)/(g.n-1) ELSE g.s/g.n END)*sqrt(e.p::DOUBLE)),5) AS signature
+FROM a JOIN e ON a.vec_id=e.vec_id JOIN g ON g.stimulus_uid=a.stimulus_uid AND g.p=e.p GROUP BY 1,2"""
 
 
 @query("remove_group_nuisance", NUISANCE_SQL)
@@ -214,3 +216,17 @@ def _(spark, d):
 def _(spark, d):
     rows = described_features(spark, d).drop("stimulus_uid").withColumn("stimulus_uid", F.expr("concat('k', cast(substring(trial_uid, 2) as bigint) % 100)"))
     return rounded(D.subspace_curve(rows, categories=["lang", "source"], text=None, components=(0, 2, 8), alphas=ALPHAS))
+
+
+@query("audit_bundle")
+def _(spark, d):
+    """Every section of the end-to-end audit with its row count and the coverage facts."""
+    from heldout.operators.bundle import audit_bundle
+
+    tables = audit_bundle(V.trials(spark, d), V.features(spark, d), p_doses=(0, 4), s_doses=(0, 4), seed=11, draws=100, validate=False)
+    out = None
+    for name, df in tables.items():
+        part = df.agg(F.count(F.lit(1)).alias("value")).selectExpr(f"'{name}' AS section", "'rows' AS item", "value")
+        out = part if out is None else out.unionByName(part)
+    report = tables["coverage_report"]
+    return out.unionByName(report.unpivot([], report.columns, "item", "value").selectExpr("'coverage_report' AS section", "item", "value"))
