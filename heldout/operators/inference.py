@@ -116,8 +116,9 @@ def score_draws(long: DataFrame, *, draws: int, seed: int, validate: bool = True
     if validate:
         check_grid(long)
     keys = [*CELL, "predictor"]
-    n = long.select("seed").distinct().count()
-    return materialize(R.mean_over_splits(R.crossed_bootstrap(long, keys, draws=draws, seed=seed), keys, n))
+    sums = R.pair_table(long, keys, ["subject_uid", "stimulus_uid"])
+    n = sums.select("seed").distinct().count()
+    return materialize(R.mean_over_splits(R.crossed_bootstrap(sums, keys, draws=draws, seed=seed), keys, n))
 
 
 def added_value_analysis(draws: DataFrame, *, method: str = "percentile", df: int | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 Rows are never resampled.  Predictions are first reduced to sums per (split,
 subject, stimulus) pair; a draw is a weighted sum of those with the product of
 the two identities' multiplicities, taken for all draws at once as one matrix
-product per Arrow batch.  Only (split, draw) sums are shuffled.
+product per Arrow batch.  Only (split, draw) sums are shuffled
+after it.
 
 Multiplicities come from hashes: slot j of draw b picks identity
 ``sha256(seed:b:axis:j) mod n``, so a draw is the same on any cluster.
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 
 from heldout.functions.checks import EvaluationError
 from heldout.functions.hashing import hash_rank, seeded_hash
-from heldout.functions.joins import attach_groups
 from heldout.functions.materialize import materialize
 from heldout.operators.metrics import SUMS, pair_sums
 
@@ -62,12 +62,11 @@ def shared_multiplicities(
     return counts.join(ids.select(*by, "_r", column), [*by, "_r"]).select(*by, "draw", column, "m")
 
 
-def _arrays(m: DataFrame, column: str, draws: int, by: Sequence[str], name: str) -> DataFrame:
-    """Multiplicities per identity as one array over draws; position 0 is the observed sample."""
-    entries = m.groupBy(*by, column).agg(F.map_from_entries(F.collect_list(F.struct("draw", "m"))).alias("_m"))
-    return entries.selectExpr(
-        *by, column, f"concat(array(1), transform(sequence(1, {draws}), b -> coalesce(_m[b], 0))) AS {name}"
-    )
+def _lists(m: DataFrame, column: str, by: Sequence[str], name: str) -> DataFrame:
+    """The draws of an identity and its multiplicities, as two lists of at most one entry per draw."""
+    return m.groupBy(*by, column).agg(
+        F.collect_list(F.struct(F.col("draw").cast("int").alias("d"), F.col("m").cast("int").alias("m"))).alias("_e")
+    ).selectExpr(*by, column, f"transform(_e, e -> e.d) AS {name}_d", f"transform(_e, e -> e.m) AS {name}_m")
 
 
 def _accumulate(cells: int, length: int):
@@ -80,10 +79,16 @@ def _accumulate(cells: int, length: int):
             split = batch.column("_split").to_numpy(zero_copy_only=False)
 
             def weights(name, n=n, batch=batch):
-                return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(n, length).astype(float)
+                """Multiplicities of every row and draw; position 0 is the observed sample."""
+                draws = batch.column(f"{name}_d")
+                dense = np.zeros((n, length))
+                row = np.repeat(np.arange(n), draws.value_lengths().to_numpy(zero_copy_only=False))
+                dense[row, draws.flatten().to_numpy(zero_copy_only=False)] = batch.column(f"{name}_m").flatten().to_numpy(zero_copy_only=False)
+                dense[:, 0] = 1.0
+                return dense
 
             w = weights("_wa")
-            if "_wb" in batch.schema.names:
+            if "_wb_d" in batch.schema.names:
                 w = w * weights("_wb")
             pos = batch.column("_pos")
             where = pos.flatten().to_numpy(zero_copy_only=False)
@@ -148,22 +153,25 @@ def _score(targets: int, guard: float):
     return run
 
 
+def pair_table(long: DataFrame, cells: Sequence[str], axes: Sequence[str], *, split: str = "seed") -> DataFrame:
+    """Additive sums per (split, identities, cell, target): all a bootstrap needs of the predictions."""
+    return materialize(pair_sums(long, [split, *axes, *cells, "target"]))
+
+
 def split_draws(
-    long: DataFrame, cells: Sequence[str], *, draws: int, multiplicities: dict[str, DataFrame], split: str = "seed",
+    sums: DataFrame, cells: Sequence[str], *, draws: int, multiplicities: dict[str, DataFrame], split: str = "seed",
     mult_by: Sequence[str] = (), guard: float = 1e-15,
 ) -> DataFrame:
-    """Macro CCC and MAE of every (split, draw, cell); draw 0 is the observed sample.
+    """Macro CCC and MAE of every (split, draw, cell) of a ``pair_table``; draw 0 is the observed sample.
 
-    ``long`` holds ``(split, cells, target, y, yhat)`` and the identity columns
-    named by ``multiplicities`` (one or two axes).
+    ``multiplicities`` names one or two identity axes.
     """
     axes = list(multiplicities)
-    sums = pair_sums(long, [split, *axes, *cells, "target"])
-    sums = materialize(sums)
     # the grid of cells and targets is small by construction
-    grid = sorted(tuple(r) for r in sums.select(*cells).distinct().collect())
-    targets = sorted(r[0] for r in sums.select("target").distinct().collect())
-    spark = long.sparkSession
+    grid = sorted(tuple(r) for r in sums.select(*cells, "target").distinct().collect())
+    targets = sorted({g[-1] for g in grid})
+    grid = sorted({g[:-1] for g in grid})
+    spark = sums.sparkSession
     types = dict(sums.dtypes)
     cell_table = spark.createDataFrame(
         [(i, *g) for i, g in enumerate(grid)], "_cell int, " + ", ".join(f"{c} {types[c]}" for c in cells)
@@ -171,16 +179,16 @@ def split_draws(
     target_table = spark.createDataFrame(list(enumerate(targets)), "_target int, target string")
     stats = ", ".join(SUMS)
     packed = (
-        sums.join(cell_table, list(cells)).join(target_table, "target")
+        sums.join(F.broadcast(cell_table), list(cells)).join(F.broadcast(target_table), "target")
         .selectExpr(split, *axes, f"_cell * {len(targets)} + _target AS p", f"array({stats}) AS v")
         .groupBy(split, *axes).agg(F.collect_list("p").alias("_pos"), F.collect_list("v").alias("_sums"))
     )
+    names = []
     for axis, name in zip(axes, ("_wa", "_wb")):
-        packed = attach_groups(packed, _arrays(multiplicities[axis], axis, draws, mult_by, name), [*mult_by, axis], spread=None)
-        # an identity never drawn still counts in the observed sample
-        packed = packed.withColumn(name, F.expr(f"coalesce({name}, concat(array(1), array_repeat(0, {draws})))"))
-    names = ["_wa", "_wb"][: len(axes)]
-    rows = packed.select(F.col(split).cast("bigint").alias("_split"), *names, "_pos", "_sums")
+        # an identity never drawn has no entry but still counts in the observed sample
+        packed = packed.join(_lists(multiplicities[axis], axis, mult_by, name), [*mult_by, axis], "left")
+        names += [f"coalesce({name}_{x}, cast(array() as array<int>)) AS {name}_{x}" for x in "dm"]
+    rows = packed.selectExpr(f"cast({split} as bigint) AS _split", *names, "_pos", "_sums")
     width = len(grid) * len(targets)
     partial = rows.mapInArrow(_accumulate(width, draws + 1), "_split bigint, draw int, sums array<double>")
     scored = partial.repartition("_split", "draw").mapInArrow(
@@ -198,16 +206,17 @@ def mean_over_splits(scores: DataFrame, keys: Sequence[str], splits: int) -> Dat
 
 def cluster_bootstrap(long: DataFrame, cells: Sequence[str], cluster: str, *, draws: int, seed: int, split: str = "seed") -> DataFrame:
     """Scores under resampled whole clusters."""
-    m = shared_multiplicities(long, cluster, axis=cluster, draws=draws, seed=seed)
-    return split_draws(long, cells, draws=draws, multiplicities={cluster: m}, split=split)
+    sums = pair_table(long, cells, [cluster], split=split)
+    m = shared_multiplicities(sums, cluster, axis=cluster, draws=draws, seed=seed)
+    return split_draws(sums, cells, draws=draws, multiplicities={cluster: m}, split=split)
 
 
 def crossed_bootstrap(
-    long: DataFrame, cells: Sequence[str], *, first="subject_uid", second="stimulus_uid", draws: int, seed: int, split: str = "seed",
+    sums: DataFrame, cells: Sequence[str], *, first="subject_uid", second="stimulus_uid", draws: int, seed: int, split: str = "seed",
 ) -> DataFrame:
-    """Scores under independent multiplicities of both identities."""
-    ms = {c: shared_multiplicities(long, c, axis=c, draws=draws, seed=seed) for c in (first, second)}
-    return split_draws(long, cells, draws=draws, multiplicities=ms, split=split)
+    """Scores of a ``pair_table`` under independent multiplicities of both identities."""
+    ms = {c: shared_multiplicities(sums, c, axis=c, draws=draws, seed=seed) for c in (first, second)}
+    return split_draws(sums, cells, draws=draws, multiplicities=ms, split=split)
 
 
 def seed_choices(long: DataFrame, *, draws: int, seed: int, split: str = "seed") -> DataFrame:
@@ -230,9 +239,9 @@ def nested_draws(
     One row per (draw, slot, cell); draw 0 holds each split's observed score in
     its own slot.  With ``retries`` a crossed draw that leaves no row is redrawn.
     """
-    choices = materialize(seed_choices(long, draws=draws, seed=seed, split=split))
+    sums = pair_table(long, cells, clusters, split=split)
+    choices = materialize(seed_choices(sums, draws=draws, seed=seed, split=split))
     slots = choices.agg(F.max("slots")).first()[0]
-    long = materialize(long.select(split, *clusters, *cells, "target", "y", "yhat"))
     # a pseudo-draw is one (draw, slot); it only concerns the split it chose
     pseudo = choices.selectExpr("draw AS outer_draw", "slot", split, f"cast((draw - 1) * {slots} + slot + 1 as int) AS draw")
     total = draws * slots
@@ -241,16 +250,16 @@ def nested_draws(
     for attempt in range(retries + 1):
         tag = f":{attempt}" if attempt else ""
         ms = {
-            c: shared_multiplicities(long, c, axis=f"{c}{tag}", draws=total, seed=seed, by=[split], choices=pending.select(split, "draw"))
+            c: shared_multiplicities(sums, c, axis=f"{c}{tag}", draws=total, seed=seed, by=[split], choices=pending.select(split, "draw"))
             for c in clusters
         }
-        scores = split_draws(long, cells, draws=total, multiplicities=ms, split=split, mult_by=[split])
+        scores = split_draws(sums, cells, draws=total, multiplicities=ms, split=split, mult_by=[split])
         scores = materialize(scores)
         chosen = scores.join(pending, [split, "draw"]).selectExpr(
             "outer_draw AS draw", "slot", split, *cells, "macro_ccc", "macro_mae", "weight"
         )
         if attempt == 0:
-            observed = scores.filter("draw = 0").join(_indexed(long, split, "split", ()).select(split, "_r"), split).selectExpr(
+            observed = scores.filter("draw = 0").join(_indexed(sums, split, "split", ()).select(split, "_r"), split).selectExpr(
                 "0 AS draw", "cast(_r - 1 as int) AS slot", split, *cells, "macro_ccc", "macro_mae", "weight"
             )
             out = observed.unionByName(chosen)
