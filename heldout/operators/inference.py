@@ -27,14 +27,14 @@ CELL = ("representation", "participant_dose", "stimulus_dose")
 
 def sign_flip_pvalue(differences: DataFrame, keys: Sequence[str], value: str, *, limit: int = 20) -> DataFrame:
     """Exact two-sided sign-flip p-value over all 2**n sign vectors, n at most 20."""
-    # at most ``limit`` values per comparison are gathered, more is an error
-    packed = differences.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.expr(f"count_if({value} is null or isnan({value}))").alias("bad"),
-        F.expr(f"if(count(*) <= {limit}, sort_array(collect_list({value})), null)").alias("v"),
+    sizes = differences.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"count_if({value} is null or isnan({value}))").alias("bad")
     )
+    guard_none(sizes.filter(f"n > {limit} or bad > 0"), f"sign-flip needs 1 to {limit} finite differences")
+    # at most ``limit`` values per comparison from here on
+    packed = differences.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(value)).alias("v"))
     flips = packed.selectExpr(
-        *keys, "n", "v",
-        f"if(n > {limit} or bad > 0, raise_error('sign-flip needs 1 to {limit} finite differences'), abs(aggregate(v, 0D, (a, x) -> a + x)) / n) AS observed",
+        *keys, "n", "v", "abs(aggregate(v, 0D, (a, x) -> a + x)) / n AS observed",
         "explode(sequence(0, cast(shiftleft(1, cast(n as int)) as int) - 1)) AS signs",
     ).selectExpr(
         *keys, "observed",

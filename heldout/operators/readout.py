@@ -65,11 +65,11 @@ def condition_models(rows: DataFrame, *, group: str, alphas: Sequence[float] = A
         fit = rows.filter(cond)
         rows = P.group_mean_prior(fit, rows, group, targets).withColumnsRenamed({f"prior_{n}": f"{phase}_{n}" for n in names})
     rows = materialize(rows.selectExpr(
-        "*", f"{_array(targets)} AS y", f"{_array([f'sel_{n}' for n in names])} AS prior_sel", f"{_array([f'fit_{n}' for n in names])} AS prior_fit",
+        "*", f"{_array(targets)} AS _y", f"{_array([f'sel_{n}' for n in names])} AS prior_sel", f"{_array([f'fit_{n}' for n in names])} AS prior_fit",
         "'all' AS one",
-    ).selectExpr("*", "zip_with(y, prior_sel, (a, b) -> a - b) AS r_sel", "zip_with(y, prior_fit, (a, b) -> a - b) AS r_fit"))
+    ).selectExpr("*", "zip_with(_y, prior_sel, (a, b) -> a - b) AS r_sel", "zip_with(_y, prior_fit, (a, b) -> a - b) AS r_fit"))
     t = len(targets)
-    both = rows.selectExpr("*", "concat(y, r_sel, r_fit) AS _all")
+    both = rows.selectExpr("*", "concat(_y, r_sel, r_fit) AS _all")
     shift = G.feature_shift(both)
     m = G.moments(both.filter(inside["fit"]), "split", "_all", shift=shift)
 
@@ -81,7 +81,7 @@ def condition_models(rows: DataFrame, *, group: str, alphas: Sequence[float] = A
     chosen, scores = {}, []
     for name, lo, offset in (("eeg_only", 0, "_none"), ("prior_plus_eeg_residual", t, "prior_sel")):
         models = {"all": G.stack([G.ridge(part(m["train"], lo), a) for a in alphas])}
-        e = G.validation_errors(held, models, "one", y="y", offset=offset, targets=t)["all"]
+        e = G.validation_errors(held, models, "one", y="_y", offset=offset, targets=t)["all"]
         chosen[name] = alphas[best(e, range(len(e)))]
         scores += [(name, float(a), float(v)) for a, v in zip(alphas, e)]
     final = {"all": G.stack([G.ridge(part(fit, 0), chosen["eeg_only"]), G.ridge(part(fit, 2 * t), chosen["prior_plus_eeg_residual"])])}

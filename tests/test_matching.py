@@ -34,8 +34,7 @@ def fixture(rng, n_train, n_add, contexts, levels):
 CASES = [(40, 15, "ab", 4, 64), (60, 30, "aab", 1, 4), (25, 20, "abc", 3, 2), (50, 45, "ab", 30, 8)]
 
 
-@pytest.mark.parametrize("case", range(len(CASES)))
-@pytest.mark.parametrize("one_task_rows", [10**6, 0])
+@pytest.mark.parametrize("case,one_task_rows", [(0, 10**6), (1, 10**6), (2, 10**6), (3, 10**6), (2, 0)])
 def test_donors_equal_sequential_greedy(spark, case, one_task_rows):
     n_train, n_add, contexts, levels, length = CASES[case]
     train, adds = fixture(random.Random(case), n_train, n_add, contexts, levels)
@@ -63,7 +62,7 @@ def greedy_cover(rows, seed):
     return {**{u: "test" for u in test}, **{u: "train" for u in chosen + rest[:k]}, **{u: "validation" for u in rest[k:k + n["validation"]]}}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_cover_equals_sequential_greedy(spark, seed):
     rng = random.Random(seed)
     rows = {f"r{i}": (f"u{rng.randrange(9)}", f"k{rng.randrange(7)}", rng.choice(["train"] * 6 + ["validation", "test", "excluded"])) for i in range(120)}
