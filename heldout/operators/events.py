@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from heldout.functions.checks import guard_none, guard_unique, require_columns
 from heldout.functions.joins import attach_groups, ordered_scan
+from heldout.functions.materialize import materialize
 
 # Fixed trigger codes: conditions by stimulus code; the cue code is the stimulus code minus 6.
 CONDITIONS = {
@@ -286,13 +287,14 @@ def prompted_chain(events: DataFrame, *, chunk: str = "chunk") -> DataFrame:
     A valid recording repeats prompt, stimulus, scale and confirmation.  Scale
     and confirmation rows before the first prompt are leading orphans.
     """
-    parsed = parse_key_value_events(events)
-    rows = parsed.selectExpr(
+    # the text is parsed once; the scan below reads the parsed columns several times
+    rows = parse_key_value_events(events).selectExpr(
         "recording", "line", "onset", f"{chunk} AS _chunk", "valid",
         "case fields['event'] when 'anchorsPresented' then 'prompt' when 'presentedStimulus' then 'stimulus' "
         "when 'scalePresented' then 'scale' when 'optionConfirmed' then 'confirm' end AS kind",
         "fields['stimulus'] AS stimulus", "fields['scale'] AS scale", "try_cast(fields['response'] as double) AS response",
     )
+    rows = materialize(rows)
     here = "struct(line, onset, stimulus, scale)"
     scanned = ordered_scan(
         rows, by=["recording"], chunk="_chunk", order=["line"],

@@ -92,21 +92,27 @@ def degrees_of_freedom(long: DataFrame, split: str = "seed") -> tuple[int, int,
 
 def check_grid(long: DataFrame, split: str = "seed") -> None:
     """Every cell must hold the same trials and the same truth as every other."""
-    per = long.groupBy(split, *CELL, "predictor", "target").agg(
-        support_digest().alias("d"), F.expr("sum(cast(xxhash64(trial_uid, y) as decimal(38,0)))").alias("y"),
-        F.expr("count(*) - count(distinct trial_uid)").alias("repeated"),
-    )
-    same = per.groupBy(split, "target").agg(
-        F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("y").alias("ylo"), F.max("y").alias("yhi"), F.max("repeated").alias("r")
-    )
-    guard_none(same.filter("lo <> hi or ylo <> yhi or r > 0"), "models or cells do not share truth and test support")
-    cells = per.select(split, *CELL, "predictor").distinct()
-    sizes = cells.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(c) for c in (split, *CELL, "predictor")]).first()
+    axes = [split, *CELL, "predictor"]
+    # one small row per cell: exact sums of row hashes stand for its set of trials and truths
+    per = materialize(long.groupBy(*axes, "target").agg(
+        F.count(F.lit(1)).alias("n"), F.expr("sum(cast(xxhash64(trial_uid) as decimal(38,0)))").alias("d"),
+        F.expr("sum(cast(xxhash64(trial_uid, y) as decimal(38,0)))").alias("y"),
+    ))
+    same = per.groupBy(split, "target").agg(*[f(c).alias(f"{n}_{c}") for c in ("n", "d", "y") for n, f in (("lo", F.min), ("hi", F.max))])
+    guard_none(same.filter("lo_n <> hi_n or lo_d <> hi_d or lo_y <> hi_y"), "models or cells do not share truth and test support")
+    cells = per.select(*axes).distinct()
+    sizes = cells.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(c) for c in axes]).first()
     expected = 1
-    for c in (split, *CELL, "predictor"):
+    for c in axes:
         expected *= sizes[c]
     if sizes.n != expected:
         raise EvaluationError(f"grid holds {sizes.n} of {expected} cells")
+    # all cells hold the same rows, so one of them shows a repeated trial
+    one = per.select(*CELL, "predictor", "target").first().asDict()
+    only = long
+    for c, v in one.items():
+        only = only.filter(F.col(c) == v)
+    guard_none(only.groupBy(split, "trial_uid").count().filter("count > 1"), "duplicate trial in a grid cell")
 
 
 def score_draws(long: DataFrame, *, draws: int, seed: int, validate: bool = True) -> DataFrame:
