@@ -182,10 +182,20 @@ def resolve_claims(claims: DataFrame, table: DataFrame) -> DataFrame:
     ``table`` is ``(table, row_id, column, text, number)``.  A row is selected
     if it meets every condition of the selector.
     """
-    conditions = claims.selectExpr("claim_id", "table", "size(where) AS _need", "explode(where) AS (column, text)")
-    hits = conditions.join(table.select("table", "row_id", "column", "text"), ["table", "column", "text"]).groupBy(
-        "claim_id", "table", "row_id", "_need"
-    ).agg(F.count(F.lit(1)).alias("_met")).filter("_met = _need")
+    # selectors use few distinct column sets; all columns of a set are matched in one equi-join
+    sets = [r[0] for r in claims.select(F.sort_array(F.map_keys("where")).alias("k")).distinct().collect()]
+    hits = None
+    for columns in sets:
+        names = [f"_c{i}" for i in range(len(columns))]
+        quoted = ", ".join("'" + c.replace("'", "\\'") + "'" for c in columns)
+        mine = claims.filter(f"sort_array(map_keys(where)) = cast(array({quoted}) as array<string>)").select(
+            "claim_id", "table", *[F.col("where")[c].alias(n) for c, n in zip(columns, names)]
+        )
+        rows = table.groupBy("table", "row_id").agg(
+            *[F.max(F.when(F.col("column") == c, F.col("text"))).alias(n) for c, n in zip(columns, names)], F.lit(1).alias("_one")
+        )
+        part = mine.join(rows, ["table", *names]).select("claim_id", "table", "row_id")
+        hits = part if hits is None else hits.unionByName(part)
     values = hits.join(claims.select("claim_id", F.col("value_column").alias("column")), "claim_id").join(
         table.select("table", "row_id", "column", "number"), ["table", "row_id", "column"]
     )

@@ -93,17 +93,17 @@ def _grid(level: Column | str, *coordinates: str) -> list[str]:
     return [f"cast(floor({c} * shiftleft(1, {level})) as int)" for c in coordinates]
 
 
-def _candidates(additions: DataFrame, donors: DataFrame, block: Sequence[str], targets: Sequence[str]) -> DataFrame:
+def _candidates(additions: DataFrame, donors: DataFrame, block: Sequence[str], targets: Sequence[str], limit: int) -> DataFrame:
     """The ``want`` nearest donors of each addition inside its block, ties by pair hash.
 
     Donors are counted on nested grids.  An addition searches the finest grid
     whose 3x3 neighbourhood holds enough donors: all of its nearest donors then
     lie in the 7x7 neighbourhood, which is joined by cell.  No pair outside it
-    is formed.
+    is formed, and many donors at one point are cut to ``limit`` (no ``want``
+    exceeds it) piece by piece.
     """
     u, v = targets[0], targets[-1]
     box = donors.agg(*[f(c).alias(f"_{n}_{i}") for i, c in enumerate((u, v)) for n, f in (("lo", F.min), ("hi", F.max))])
-    unit = [f"if(_hi_{i} > _lo_{i}, ({c} - _lo_{i}) / (_hi_{i} - _lo_{i}) * 0.999999D, 0D) AS _g{i}" for i, c in enumerate((u, v))]
     # both axes share one scale, so that a cell has the same side in each
     span = "greatest(_hi_0 - _lo_0, _hi_1 - _lo_1)"
     unit = [f"if({span} > 0, ({c} - _lo_{i}) / {span} * 0.999999D, 0D) AS _g{i}" for i, c in enumerate((u, v))]
@@ -134,8 +134,8 @@ def _candidates(additions: DataFrame, donors: DataFrame, block: Sequence[str], t
     pairs = search.join(keyed, [*block, "level", "x", "y"]).selectExpr(
         *dict.fromkeys(["seed", "dose_seed", "stimulus_dose", "trial_uid", "donor_uid", "want"]), f"sqrt({square}) AS distance",
     ).withColumn("_tie", seeded_hash(F.col("dose_seed"), "donor", F.col("trial_uid"), F.col("donor_uid")))
-    return pairs.selectExpr(
-        "*", "row_number() over (partition by seed, stimulus_dose, trial_uid order by distance, _tie, donor_uid) AS choice"
+    return first_per_group(
+        pairs, by=["seed", "stimulus_dose", "trial_uid"], order=["distance", "_tie", "donor_uid"], limit=limit, rank="choice", spread="donor_uid", salts=16
     ).filter("choice <= want").drop("_tie")
 
 
@@ -206,12 +206,12 @@ def match_donors(
     length = list_length
     spill = False
     while True:
-        lists = _candidates(a.withColumn("want", F.least(F.col("turn"), F.lit(length).cast("bigint"))), donors, block, targets)
+        lists = _candidates(a.withColumn("want", F.least(F.col("turn"), F.lit(length).cast("bigint"))), donors, block, targets, length)
         if spill:
             # additions whose own context is exhausted continue with the other contexts' donors
             wide = _candidates(
                 a.withColumn("want", F.least(F.col("overall"), F.lit(length).cast("bigint"))).drop(context),
-                donors.drop(context), ["seed"], targets,
+                donors.drop(context), ["seed"], targets, length,
             )
             wide = wide.join(lists.select(*key, "trial_uid", "donor_uid"), [*key, "trial_uid", "donor_uid"], "left_anti")
             own = lists.groupBy(*key, "trial_uid").agg(F.max("choice").alias("_own"))
