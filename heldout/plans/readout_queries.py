@@ -15,7 +15,7 @@ from heldout.operators import semantics as S
 from heldout.operators import splits as SP
 from heldout.plans.exposure_queries import DOSES
 from heldout.plans.prior_queries import rounded
-from heldout.plans.registry import query
+from heldout.plans.registry import query, view
 from heldout.sources import views as V
 
 ALPHAS = (1.0, 100.0)
@@ -68,6 +68,21 @@ def _(spark, d):
     return rounded(_evaluated(spark, d)[0])
 
 
+view("cell_fit", "SELECT participant_dose AS p, stimulus_dose AS s, t.* FROM cell_rows JOIN trials t USING (trial_uid) WHERE split IN ('train','validation')")
+
+
+@query("cell_priors", """
+WITH m AS (SELECT p, s, stimulus_uid, avg(target_valence) v, avg(target_arousal) a FROM cell_fit GROUP BY ALL), g AS (SELECT p, s, avg(target_valence) gv, avg(target_arousal) ga FROM cell_fit GROUP BY ALL),
+r AS (SELECT c.participant_dose AS p, c.stimulus_dose AS s, c.split, t.trial_uid, t.subject_uid, t.target_valence, t.target_arousal, coalesce(v,gv) AS pv, coalesce(a,ga) AS pa
+  FROM cell_rows c JOIN trials t USING (trial_uid) JOIN g ON g.p=c.participant_dose AND g.s=c.stimulus_dose LEFT JOIN m ON m.p=c.participant_dose AND m.s=c.stimulus_dose AND m.stimulus_uid=t.stimulus_uid WHERE c.split IN ('test','calibration')),
+o AS (SELECT p, s, subject_uid, avg(target_valence-pv) ov, avg(target_arousal-pa) oa FROM r WHERE split='calibration' GROUP BY ALL)
+SELECT r.p AS participant_dose, r.s AS stimulus_dose, trial_uid, round(pv,6) AS prior_valence, round(pa,6) AS prior_arousal, round(pv+coalesce(ov,0),6) AS prior_personalized_valence, round(pa+coalesce(oa,0),6) AS prior_personalized_arousal
+FROM r LEFT JOIN o ON o.p=r.p AND o.s=r.s AND o.subject_uid=r.subject_uid WHERE r.split='test'""")
+def _(spark, d):
+    out = _evaluated(spark, d)[0]
+    return rounded(out.select("participant_dose", "stimulus_dose", "trial_uid", *[f"{p}_{n}" for p in ("prior", "prior_personalized") for n in ("valence", "arousal")]))
+
+
 @query("condition_models")
 def _(spark, d):
     return rounded(R.condition_models(labelled(spark, d), group="context", alphas=ALPHAS)[0])
@@ -91,10 +106,27 @@ def _(spark, d):
     return rounded(B.tuned_probe(labelled(spark, d), "label", alphas=ALPHAS))
 
 
+def _nearest(spark, d):
+    rows = materialize(labelled(spark, d))
+    return B.nearest_centroid_probe(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "label")
+
+
 @query("nearest_centroid_probe")
 def _(spark, d):
-    rows = materialize(labelled(spark, d))
-    return rounded(B.nearest_centroid_probe(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "label"))
+    return rounded(_nearest(spark, d))
+
+
+@query("nearest_centroid_accuracy", """
+WITH e AS MATERIALIZED (SELECT vec_id, label, generate_subscripts(embedding,1) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings),
+a AS MATERIALIZED (SELECT split, vec_id, count(*) AS c FROM (SELECT split, event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM assigned WHERE split<>'validation') GROUP BY 1,2),
+st AS MATERIALIZED (SELECT p, sum(c*x)/sum(c) AS m, sqrt(sum(c*x*x)/sum(c)-pow(sum(c*x)/sum(c),2)) AS s FROM a JOIN e USING (vec_id) WHERE split='train' GROUP BY 1),
+ce AS MATERIALIZED (SELECT label, p, sum(c*(x-m)/s)/sum(c) AS z FROM a JOIN e USING (vec_id) JOIN st USING (p) WHERE split='train' GROUP BY 1,2),
+ds AS (SELECT vec_id, c, e.label, ce.label AS guess, avg(pow((x-m)/s-z,2)) AS d FROM a JOIN e USING (vec_id) JOIN st USING (p) JOIN ce USING (p) WHERE split='test' GROUP BY ALL),
+g AS (SELECT vec_id, c, label, arg_min(guess, d) AS guess FROM ds GROUP BY ALL),
+r AS (SELECT label, sum(CASE WHEN guess=label THEN c ELSE 0 END)/sum(c) AS recall, sum(c) AS n, sum(CASE WHEN guess=label THEN c ELSE 0 END) AS h FROM g GROUP BY 1)
+SELECT round(sum(h)/sum(n),6) AS accuracy, round(avg(recall),6) AS balanced_accuracy FROM r""")
+def _(spark, d):
+    return rounded(_nearest(spark, d).filter("labels = 'observed'").select("accuracy", "balanced_accuracy"))
 
 
 def _grams(spark, d):

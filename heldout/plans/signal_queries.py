@@ -58,7 +58,20 @@ def bandpower(spark, d):
     return G.log_bandpower(whole, fs=100.0, window_s=1.0)
 
 
-@query("log_bandpower")
+@query("log_bandpower", """
+WITH d AS MATERIALIZED (SELECT 'r'||(substr(recording,2)::BIGINT%15) AS trial_uid, value, k::DOUBLE AS k, row_number() OVER (PARTITION BY substr(recording,2)::BIGINT%15 ORDER BY onset, sample)-1 AS pos,
+  count(*) OVER (PARTITION BY substr(recording,2)::BIGINT%15) AS len FROM event_log),
+c AS (SELECT trial_uid, 'a' AS channel, pos, value AS v, len, least(len,100) AS s FROM d UNION ALL SELECT trial_uid, 'b', pos, k, len, least(len,100) FROM d),
+g AS (SELECT c.trial_uid, max(c.len) AS len, max(c.s) AS s, max(c.s-c.s//2) AS step, max((c.len-c.s//2)//(c.s-c.s//2)) AS nw FROM c GROUP BY 1),
+wi AS (SELECT trial_uid, s, step, unnest(range(nw)) AS w FROM g),
+x AS MATERIALIZED (SELECT c.trial_uid, channel, w, wi.s, pos-w*step AS t, v-avg(v) OVER (PARTITION BY c.trial_uid, channel, w) AS x, 0.5-0.5*cos(2*pi()*(pos-w*step)/wi.s) AS h
+  FROM c JOIN wi ON wi.trial_uid=c.trial_uid AND pos>=w*step AND pos<w*step+wi.s),
+f AS (SELECT trial_uid, s, unnest(range(1, s//2+1)) AS f FROM g),
+p AS (SELECT x.trial_uid, channel, w, f, f*100.0::DOUBLE/x.s AS hz, (pow(sum(x*h*cos(2*pi()*f*t/x.s)),2)+pow(sum(x*h*sin(2*pi()*f*t/x.s)),2))/(100*sum(h*h))*CASE WHEN 2*f=x.s THEN 1 ELSE 2 END AS pw, 100.0::DOUBLE/x.s AS df
+  FROM x JOIN f ON f.trial_uid=x.trial_uid GROUP BY x.trial_uid, channel, w, f, x.s),
+b AS (SELECT * FROM (VALUES ('delta',1.0,4.0),('theta',4.0,8.0),('alpha',8.0,13.0),('beta',13.0,30.0),('gamma',30.0,45.0)) AS v(band, lo, hi)),
+z AS (SELECT trial_uid, channel, w, band, max(df)*(sum(pw)-(arg_min(pw,f)+arg_max(pw,f))/2) AS area FROM p JOIN b ON hz>=lo AND hz<hi GROUP BY ALL)
+SELECT trial_uid, channel, band, round(ln(avg(area)),6) AS value FROM z GROUP BY ALL""")
 def _(spark, d):
     return rounded(bandpower(spark, d))
 
