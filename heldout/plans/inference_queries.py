@@ -313,7 +313,17 @@ def _(spark, d):
     return rounded(out.filter("kind = 'condition'").select("kind", "name", "candidate", "estimate", "ci_low", "ci_high"))
 
 
-@query("strategy_contrasts")
+@query("strategy_contrasts", f"""
+WITH t AS (SELECT seed, subject_uid, context, sum(CASE WHEN model='prior' THEN -abs(yhat-y) ELSE abs(yhat-y) END)/2 AS d FROM one_cell WHERE context IN ('view','click') GROUP BY seed, trial_uid, subject_uid, context),
+s AS (SELECT seed, subject_uid, coalesce(sum(d) FILTER (context='view'),0) va, count_if(context='view') na, coalesce(sum(d) FILTER (context='click'),0) vb, count_if(context='click') nb FROM t GROUP BY ALL),
+i AS MATERIALIZED (SELECT seed, subject_uid, row_number() OVER (PARTITION BY seed ORDER BY sha256('subject_uid:'||subject_uid), subject_uid) r, count(*) OVER (PARTITION BY seed) n FROM s),
+ch AS (SELECT outer_draw*1000000+slot AS draw, outer_draw, seed FROM seed_choice),
+p AS (SELECT seed, draw, outer_draw, ('0x'||substr(sha256('{SEED}:'||draw||':subject_uid:'||(r-1)),1,15))::BIGINT % n + 1 AS r, count(*) m FROM i JOIN ch USING (seed) GROUP BY ALL),
+d AS (SELECT outer_draw, draw, sum(m*va)/nullif(sum(m*na),0)-sum(m*vb)/nullif(sum(m*nb),0) AS v FROM p JOIN i USING (seed, r) JOIN s USING (seed, subject_uid) GROUP BY ALL
+ UNION ALL SELECT 0, seed, sum(va)/sum(na)-sum(vb)/sum(nb) FROM s GROUP BY seed),
+g AS (SELECT outer_draw AS draw, CASE WHEN count(v)=count(*) THEN avg(v) END AS v FROM d GROUP BY 1)
+SELECT 'contrast' AS kind, 'view-click' AS name, 'shifted' AS candidate, round(max(CASE WHEN draw=0 THEN v END),6) AS estimate, round(quantile_cont(CASE WHEN draw>0 THEN v END,0.025),6) AS ci_low,
+ round(quantile_cont(CASE WHEN draw>0 THEN v END,0.975),6) AS ci_high, count(CASE WHEN draw>0 THEN v END) AS valid_bootstrap FROM g""")
 def _(spark, d):
     wide = one_cell(spark, d).groupBy("seed", "trial_uid", "subject_uid", "context").agg(*[
         F.expr(f"max(case when model = '{m}' and target = '{n}' then {v} end)").alias(a)
@@ -321,7 +331,7 @@ def _(spark, d):
         for m, v, a in (("prior", "y", f"target_{n}"), ("prior", "yhat", f"base_{n}"), ("combined_population", "yhat", f"shifted_{n}"))
     ])
     out = I.condition_effects(wide, baseline="base", candidates=["shifted"], draws=B, seed=SEED, contrasts=[("view-click", "view", "click")])
-    return rounded(out.filter("kind = 'contrast'"))
+    return rounded(out.filter("kind = 'contrast'").drop("p_value"))
 
 
 def selector_tables(spark, d):
@@ -344,7 +354,30 @@ def _(spark, d):
     return rounded(I.fit_selector(selector_tables(spark, d)[0]))
 
 
-@query("evaluate_selector")
+view("selector_choice", """
+WITH cc AS (SELECT participant_dose, stimulus_dose, arg_min(candidate, struct_pack(a := -score, b := candidate)) AS cell_choice FROM selector_scores GROUP BY 1,2)
+SELECT participant_dose, stimulus_dose, cell_choice, (SELECT arg_min(candidate, struct_pack(a := -score, b := candidate)) FROM (SELECT candidate, avg(score) AS score FROM selector_scores GROUP BY 1)) AS global_choice FROM cc""")
+view("selector_test", """SELECT p.*, predictor=cell_choice AS is_cell, predictor=global_choice AS is_global FROM preds p JOIN selector_choice USING (participant_dose, stimulus_dose)
+ WHERE representation='a_pretrained' AND seed IN (2,3,4) AND predictor IN (cell_choice, global_choice)""")
+view("selector_subject", mult_sql("selector_test", "subject_uid", B))
+view("selector_stimulus", mult_sql("selector_test", "stimulus_uid", B))
+view("selector_deltas", f"""
+WITH w AS (SELECT 0 AS draw, subject_uid, stimulus_uid, 1 AS w FROM (SELECT DISTINCT subject_uid, stimulus_uid FROM selector_test)
+  UNION ALL SELECT a.draw, subject_uid, stimulus_uid, a.m*b.m FROM selector_subject a JOIN selector_stimulus b USING (draw)),
+s AS (SELECT draw, seed, participant_dose, stimulus_dose, is_cell, is_global, target, {W} FROM selector_test JOIN w USING (subject_uid, stimulus_uid) GROUP BY ALL),
+c AS (SELECT draw, seed, participant_dose, stimulus_dose, is_cell, is_global, avg({CCC}) AS ccc, avg(sae/n) AS mae FROM s GROUP BY ALL),
+m AS (SELECT draw, participant_dose, stimulus_dose, is_cell, is_global, CASE WHEN count(ccc)=3 THEN avg(ccc) END AS ccc, CASE WHEN count(mae)=3 THEN avg(mae) END AS mae FROM c GROUP BY ALL)
+SELECT a.draw, participant_dose, stimulus_dose, unnest(['ccc','mae']) AS metric, unnest([a.ccc-b.ccc, a.mae-b.mae]) AS v FROM (SELECT * FROM m WHERE is_cell) a JOIN (SELECT * FROM m WHERE is_global) b USING (draw, participant_dose, stimulus_dose)""")
+
+
+@query("evaluate_selector", f"""
+WITH o AS (SELECT participant_dose, stimulus_dose, metric, v AS o FROM selector_deltas WHERE draw=0),
+e AS (SELECT metric, draw, CASE WHEN count(v)=count(*) THEN max(abs(v-o)) END AS e FROM selector_deltas JOIN o USING (participant_dose, stimulus_dose, metric) WHERE draw>0 GROUP BY 1,2),
+r AS (SELECT metric, quantile_cont(e, 0.95) AS radius FROM e GROUP BY 1),
+b AS ({interval_sql('selector_deltas', 'participant_dose, stimulus_dose, metric', 'v')}),
+h AS (SELECT metric, draw, CASE WHEN count(v)=count(*) THEN avg(v) END AS v FROM selector_deltas GROUP BY 1,2), hb AS ({interval_sql('h', 'metric', 'v')})
+SELECT participant_dose, stimulus_dose, metric, round(estimate,6) AS estimate, round(q[1],6) AS ci_low, round(q[2],6) AS ci_high, valid_bootstrap, round(radius,6) AS radius FROM b JOIN r USING (metric)
+UNION ALL SELECT NULL, NULL, metric, round(estimate,6), round(q[1],6), round(q[2],6), valid_bootstrap, NULL FROM hb""")
 def _(spark, d):
     validation, test = selector_tables(spark, d)
     return rounded(I.evaluate_selector(materialize(I.fit_selector(validation)), validation, test, draws=B, seed=SEED))
