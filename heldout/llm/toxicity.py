@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heldout.llm.text import WordHash, bound_batches, held_out, labelled_sample, plain, row_udf, words_of
+from heldout.llm.text import bound_batches, held_out, labelled_sample, plain, row_udf
 
 SAMPLE_ROWS = 10_000  # labelled documents that the network learns from, at most
 SAMPLE_WORDS = 3_000  # longer documents are scored whole but not learned from
-BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 16, 8, 6, (1, 2, 3)
+BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 18, 8, 6, (1, 2, 3)
+STEM = 4  # leading letters that the second embedding of a word hashes
 PAD = max(WIDTHS) - 1
 _SLOTS = [(w, k) for w in WIDTHS for k in range(w)]
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: bytes) -> list[str]:
+    """Runs of letters in lower case, so that marks around a word don't make it another."""
+    return _LETTERS.findall(text.decode("utf-8", "replace").lower())
+
+
+class WordHash(dict):
+    """Two 32-bit hashes of each word, of all its letters and of its stem, in one number."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        value = self[word] = xxhash.xxh32_intdigest(word) | xxhash.xxh32_intdigest(word[:STEM], 1) << 32
+        return value
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 @dataclass
 class Network:
-    """Two hashed embeddings per word, convolutions of several widths, max pooling, one logistic layer."""
+    """Two hashed embeddings per word, of the word and of its stem, convolutions of several widths, max pooling, one logistic layer."""
 
     first: np.ndarray
     second: np.ndarray
@@ -53,7 +77,7 @@ class Network:
 
 def _spots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(BUCKETS - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(24)) & mask).astype(np.int64)
+    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -80,7 +104,8 @@ def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int =
     """
     rng = np.random.default_rng(seed)
     net = Network(
-        rng.normal(0, 0.02, (BUCKETS, DIMS)).astype(np.float32), rng.normal(0, 0.02, (BUCKETS, DIMS)).astype(np.float32),
+        rng.normal(0, 0.02, (BUCKETS, DIMS)).astype(np.float32),
+        rng.normal(0, 0.02, (BUCKETS, DIMS)).astype(np.float32),
         {w: rng.normal(0, 0.3, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS}, {w: np.zeros(FILTERS, np.float32) for w in WIDTHS},
         np.zeros(len(WIDTHS) * FILTERS + 1, np.float64), 0.0,
     )
@@ -149,12 +174,12 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        self.spot: dict[bytes, int] = {}
+        self.spot: dict[str, int] = {}
         self.table = np.zeros((1, len(_SLOTS), FILTERS), np.float32)
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         out = []
-        group: list[list[bytes]] = []
+        group: list[list[str]] = []
         size = 0
         for text in texts:
             words = words_of(text)
@@ -167,7 +192,7 @@ class Scorer:
             out.append(self._group(group))
         return np.concatenate(out) if out else np.zeros(0)
 
-    def _group(self, group: list[list[bytes]]) -> np.ndarray:
+    def _group(self, group: list[list[str]]) -> np.ndarray:
         if len(self.spot) > self.most:
             self.reset()
         new = [w for w in dict.fromkeys(w for words in group for w in words) if w not in self.spot]
