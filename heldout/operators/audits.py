@@ -17,11 +17,19 @@ CONTRACT = ("subject_holdout", "stimulus_holdout", "validation_trial_holdout", "
 LISTS = (*ROLES, *[f"{p}_{r}" for p in PREDICTORS for r in RESOURCES])
 _SCHEMA_NAME = {
     **{r: f"{r}_uid_schema" for r in ROLES[:4]}, "preprocessing_fit": "preprocessing_evidence", "model_selection": "selection_evidence",
-    **{f"{p}_{r}": f"{p}_{r}_trial_uids" for p in PREDICTORS for r in RESOURCES},
+    **{f"{p}_{r}": f"{p}_{'population_label' if r == 'population' else r}_trial_uids" for p in PREDICTORS for r in RESOURCES},
 }
+#: How a declared support digest was made: the order-free sums, or SHA-256 of the sorted identifiers one per line.
+SUPPORT_KINDS = ("order_free", "sorted_lines")
 
 
-def workflow_checks(trials: DataFrame, lists: DataFrame, executions: DataFrame, *, extended: bool = True) -> DataFrame:
+def _line_digest(lists: DataFrame) -> DataFrame:
+    """SHA-256 of the sorted test identifiers, one per line; it has to gather the test list of an execution."""
+    ids = lists.filter("role = 'test'").groupBy("execution_id").agg(F.array_sort(F.collect_set("trial_uid")).alias("_ids"))
+    return ids.select("execution_id", F.sha2(F.array_join("_ids", "\n"), 256).alias("actual_lines"))
+
+
+def workflow_checks(trials: DataFrame, lists: DataFrame, executions: DataFrame, *, extended: bool = True, gather_support: bool = False) -> DataFrame:
     """All checks of all executions as ``(execution_id, check, status)``.
 
     ``lists(execution_id, role, trial_uid)`` holds every supplied list member.
@@ -30,6 +38,13 @@ def workflow_checks(trials: DataFrame, lists: DataFrame, executions: DataFrame,
     ``unsupported_fields``, ``expected_support`` and the two
     ``additional_{predictor}`` name lists.  Everything is counted in two
     aggregations: per (execution, trial) and per (execution, identity).
+
+    A trial table with an absent, blank or repeated ``trial_uid`` blocks every
+    execution by the single check ``trial_schema``.  ``support_kind``, if the
+    column is there, says how ``expected_support`` was made (``SUPPORT_KINDS``;
+    null means order-free).  Digests of sorted lines need all test identifiers
+    of an execution in one place: they are checked if ``gather_support`` says
+    so and are unverifiable otherwise, as are unknown kinds.
     """
     known = trials.select("trial_uid", "subject_uid", "stimulus_uid").withColumn("_known", F.lit(True))
     member = lists.groupBy("execution_id", "trial_uid").agg(*[F.expr(f"count_if(role = '{r}')").alias(r) for r in LISTS])
@@ -64,8 +79,13 @@ def workflow_checks(trials: DataFrame, lists: DataFrame, executions: DataFrame,
         facts = facts.join(overlap, "execution_id", "left")
     support = lists.filter("role = 'test'").select("execution_id", "trial_uid").distinct().groupBy("execution_id").agg(support_digest().alias("actual_support"))
     rows = executions.join(facts, "execution_id", "left").join(support, "execution_id", "left")
+    uids = trials.groupBy("trial_uid").agg(F.count(F.lit(1)).alias("_n"))
+    sound = uids.agg(F.expr("coalesce(bool_and(_n = 1 and trim(coalesce(trial_uid, '')) <> ''), true)").alias("trials_sound"))
     blank = trials.agg(*[F.expr(f"count_if(trim(coalesce({a}_uid, '')) = '')").alias(f"blank_{a}") for a in ("subject", "stimulus")])
-    rows = rows.crossJoin(blank)
+    rows = rows.crossJoin(blank).crossJoin(sound)
+    rows = rows.join(_line_digest(lists), "execution_id", "left") if gather_support else rows.withColumn("actual_lines", F.lit(None).cast("string"))
+    if "support_kind" not in executions.columns:
+        rows = rows.withColumn("support_kind", F.lit(None).cast("string"))
     ok = {r: f"(array_contains(declared, '{r}') and coalesce(bad_{r}, 0) = 0)" for r in LISTS}
     checks: list[tuple[str, str]] = []
 
@@ -113,7 +133,8 @@ def workflow_checks(trials: DataFrame, lists: DataFrame, executions: DataFrame,
             role_ok = {"calibration": ok["calibration"], "evaluation": ok["test"], "population": "true"}[res]
             same_role = f"({usable} or coalesce(r_{res}, 0) = 0)" if res == "population" else f"({role_ok} and coalesce(r_{res}, 0) = 0)"
             clear = "true" if res == "evaluation" else f"(not {ok['test']} or coalesce(t_{res}, 0) = 0)"
-            add(f"matched_{res}_trial_uids", f"{supplied} and {ok[a]} and {ok[b]}", f"coalesce(d_{res}, 0) = 0 and {same_role} and {clear}")
+            name = "population_label" if res == "population" else res
+            add(f"matched_{name}_trial_uids", f"{supplied} and {ok[a]} and {ok[b]}", f"coalesce(d_{res}, 0) = 0 and {same_role} and {clear}")
         checks.append((
             "matched_additional_label_resources",
             f"case when not {supplied} then null when additional_no_eeg is null or additional_eeg is null then 'unverifiable' "
@@ -122,12 +143,16 @@ def workflow_checks(trials: DataFrame, lists: DataFrame, executions: DataFrame,
         ))
         checks.append((
             "fixed_evaluation_support",
-            f"case when expected_support is null then 'unverifiable' when {ok['test']} then if(actual_support = expected_support, 'allow', 'block') end",
+            "case when expected_support is null then 'unverifiable' "
+            f"when coalesce(support_kind, 'order_free') = 'order_free' then if({ok['test']}, if(actual_support = expected_support, 'allow', 'block'), null) "
+            f"when support_kind = 'sorted_lines' and {str(gather_support).lower()} then if({ok['test']}, if(actual_lines = expected_support, 'allow', 'block'), null) "
+            "else 'unverifiable' end",
         ))
     structs = ", ".join(f"struct('{n}' AS check, {e} AS status)" for n, e in checks)
-    valid = rows.filter("coalesce(unsupported_fields, 0) = 0").selectExpr("execution_id", f"inline(array({structs}))").filter("status is not null")
+    valid = rows.filter("coalesce(unsupported_fields, 0) = 0 and trials_sound").selectExpr("execution_id", f"inline(array({structs}))").filter("status is not null")
     broken = rows.filter("coalesce(unsupported_fields, 0) > 0").selectExpr("execution_id", "'contract_schema' AS check", "'block' AS status")
-    return valid.unionByName(broken)
+    untold = rows.filter("coalesce(unsupported_fields, 0) = 0 and not trials_sound").selectExpr("execution_id", "'trial_schema' AS check", "'block' AS status")
+    return valid.unionByName(broken).unionByName(untold)
 
 
 def overall_status(checks: DataFrame, keys: Sequence[str] = ("execution_id",)) -> DataFrame:
@@ -138,8 +163,8 @@ def overall_status(checks: DataFrame, keys: Sequence[str] = ("execution_id",)) -
     )
 
 
-def workflow_audit(trials: DataFrame, lists: DataFrame, executions: DataFrame, *, extended: bool = True) -> DataFrame:
-    return overall_status(workflow_checks(trials, lists, executions, extended=extended))
+def workflow_audit(trials: DataFrame, lists: DataFrame, executions: DataFrame, *, extended: bool = True, gather_support: bool = False) -> DataFrame:
+    return overall_status(workflow_checks(trials, lists, executions, extended=extended, gather_support=gather_support))
 
 
 def execution_records(assignment: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -53,7 +53,8 @@ def audit_bundle(
     out["assignment"] = assignment = X.expand_cells(marks, p_doses=p_doses, s_doses=s_doses)
     out["cell_audit"] = X.cell_audit(assignment)
     out["support"] = X.support_digests(assignment)
-    out["claim_cards"] = X.claim_card(assignment.groupBy(*X.CELL).count().drop("count"))
+    isolation = X.axis_isolation(trials, assignment, list(X.AXIS_COLUMNS.values()))
+    out["claim_cards"] = X.claim_card(assignment.groupBy(*X.CELL).count().drop("count"), isolation=isolation)
     # declared calibration sets come from the compiled assignment itself
     largest = X.expand_cells(marks, p_doses=[max(p_doses)], s_doses=[max(s_doses)]).select("trial_uid", "split")
     calibration = largest.filter("split = 'calibration'").select("trial_uid")

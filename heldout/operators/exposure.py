@@ -303,68 +303,104 @@ def expand_cells(marks: DataFrame, *, p_doses, s_doses) -> DataFrame:
 CELL = ("seed", "participant_dose", "stimulus_dose")
 
 
-def support_digests(assignment: DataFrame, keys: Sequence[str] = CELL, *, listed_upto: int = 10_000) -> DataFrame:
+def support_digests(assignment: DataFrame, keys: Sequence[str] = CELL, *, listed: bool = False) -> DataFrame:
     """Digest of the test support per cell.
 
-    ``support_digest`` is order-free and aggregates at any size.
-    ``listed_sha256``, the SHA-256 of the sorted identifiers one per line, is
-    filled for supports of at most ``listed_upto`` trials.
+    ``support_digest`` is order-free and aggregates at any size.  With
+    ``listed`` the caller also asks for ``listed_sha256``, the SHA-256 of the
+    sorted identifiers one per line, for which each support is gathered whole.
     """
     test = assignment.filter("split = 'test'")
     digest = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), support_digest().alias("support_digest"))
-    small = test.join(digest.filter(F.col("n") <= listed_upto).select(*keys), list(keys), "left_semi")
-    listed = small.groupBy(*keys).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("trial_uid")), "\n"), 256).alias("listed_sha256")
-    )
-    return digest.join(listed, list(keys), "left")
+    if not listed:
+        return digest
+    lines = test.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("trial_uid")), "\n"), 256).alias("listed_sha256"))
+    return digest.join(lines, list(keys), "left")
 
 
 def axis_isolation(trials: DataFrame, assignment: DataFrame, columns: Sequence[str], keys: Sequence[str] = CELL) -> DataFrame:
-    """Per cell and column: identities complete, overlap of development and test, verified."""
+    """Per cell and column: identities complete, overlap of development and test, verified.
+
+    A column that the trials lack is an axis without identities: incomplete, its overlap unknown, and not verified.
+    """
     present = [c for c in columns if c in trials.columns]
     rows = assignment.filter("split <> 'excluded'").join(trials.select("trial_uid", *present), "trial_uid")
-    cells = ", ".join(f"struct('{c}' AS axis, cast({c} as string) AS identity)" for c in present)
+    cells = ", ".join(f"struct('{c}' AS axis, {f'cast({c} as string)' if c in present else 'cast(null as string)'} AS identity)" for c in columns)
     long = rows.selectExpr(*keys, "split", f"inline(array({cells}))")
     per = long.groupBy(*keys, "axis", "identity").agg(
         F.expr("bool_or(split <> 'test')").alias("dev"), F.expr("bool_or(split = 'test')").alias("test")
     )
     return per.groupBy(*keys, "axis").agg(
         F.expr("bool_and(coalesce(trim(identity), '') <> '')").alias("complete"), F.expr("count_if(dev and test)").alias("overlap")
-    ).selectExpr("*", "complete and overlap = 0 AS verified")
+    ).selectExpr(*keys, "axis", "complete", "if(complete, overlap, null) AS overlap", "complete and overlap = 0 AS verified")
 
 
-def claim_card(cells: DataFrame, *, stimulus_label: str = "stimulus", verified: Sequence[str] = ()) -> DataFrame:
-    """Deterministic wording, required labels and blocked claims of each cell row."""
-    extra = ", ".join(
-        f"'{text}'" for axis, text in (
-            ("session", "session-independent generalization"), ("dataset", "cross-dataset generalization"),
-            ("device", "cross-device generalization"),
-        ) if axis not in verified
-    )
-    blocked = (
+AXIS_COLUMNS = {"session": "session_uid", "dataset": "dataset_id", "device": "device_id"}
+_AXIS_CLAIMS = {"session": "session-independent generalization", "dataset": "cross-dataset generalization", "device": "cross-device generalization"}
+
+
+def claim_card(
+    cells: DataFrame, *, stimulus_label: str = "stimulus", verified: Sequence[str] = (), isolation: DataFrame | None = None,
+    axis_columns: dict[str, str] | None = None, requested: Sequence[str] = (), context: str | None = None,
+) -> DataFrame:
+    """Deterministic wording, required labels and blocked claims of each cell row.
+
+    With ``isolation``, the result of ``axis_isolation``, the axes verified in a
+    cell decide which claims that cell may make, and the card also says which
+    holdouts were ``requested``, the deployment ``context`` and what the
+    verification covers; else ``verified`` names the axes of all cells.
+    """
+    columns = {**AXIS_COLUMNS, **(axis_columns or {})}
+    names = list(cells.columns)
+    if isolation is not None:
+        held = isolation.filter("verified").groupBy(*CELL).agg(F.array_sort(F.collect_set("axis")).alias("_held"))
+        cells = cells.join(held, list(CELL), "left").withColumn("_held", F.coalesce("_held", F.array().cast("array<string>")))
+    else:
+        cells = cells.withColumn("_held", F.array(*[F.lit(columns[a]) for a in verified]).cast("array<string>"))
+    claims = ", ".join(f"if(array_contains(_held, '{columns[a]}'), null, '{text}')" for a, text in _AXIS_CLAIMS.items())
+    base = (
         "'latent or true emotion disentanglement', 'causal removal of participant or stimulus identity', "
         "'fully subject-independent prediction when participant calibration is non-zero', "
-        f"'unseen-{stimulus_label} prediction when {stimulus_label} exposure is non-zero'" + (f", {extra}" if extra else "")
+        f"'unseen-{stimulus_label} prediction when {stimulus_label} exposure is non-zero'"
     )
+    holdouts = ", ".join(f"if(array_contains(_held, '{columns[a]}'), '{a}', null)" for a in columns)
+    wanted = ", ".join(f"'{a}'" for a in requested)
+    boundary = [
+        f"filter(array({holdouts}), x -> x is not null) AS verified_holdouts", f"cast(array({wanted}) as array<string>) AS requested_holdouts",
+        "cast(null as string) AS deployment_context" if context is None else f"'{context.replace(chr(39), chr(92) + chr(39))}' AS deployment_context",
+        "'identities as supplied; aliases and pretraining are not verified' AS verification_boundary",
+    ] if isolation is not None else []
     who = "if(participant_dose = 0, 'zero labelled target-participant calibration', concat('a known participant with ', participant_dose, ' labelled calibration trials'))"
     what = f"if(stimulus_dose = 0, 'a {stimulus_label} absent from population training', concat('a {stimulus_label} represented by ', stimulus_dose, ' other-participant ratings'))"
     return cells.selectExpr(
-        *cells.columns,
+        *names,
         "concat('participant-', lpad(participant_dose, greatest(2, length(participant_dose)), '0'), '_stimulus-', lpad(stimulus_dose, greatest(2, length(stimulus_dose)), '0')) AS cell",
         f"concat('Prediction for ', {who}, ' and ', {what}, '.') AS supported_deployment",
         "participant_dose > 0 AS participant_identity_id_required", "participant_dose AS participant_labels_required",
-        "stimulus_dose AS same_stimulus_training_labels_required", f"array({blocked}) AS blocked_claims",
+        "stimulus_dose AS same_stimulus_training_labels_required",
+        f"filter(array({base}, {claims}), x -> x is not null) AS blocked_claims", *boundary,
     )
 
 
 def cell_audit(assignment: DataFrame, base_train: DataFrame | None = None) -> DataFrame:
-    """Counts per cell, donors, and whether the train size equals that of the zero-exposure cell."""
+    """Counts per cell, donors, and whether the train size is that of the base.
+
+    The base is the train rows of ``base_train`` (trial_uid, split and, if
+    seeds differ, seed), or else those of the seed's cell without exposure.
+    """
     per = assignment.groupBy(*CELL).agg(
         *[F.expr(f"count_if(split = '{s}')").alias(f"{s}_rows") for s in ("train", "validation", "calibration", "test", "excluded")],
         F.expr("count_if(role = 'train_size_matched_donor')").alias("donors"),
         F.expr("count_if(role = 'repeated_stimulus_exposure')").alias("exposures"),
     )
-    return per.selectExpr("*", "donors = exposures AS train_size_preserved")
+    if base_train is None:
+        base = per.filter("participant_dose = 0 and stimulus_dose = 0").select("seed", F.col("train_rows").alias("_base"))
+        joined = per.join(base, "seed", "left")
+    elif "seed" in base_train.columns:
+        joined = per.join(base_train.filter("split = 'train'").groupBy("seed").agg(F.count(F.lit(1)).alias("_base")), "seed", "left")
+    else:
+        joined = per.crossJoin(base_train.agg(F.expr("count_if(split = 'train')").alias("_base")))
+    return joined.selectExpr(*per.columns, "train_rows = _base AS train_size_preserved")
 
 
 def coverage_report(trials: DataFrame, assignment: DataFrame, *, fold: str = "fold") -> DataFrame:

@@ -139,7 +139,8 @@ def additive_r2(df: DataFrame, target: str, first="subject_uid", second="stimulu
     rows = df.filter(f"{target} is not null and not isnan({target})")
     cells = rows.groupBy(first, second).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(target).alias("s"), F.expr(f"sum({target} * {target})").alias("q")
-    ).persist()
+    )
+    cells = materialize(cells)
     base = cells.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).first()
     if not base.n or base.n < 2:
         raise EvaluationError("the additive summary needs at least two ratings")
@@ -171,7 +172,8 @@ def additive_r2(df: DataFrame, target: str, first="subject_uid", second="stimulu
             if previous is not None and abs(ss_both - previous) <= tolerance * max(total, 1e-300):
                 break
             previous = ss_both
-    cells.unpersist()
+    else:
+        raise EvaluationError(f"the additive fit still moves after {sweeps} sweeps; allow more sweeps or a larger tolerance")
     r1, r2, both = (x / total if total > 0 else None for x in (ss_first, ss_second, ss_both))
     data = [(int(base.n), total / (base.n - 1), r1, r2, both, None if both is None else both - r1, None if both is None else both - r2)]
     return df.sparkSession.createDataFrame(

@@ -50,12 +50,14 @@ def shared_multiplicities(
     if method == "poisson":
         u = f"conv(substring(sha2({key}, {column}), 256), 1, 13), 16, 10) / 4503599627370496D"
         cdf, term, cases = 0.0, float(np.exp(-1.0)), ""
-        for k in range(12):
+        k = 0
+        while cdf + term > cdf and term > 2.0**-54:  # to the resolution of the 52-bit uniform
             cdf += term
             cases += f" when u < {cdf!r}D then {k}"
-            term /= k + 1
+            k += 1
+            term /= k
         return spread.selectExpr(*by, "draw", column, f"{u} AS u").selectExpr(
-            *by, "draw", column, f"case{cases} else 12 end AS m"
+            *by, "draw", column, f"case{cases} else {k} end AS m"
         ).filter("m > 0")
     pick = f"cast(conv(substring(sha2({key}, _r - 1), 256), 1, 15), 16, 10) as bigint) % _n + 1 AS _r"
     counts = spread.selectExpr(*by, "draw", pick).groupBy(*by, "draw", "_r").agg(F.count(F.lit(1)).cast("int").alias("m"))

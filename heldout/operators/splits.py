@@ -71,7 +71,7 @@ def group_partition(
         groups = df.select(group, stratum).distinct()
         strata = groups.select(stratum).distinct()
         index = strata.select(stratum, (F.row_number().over(W.orderBy(stratum)) - 1).alias("_stratum_index"))
-        groups = groups.join(F.broadcast(index), stratum).withColumn("seed", seed_rows)
+        groups = groups.join(index, stratum).withColumn("seed", seed_rows)
         effective = F.col("seed") + offset + STRATUM_SEED * F.col("_stratum_index")
         by.append(stratum)
     hashed = groups.withColumn("_hash", seeded_hash(effective, group, F.col(group)))

@@ -108,13 +108,14 @@ DIGEST = f"sha256(count(*) ||':'|| {SUMS})"
 @query("support_digest", f"""SELECT CAST(11 AS BIGINT) AS seed, CAST(p AS INT) AS participant_dose, CAST(s AS INT) AS stimulus_dose, count(*) AS n, {DIGEST} AS support_digest,
  sha256(string_agg(trial_uid, chr(10) ORDER BY trial_uid)) AS listed_sha256 FROM fixed_test CROSS JOIN (SELECT unnest([0,2,4]) AS p) CROSS JOIN (SELECT unnest([0,2,4]) AS s) GROUP BY p, s""")
 def _(spark, d):
-    return X.support_digests(cells(spark, d)[1])
+    return X.support_digests(cells(spark, d)[1], listed=True)
 
 
 @query("axis_isolation", """
 WITH r AS (SELECT participant_dose, stimulus_dose, split, unnest(['context','stimulus_uid']) AS axis, unnest([context, stimulus_uid]) AS id FROM cell_rows JOIN trials USING (trial_uid) WHERE split<>'excluded'),
 g AS (SELECT participant_dose, stimulus_dose, axis, id, bool_or(split<>'test') dev, bool_or(split='test') t FROM r GROUP BY ALL)
-SELECT CAST(11 AS BIGINT) AS seed, participant_dose, stimulus_dose, axis, true AS complete, count_if(dev AND t) AS overlap, count_if(dev AND t)=0 AS verified FROM g GROUP BY ALL""")
+SELECT CAST(11 AS BIGINT) AS seed, participant_dose, stimulus_dose, axis, true AS complete, count_if(dev AND t) AS overlap, count_if(dev AND t)=0 AS verified FROM g GROUP BY ALL
+UNION ALL SELECT DISTINCT CAST(11 AS BIGINT), participant_dose, stimulus_dose, 'device_id', false, NULL, false FROM cell_rows""")
 def _(spark, d):
     t, c = cells(spark, d)
     return X.axis_isolation(t, c, ["context", "stimulus_uid", "device_id"])

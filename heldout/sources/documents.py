@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heldout.functions.checks import EvaluationError, require_columns
+from heldout.functions.materialize import materialize
 
 _NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
@@ -23,17 +25,17 @@ def flatten_json_numeric(docs: DataFrame, *, depth: int | None = None) -> DataFr
         "*", "schema_of_variant(node) AS kind"
     )
     found, tvf = [], docs.sparkSession.tvf
-    for _ in range(depth if depth is not None else 1000):
+    for _ in range(depth) if depth is not None else itertools.count():
         found.append(
             level.filter(F.col("kind").rlike(_NUMBER)).selectExpr(
                 "asset", "json_path", "cast(node as double) AS value"
             )
         )
-        nested = level.filter("kind like 'OBJECT%' or kind like 'ARRAY%'")
+        nested = materialize(level.filter("kind like 'OBJECT%' or kind like 'ARRAY%'").selectExpr("asset", "json_path", "to_json(node) AS node"))
         if depth is None and not nested.head(1):
             break
         level = (
-            nested.select("asset", "json_path", "node")
+            nested.selectExpr("asset", "json_path", "parse_json(node) AS node")
             .lateralJoin(tvf.variant_explode(F.col("node").outer()))
             .selectExpr(
                 "asset",

@@ -49,6 +49,42 @@ def test_support_digest_and_contract(base):
     assert status(base, executions=e.selectExpr("* except (additional_eeg)", "array('extra') AS additional_eeg")) == "block"
 
 
+def test_unsound_trial_tables_block(spark, base):
+    t, l, e = base
+    more = spark.createDataFrame([("a", "s9", "k9")], t.schema)
+    blank = spark.createDataFrame([(" ", "s9", "k9")], t.schema)
+    null = spark.createDataFrame([(None, "s9", "k9")], t.schema)
+    for extra in (more, blank, null):
+        checks = A.workflow_checks(t.unionByName(extra), l, e).collect()
+        assert [(r.check, r.status) for r in checks] == [("trial_schema", "block")]
+
+
+def test_kinds_of_support_digest(base):
+    import hashlib
+
+    t, l, e = base
+    right = hashlib.sha256(b"d\ne").hexdigest()
+    declared = lambda digest, kind: e.selectExpr("* except (expected_support)", f"'{digest}' AS expected_support", f"'{kind}' AS support_kind")
+    run = lambda digest, kind, gather: A.workflow_audit(t, l, declared(digest, kind), gather_support=gather).first().status
+    assert run(right, "sorted_lines", True) == "allow" and run("0" * 64, "sorted_lines", True) == "block"
+    assert run(right, "sorted_lines", False) == "unverifiable" and run(right, "other_kind", True) == "unverifiable"
+
+
+def test_absent_axis_is_not_verified(spark):
+    from heldout.operators import exposure as X
+
+    cell = "seed bigint, participant_dose int, stimulus_dose int, trial_uid string, split string"
+    rows = spark.createDataFrame([(1, 0, 0, "a", "train"), (1, 0, 0, "b", "test")], cell)
+    trials = spark.createDataFrame([("a", "s1", "d1"), ("b", "s2", "d1")], "trial_uid string, session_uid string, dataset_id string")
+    found = X.axis_isolation(trials, rows, ["session_uid", "dataset_id", "device_id"])
+    assert {r.axis: (r.complete, r.overlap, r.verified) for r in found.collect()} == {
+        "session_uid": (True, 0, True), "dataset_id": (True, 1, False), "device_id": (False, None, False),
+    }
+    card = X.claim_card(rows.select(*X.CELL).distinct(), isolation=found, requested=["device"], context="clinic's use").first()
+    assert card.verified_holdouts == ["session"] and card.requested_holdouts == ["device"] and card.deployment_context == "clinic's use"
+    assert "session-independent generalization" not in card.blocked_claims and "cross-device generalization" in card.blocked_claims
+
+
 def review(spark, **k):
     a = spark.createDataFrame([("a", "train"), ("b", "calibration"), ("c", "test"), ("d", "excluded")], "trial_uid string, split string")
     out = A.evidence_review(a, **k)
