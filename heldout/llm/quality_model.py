@@ -86,7 +86,7 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64, l2: float = 1.0, least: float = 5.0) -> Trees:
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64, l2: float = 1.0, least: int = 5) -> Trees:
     """Boost logistic loss; every split is the best one of the gradient histograms of its node.
 
     With no rows the score is 0.5, with one class that class's smoothed share.
@@ -112,9 +112,10 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, ra
             at = ((node - first)[:, None] * width * bins + cells).ravel()
             g = np.bincount(at, np.repeat(grad, width), many * width * bins).reshape(many, width, bins).cumsum(axis=2)
             h = np.bincount(at, np.repeat(hess, width), many * width * bins).reshape(many, width, bins).cumsum(axis=2)
+            rows = np.bincount(at, minlength=many * width * bins).reshape(many, width, bins).cumsum(axis=2)
             gt, ht = g[:, :, -1:], h[:, :, -1:]
             gain = g**2 / (h + l2) + (gt - g) ** 2 / (ht - h + l2) - gt**2 / (ht + l2)
-            gain[(h < least) | (ht - h < least)] = -np.inf
+            gain[(rows < least) | (rows[:, :, -1:] - rows < least)] = -np.inf
             flat = gain.reshape(many, -1)
             best = flat.argmax(axis=1)
             bin_at = np.full(many, bins)

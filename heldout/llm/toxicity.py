@@ -17,6 +17,7 @@ SAMPLE_WORDS = 3_000  # longer documents are scored whole but not learned from
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 18, 8, 6, (1, 2, 3)
 STEM = 4  # leading letters that the second embedding of a word hashes
 PAD = max(WIDTHS) - 1
+GAP = PAD + 1  # zero words between texts: a window that starts at a text's first one sees no other text
 _SLOTS = [(w, k) for w in WIDTHS for k in range(w)]
 
 
@@ -61,14 +62,15 @@ class Network:
         e = self.embed(hashes)
         return np.stack([e @ self.filters[w][k] for w, k in _SLOTS], axis=1)
 
-    def pooled(self, responses: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Maxima per document of ``responses[words]``; documents end with the zero word, ``PAD`` times."""
+    def pooled(self, responses: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Maxima per document of ``responses[words]`` over the windows that start at its words or the zero word after them."""
+        bounds = np.stack((starts, ends), axis=1).ravel()
         pools = []
         for w in WIDTHS:
             total = np.zeros((len(words) - PAD, FILTERS), np.float32)
             for k in range(w):
                 total += responses[words[k : len(words) - PAD + k], _SLOTS.index((w, k))]
-            pools.append(np.tanh(np.maximum.reduceat(total, starts, axis=0) + self.bias[w]))
+            pools.append(np.tanh(np.maximum.reduceat(total, bounds, axis=0)[::2] + self.bias[w]))
         return np.concatenate(pools, axis=1)
 
     def margin(self, pooled: np.ndarray) -> np.ndarray:
@@ -84,14 +86,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _layout(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all texts in one array, 0 the zero word, and where each text starts."""
-    lengths = np.array([len(t) + PAD for t in texts], np.int64)
+def _layout(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of all texts in one array, 0 the zero word, and where the windows of each text start and end."""
+    lengths = np.array([len(t) + GAP for t in texts], np.int64)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(texts) else lengths
     words = np.zeros(int(lengths.sum()) + PAD, np.int64)
     for t, s in zip(texts, starts):
         words[s : s + len(t)] = t
-    return words, starts
+    return words, starts, starts + lengths - PAD
 
 
 def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.05, seed: int = 7) -> Network:
@@ -131,11 +133,10 @@ def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int =
         turn = rng.permutation(len(y))
         for s in range(0, len(turn), batch):
             pick = turn[s : s + batch]
-            flat, starts = _layout([np.arange(len(texts[i]), dtype=np.int64) for i in pick])
-            hashes = np.concatenate([np.concatenate((texts[i], np.zeros(PAD, np.uint64))) for i in pick] + [np.zeros(PAD, np.uint64)])
-            real = np.concatenate([np.concatenate((np.ones(len(texts[i]), bool), np.zeros(PAD, bool))) for i in pick] + [np.zeros(PAD, bool)])
+            _, starts, ends = _layout([texts[i] for i in pick])
+            hashes = np.concatenate([np.concatenate((texts[i], np.zeros(GAP, np.uint64))) for i in pick] + [np.zeros(PAD, np.uint64)])
+            real = np.concatenate([np.concatenate((np.ones(len(texts[i]), bool), np.zeros(GAP, bool))) for i in pick] + [np.zeros(PAD, bool)])
             e = net.embed(hashes) * real[:, None]
-            ends = np.append(starts[1:], len(flat) - PAD)
             tops, pools = {}, []
             for w in WIDTHS:
                 z = sum(e[k : len(e) - PAD + k] @ net.filters[w][k] for k in range(w))
@@ -205,8 +206,8 @@ class Scorer:
                 self.table = grown
             self.table[first : first + len(new)] = self.net.responses(self.hash.of(new))
         get = self.spot.__getitem__
-        words, starts = _layout([np.fromiter(map(get, x), np.int64, len(x)) for x in group])
-        return self.net.margin(self.net.pooled(self.table, words, starts))
+        laid = _layout([np.fromiter(map(get, x), np.int64, len(x)) for x in group])
+        return self.net.margin(self.net.pooled(self.table, *laid))
 
 
 def best_cut(margin: np.ndarray, y: np.ndarray, default: float) -> float:
@@ -258,8 +259,8 @@ def calibrate(net: Network, texts: list[np.ndarray], y: np.ndarray, lang: np.nda
     if len(hashes):
         table[1:] = net.responses(hashes)
     ends = np.cumsum([len(t) for t in texts])
-    words, starts = _layout([np.arange(e - len(t), e, dtype=np.int64) + 1 for t, e in zip(texts, ends)])
-    margin = net.margin(net.pooled(table, words, starts))
+    laid = _layout([np.arange(e - len(t), e, dtype=np.int64) + 1 for t, e in zip(texts, ends)])
+    margin = net.margin(net.pooled(table, *laid))
     cut = best_cut(margin, y, 0.0)
     net.shift -= cut
     cuts = {str(k): float(sigmoid(np.array(best_cut(margin[lang == k] - cut, y[lang == k], 0.0)))) for k in sorted(set(lang)) if k}
