@@ -267,7 +267,9 @@ def align_behavior_codes(behavior: DataFrame, sequence: DataFrame, *, code_max:
 
 def parse_key_value_events(df: DataFrame, column: str = "value") -> DataFrame:
     """``key:value;key:value`` text as a map, with ``valid`` false for malformed rows."""
-    parts = f"""split({column}, ';(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)"""
+    # only text with quotes needs the look-ahead, which reads the rest of the text at each semicolon
+    quoted = f"""split({column}, ';(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)"""
+    parts = f"""if(instr({column}, '"') = 0, split({column}, ';', -1), {quoted})"""
     plain = """if(p like '"%"' and length(p) > 1, replace(substring(p, 2, length(p) - 2), '""', '"'), p)"""
     pairs = f"transform(transform({parts}, p -> {plain}), p -> struct(trim(split_part(p, ':', 1)) AS k, p like '%:%' AS ok, trim(substring(p, instr(p, ':') + 1)) AS v))"
     rows = df.selectExpr("*", f"{pairs} AS _p")
@@ -342,6 +344,7 @@ def rejected_recordings(chain: DataFrame) -> DataFrame:
 def parse_prompted_responses(events: DataFrame, *, chunk: str = "chunk") -> DataFrame:
     """Rated trials of the recordings whose whole log is valid."""
     chain = prompted_chain(events, chunk=chunk)
+    chain = materialize(chain)
     good = chain.filter("kind = 'confirm' and not orphan and scale in ('SAM-valence', 'SAM-arousal')").join(
         rejected_recordings(chain).select("recording"), "recording", "left_anti"
     )

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,6 @@ SPLITS = ("train", "validation", "test", "excluded")
 DONOR_SEED = 1009
 GRID_LEVELS = 10  # finest grid: 2**10 cells per target axis
 LIST_LENGTH = 64  # first length of the candidate lists
-ONE_TASK_ROWS = 500_000  # candidate rows that one (seed, dose) task may replay in order
 
 
 def fixed_support(
@@ -139,20 +137,8 @@ def _candidates(additions: DataFrame, donors: DataFrame, block: Sequence[str], t
     ).filter("choice <= want").drop("_tie")
 
 
-def _replay(group: pd.DataFrame) -> pd.DataFrame:
-    """Additions in priority order each take their first free candidate."""
-    taken: set = set()
-    rows = []
-    for uid, part in group.sort_values(["priority", "trial_uid", "choice"]).groupby("trial_uid", sort=False):
-        donor = next((x for x in part["donor_uid"] if x not in taken), None)
-        if donor is not None:
-            taken.add(donor)
-            rows.append((part["seed"].iloc[0], part["stimulus_dose"].iloc[0], uid, donor))
-    return pd.DataFrame(rows, columns=["seed", "stimulus_dose", "trial_uid", "donor_uid"])
-
-
 def _propose(candidates: DataFrame) -> DataFrame:
-    """The same matching by deferred acceptance, for lists too long for one task.
+    """The sequential matching by deferred acceptance, in rounds over all seeds and doses.
 
     All donors rank additions by the same priority, so the stable matching is
     unique and equals the sequential one.  In each round every free addition
@@ -180,7 +166,7 @@ def _propose(candidates: DataFrame) -> DataFrame:
 
 def match_donors(
     train: DataFrame, additions: DataFrame, *, context: str = "context", targets: Sequence[str] = TARGETS,
-    list_length: int = LIST_LENGTH, one_task_rows: int = ONE_TASK_ROWS,
+    list_length: int = LIST_LENGTH,
 ) -> DataFrame:
     """One train row given up per added row: ``(seed, stimulus_dose, trial_uid, donor_uid)``.
 
@@ -190,6 +176,8 @@ def match_donors(
     needs more than its r nearest donors, so candidate lists are short; any
     addition that runs out of candidates gets longer lists until it is placed.
     """
+    if len(targets) not in (1, 2):
+        raise EvaluationError("donors are matched on one or two targets")
     key = ["seed", "stimulus_dose"]
     block = ["seed", context]
     a = additions.withColumn("dose_seed", F.col("seed") + DONOR_SEED * F.col("stimulus_dose")).withColumn(
@@ -222,13 +210,7 @@ def match_donors(
                 "row_number() over (partition by seed, stimulus_dose, trial_uid order by choice) AS choice",
             )
         lists = materialize(lists.select(*key, "trial_uid", "donor_uid", "choice").join(a.select(*key, "trial_uid", "priority"), [*key, "trial_uid"]))
-        heaviest = lists.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-        if heaviest <= one_task_rows:
-            matched = lists.groupBy(*key).applyInPandas(
-                _replay, "seed bigint, stimulus_dose int, trial_uid string, donor_uid string"
-            )
-        else:
-            matched = _propose(lists)
+        matched = _propose(lists)
         matched = materialize(matched.selectExpr("seed", "cast(stimulus_dose as int) AS stimulus_dose", "trial_uid", "donor_uid"))
         left = a.join(matched, [*key, "trial_uid"], "left_anti")
         short = left.agg(F.count(F.lit(1)).alias("n"), F.max("overall").alias("overall"), F.max("turn").alias("turn")).first()

@@ -8,6 +8,7 @@ such blocks, so no candidate ever rescans the fit rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -102,8 +103,14 @@ def _emit(total: dict, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
 
 
 def sum_arrays(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Elementwise sum of ``stats`` per key; each key receives one row per upstream task."""
+    """Elementwise sum of ``stats`` per key, in two levels.
+
+    The rows that upstream tasks made for a key are first summed in about the
+    square root of the shuffle partitions' number of groups, then those groups,
+    so no task gets a block from every task upstream.
+    """
     names = list(keys)
+    fan = math.ceil(math.sqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches):
         total: dict[tuple, np.ndarray] = {}
@@ -116,12 +123,16 @@ def sum_arrays(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         yield from _emit(total, names)
 
     schema = ", ".join(f"{k} string" for k in names) + ", stats array<double>"
-    return df.select(*names, "stats").repartition(*names).mapInArrow(run, schema)
+    salted = df.select(*names, "stats", F.pmod(F.spark_partition_id(), F.lit(fan)).alias("_salt"))
+    return salted.repartition(*names, "_salt").mapInArrow(run, schema).repartition(*names).mapInArrow(run, schema)
 
 
 def feature_shift(df: DataFrame, x: str = "features") -> np.ndarray:
-    """Mean of a few rows, subtracted everywhere to avoid cancellation (any constant is valid)."""
-    rows = [r[0] for r in df.select(x).limit(200).collect()]
+    """Mean of a few rows, subtracted everywhere to avoid cancellation (any constant is valid).
+
+    They are the rows with the smallest hashes of all, in that order, so the shift does not depend on partitioning.
+    """
+    rows = [r[0] for r in df.select(x, F.xxhash64(x).alias("_h")).orderBy("_h").limit(200).collect()]
     if not rows:
         raise EvaluationError("no feature rows")
     return np.asarray(rows, float).mean(0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heldout.functions.checks import EvaluationError, guard_complete, guard_none, guard_unique, require_columns
 from heldout.functions.hashing import hash_rank, seeded_hash
+from heldout.functions.materialize import materialize
 from heldout.functions.joins import attach_groups
 from heldout.functions.formulas import half_even_count
 
@@ -312,9 +313,8 @@ def split_audit(df: DataFrame, assignment: DataFrame, columns: Sequence[str]) ->
     """Coverage, split counts and pairwise identity overlap as ``(metric, part, value)``."""
     require_columns(df, ["trial_uid", *columns])
     require_columns(assignment, ["trial_uid", "split"])
-    marked = df.select("trial_uid", *columns).join(
-        assignment.select("trial_uid", "split").withColumn("_assigned", F.lit(1)), "trial_uid", "full_outer"
-    )
+    assignment = materialize(assignment.select("trial_uid", "split"))
+    marked = df.select("trial_uid", *columns).join(assignment, "trial_uid", "full_outer")
     per_row = df.select("trial_uid", F.lit(1).alias("t"), F.lit(0).alias("a")).unionByName(
         assignment.select("trial_uid", F.lit(0).alias("t"), F.lit(1).alias("a"))
     )
@@ -330,16 +330,16 @@ def split_audit(df: DataFrame, assignment: DataFrame, columns: Sequence[str]) ->
     counts = assignment.groupBy("split").agg(F.count(F.lit(1)).alias("value"))
     out = out.unionByName(counts.select(F.lit("split_count").alias("metric"), F.col("split").alias("part"), "value"))
     pairs = (("train", "validation"), ("train", "test"), ("validation", "test"))
-    for c in columns:
-        seen = marked.groupBy(c).agg(
-            *[F.max((F.col("split") == s).cast("int")).alias(s) for s in ("train", "validation", "test")]
-        )
-        overlap = seen.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs])
-        long = overlap.unpivot([], [f"{a}_{b}" for a, b in pairs], "part", "value")
-        out = out.unionByName(
-            long.select(F.lit(f"overlap:{c}").alias("metric"), "part", F.coalesce(F.col("value"), F.lit(0)).alias("value"))
-        )
-    return out
+    if not columns:
+        return out
+    # one row per (column, identity) and one aggregation for all columns
+    cells = ", ".join(f"struct('overlap:{c}' AS metric, cast(`{c}` as string) AS identity)" for c in columns)
+    seen = marked.selectExpr("split", f"inline(array({cells}))").groupBy("metric", "identity").agg(
+        *[F.max((F.col("split") == s).cast("int")).alias(s) for s in ("train", "validation", "test")]
+    )
+    overlap = seen.groupBy("metric").agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs])
+    long = overlap.unpivot(["metric"], [f"{a}_{b}" for a, b in pairs], "part", "value")
+    return out.unionByName(long.select("metric", "part", F.coalesce(F.col("value"), F.lit(0)).alias("value")))
 
 
 def strict_partitions(df: DataFrame, assignment: DataFrame, isolated: Sequence[str]) -> DataFrame:

@@ -34,18 +34,24 @@ def fixture(rng, n_train, n_add, contexts, levels):
 CASES = [(40, 15, "ab", 4, 64), (60, 30, "aab", 1, 4), (25, 20, "abc", 3, 2), (50, 45, "ab", 30, 8)]
 
 
-@pytest.mark.parametrize("case,one_task_rows", [(0, 10**6), (1, 10**6), (2, 10**6), (3, 10**6), (2, 0)])
-def test_donors_equal_sequential_greedy(spark, case, one_task_rows):
+@pytest.mark.parametrize("case", [0, 1, 2, 3])
+def test_donors_equal_sequential_greedy(spark, case):
     n_train, n_add, contexts, levels, length = CASES[case]
     train, adds = fixture(random.Random(case), n_train, n_add, contexts, levels)
     schema = "seed bigint, trial_uid string, context string, target_valence double, target_arousal double"
     t = spark.createDataFrame([(7, k, *r) for k, r in train.items()], schema)
     a = spark.createDataFrame([(7, k, *r) for k, r in adds.items()], schema).selectExpr("*", "3 AS stimulus_dose")
-    got = X.match_donors(t, a, list_length=length, one_task_rows=one_task_rows)
+    got = X.match_donors(t, a, list_length=length)
     got = {r.trial_uid: r.donor_uid for r in got.collect()}
     assert got == greedy_donors(train, adds, 7 + 1009 * 3)
 
 
+def test_more_than_two_targets_are_refused(spark):
+    t = spark.createDataFrame([], "seed bigint, trial_uid string, context string, a double, b double, c double")
+    with pytest.raises(X.EvaluationError):
+        X.match_donors(t, t.selectExpr("*", "3 AS stimulus_dose"), targets=["a", "b", "c"])
+
+
 def greedy_cover(rows, seed):
     test = {u for u, (_, _, s) in rows.items() if s == "test"}
     need = {("p", rows[u][0]) for u in test} | {("s", rows[u][1]) for u in test}
