@@ -42,7 +42,7 @@ def audit_bundle(
     """All tables of one audit; a contradicted declaration is an error before any score is computed."""
     require_columns(trials, ["trial_uid", "subject_uid", "stimulus_uid", *TARGETS])
     if not p_doses or not s_doses or len(set(p_doses)) != len(p_doses) or len(set(s_doses)) != len(s_doses):
-        raise EvaluationError("dose axes must be nonempty and unique")
+        raise EvaluationError("list each dose once, and at least one per axis")
     out = {"coverage_report": coverage_counts(trials, features)}
     usable = trials.filter(finite(TARGETS[0]) & finite(TARGETS[1])).join(features.select("trial_uid"), "trial_uid", "left_semi")
     usable = materialize(usable)

@@ -209,7 +209,7 @@ def questionnaire_status(pairs: DataFrame, *, by: Sequence[str], expected: int =
 def parse_stimulation_events(events: DataFrame, *, sampling_frequency: float, kind: str, chunk: str = "chunk") -> DataFrame:
     """Stimulation rows numbered in time order, samples to seconds, label suffix removed."""
     if sampling_frequency <= 0:
-        raise ValueError("sampling frequency must be positive")
+        raise ValueError("a sampling rate of zero or less has no samples")
     rows = events.filter(F.col("kind") == kind).selectExpr("recording", "onset", "sample", "label", f"{chunk} AS _chunk")
     numbered = ordered_scan(
         rows, by=["recording"], chunk="_chunk", order=["onset", "sample"], running={"trial_index": F.lit(1).cast("bigint")}

@@ -35,17 +35,17 @@ def fixed_support(
     rows, and are taken once from the surviving test rows.
     """
     if pmax < 0 or smax < 0:
-        raise EvaluationError("doses must be non-negative")
+        raise EvaluationError("a dose counts rows and can't be below zero")
     keep = ["trial_uid", subject, stimulus, *([context] if context in trials.columns else []), *targets]
     require_columns(trials, keep)
     require_columns(strict, ["trial_uid", "split", "seed"])
     rows = materialize(trials.select(*keep).join(strict.select("trial_uid", "split", "seed"), "trial_uid"))
     if validate:
         guard_unique(rows, ["seed", "trial_uid"])
-        guard_none(rows.filter(~F.col("split").isin(*SPLITS)), "unknown strict split label")
+        guard_none(rows.filter(~F.col("split").isin(*SPLITS)), f"split must be one of {SPLITS}")
         for column in (subject, stimulus):
             parts = rows.filter("split <> 'excluded'").groupBy("seed", column).agg(F.count_distinct("split").alias("n"))
-            guard_none(parts.filter("n > 1"), f"strict assignment does not isolate {column}")
+            guard_none(parts.filter("n > 1"), f"{column} values stand both in the test part and outside it")
     test = rows.filter("split = 'test'")
     held = {
         axis: test.select("seed", column).distinct().withColumn(f"_held_{axis}", F.lit(True))
@@ -68,7 +68,7 @@ def fixed_support(
     kept = materialize(kept)
     if validate:
         small = rows.select("seed").distinct().join(kept.groupBy("seed").agg(F.count(F.lit(1)).alias("n")), "seed", "left")
-        guard_none(small.filter("coalesce(n, 0) < 4"), "fewer than four fixed-support test trials remain")
+        guard_none(small.filter("coalesce(n, 0) < 4"), "the fixed support is down to three test rows or fewer")
     usable = pools.filter("pool = 'participant'").join(kept.select("seed", subject).distinct(), ["seed", subject], "left_semi")
     usable = usable.unionByName(
         pools.filter("pool = 'stimulus'").join(kept.select("seed", stimulus).distinct(), ["seed", stimulus], "left_semi")
@@ -188,7 +188,7 @@ def match_donors(
     sizes = train.groupBy("seed").agg(F.count(F.lit(1)).alias("rows"))
     guard_none(
         a.select(*key, "total").distinct().join(sizes, "seed", "left").filter("total >= coalesce(rows, 0)"),
-        "stimulus exposure would exhaust the base training set",
+        "more additions than train rows that could be given up",
     )
     donors = train.select("seed", "trial_uid", context, *targets)
     length = list_length
@@ -441,7 +441,7 @@ def phase_assignment(
     Only the outcomes of the phase's own test block are blinded before matching.
     """
     if phase not in ("validation", "test"):
-        raise EvaluationError("unknown selector phase")
+        raise EvaluationError("phase names no known step of selection")
     other = "test" if phase == "validation" else "validation"
     table = attach_groups(trials, subject_roles.withColumnRenamed("role", "_ps"), ["subject_uid"], how="inner")
     table = attach_groups(table, stimulus_roles.withColumnRenamed("role", "_ss"), ["stimulus_uid"], how="inner")

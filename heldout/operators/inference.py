@@ -59,7 +59,7 @@ def intervals(draws: DataFrame, keys: Sequence[str], value: str, *, method: str
     degrees of freedom and are NULL below one.
     """
     if method not in ("percentile", "basic", "normal_t", "block_t"):
-        raise EvaluationError("unknown interval method")
+        raise EvaluationError("no interval of that name")
     v = f"case when draw > 0 and {value} is not null and not isnan({value}) then {value} end"
     out = draws.groupBy(*keys).agg(
         F.expr(f"max(case when draw = 0 then {value} end)").alias("estimate"),
@@ -343,7 +343,7 @@ def ablation_analysis(long: DataFrame, clusters: Sequence[str], *, label: str =
     """Every feature view against ``full``; empty crossed draws are redrawn up to 100 times."""
     views = sorted(r[0] for r in long.select(label).distinct().collect())  # feature views are few
     if "full" not in views:
-        raise EvaluationError("no full reference view")
+        raise EvaluationError("the view that others are compared with is absent")
     pairs = [(v, "full") for v in views if v != "full"]
     return paired_protocol_analysis(long, pairs, clusters, label=label, draws=draws, seed=seed, retries=100, strict=False)
 
@@ -408,7 +408,7 @@ def fit_selector(long: DataFrame) -> DataFrame:
     per = scores_from_sums(pair_sums(long, ["seed", *cell, "candidate", "target"]), ["seed", *cell, "candidate"])
     n = long.select("seed").distinct().count()
     mean = materialize(per.groupBy(*cell, "candidate").agg(F.expr(f"if(count(macro_ccc) = {n}, avg(macro_ccc), null)").alias("score")))
-    guard_none(mean.filter("score is null"), "undefined validation score")
+    guard_none(mean.filter("score is null"), "a candidate has no validation score to rank by")
     best = "max_by(candidate, struct(score, -rank))"
     names = mean.select("candidate").distinct().selectExpr("candidate", "dense_rank() over (order by candidate) AS rank")  # few candidates
     ranked = mean.join(F.broadcast(names), "candidate")

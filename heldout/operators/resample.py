@@ -275,5 +275,5 @@ def nested_draws(
             return out
         out = materialize(out)
     if retries and out.filter("draw > 0 and weight = 0").head(1):
-        raise EvaluationError("crossed bootstrap repeatedly produced no rows")
+        raise EvaluationError("the redrawn pairs stayed empty after all retries")
     return out

@@ -78,7 +78,7 @@ def log_bandpower(epochs: DataFrame, *, fs: float, window_s: float = 2.0) -> Dat
     of bounded length and long epochs are never gathered.
     """
     if fs <= 2 * BANDS[-1][2]:
-        raise EvaluationError("sampling frequency is too low for the configured bands")
+        raise EvaluationError("the highest band lies above half the sampling rate")
     full = int(round(window_s * fs))
     size = epochs.groupBy("trial_uid", "channel").agg(
         F.count(F.lit(1)).alias("_len"), F.expr("count_if(value is null or isnan(value) or abs(value) = double('inf'))").alias("_bad")
@@ -159,7 +159,7 @@ def enumerate_views(spark: SparkSession, channels: Sequence[str], bands: Sequenc
     """Full, and only / leave-one-out per band and region, with their channel-major indices."""
     for names in (channels, bands, list(regions)):
         if not names or len(set(names)) != len(names) or not all(names):
-            raise EvaluationError("names must be unique and non-empty")
+            raise EvaluationError("each name is needed once and can't be empty")
     members = [c for r in regions.values() for c in r]
     if sorted(members) != sorted(channels):
         raise EvaluationError("regions must partition the channels exactly")

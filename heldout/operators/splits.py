@@ -20,9 +20,9 @@ STRATUM_SEED = 1009
 
 def _fractions(validation: float, test: float) -> None:
     if validation <= 0 or test <= 0:
-        raise EvaluationError("validation and test fractions must be positive")
+        raise EvaluationError("both held-out shares must be above zero")
     if validation + test >= 1:
-        raise EvaluationError("validation and test fractions must sum to less than one")
+        raise EvaluationError("the held-out shares together must be less than one")
 
 
 def _validate(df: DataFrame, columns: Sequence[str], validate: bool) -> None:
@@ -198,7 +198,7 @@ def context_only_transfer(
     if source == target:
         raise EvaluationError("context transfer needs two different contexts")
     if not 0 < validation < 0.5:
-        raise EvaluationError("validation fraction must be between zero and one half")
+        raise EvaluationError("the validation share must lie above 0 and below 0.5")
     _validate(df, [subject, context, family], validate)
     pool = df.filter(F.col(context) == source).select("trial_uid", subject, family)
     hashed = pool.withColumn("_hash", seeded_hash(seed, "context_only", F.col("trial_uid")))

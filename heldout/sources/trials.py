@@ -24,7 +24,7 @@ def read_delimited(spark: SparkSession, path: str, *, sep: str = "\t") -> DataFr
 def union_manifests(tables: Sequence[DataFrame], *, validate: bool = True) -> DataFrame:
     """Union trial manifests; absent ``label_available`` means every row is labelled."""
     if not tables:
-        raise EvaluationError("at least one trial manifest is required")
+        raise EvaluationError("no trial table was given")
     prepared = []
     for df in tables:
         require_columns(df, MANIFEST)
