@@ -42,7 +42,8 @@ def render(conversations: DataFrame) -> DataFrame:
 
     Turns go by (turn, role, content); a row that is repeated in full is one
     turn; a null turn number comes first; null role and text render as empty.
-    Rows without a conv_id belong to no conversation and are left out.  Extra
+    Rows without a conv_id belong to no conversation and are left out.  A
+    conversation is one value, so its turns meet in one task; no other group does.  Extra
     columns are ignored; an empty table gives no row.
     """
     turns = plain(conversations, "conv_id", "turn", "role", "text").filter("conv_id IS NOT NULL")

@@ -118,11 +118,12 @@ def pack(docs: DataFrame, path: str, context: int = CONTEXT, with_ids: bool = Fa
     The histogram has at most ``context`` rows; only it meets on the driver.
     Pieces of one length are ranked in hash buckets, so no length is a hot group.
     """
-    rows = materialize(pieces_of(docs, path, context, with_ids))
+    pieces = pieces_of(docs, path, context, with_ids)
+    rows = materialize(pieces.withColumn("_row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())))
     histogram = {int(r["length"]): int(r["n"]) for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = intervals(patterns(histogram, context))
     ranked = bucket_rank(
-        rows, by=["length"], rank="_rank", bucket=F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets_for(sum(histogram.values())))),
+        rows, by=["length"], rank="_rank", bucket=F.pmod(F.xxhash64("doc_id", "start", "_row"), F.lit(buckets_for(sum(histogram.values())))),
         order=["doc_id", "start", "ids_crc32"],
     )
 
@@ -132,7 +133,7 @@ def pack(docs: DataFrame, path: str, context: int = CONTEXT, with_ids: bool = Fa
         return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], names=["sequence_id", "offset"])
 
     done = ranked.withColumn("_at", placed.asNondeterministic()("length", "_rank"))
-    return done.select(*rows.columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+    return done.select(*pieces.columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
 
 
 __all__ = ["CONTEXT", "END", "assign", "cut", "intervals", "pack", "patterns", "pieces_of"]

@@ -29,10 +29,11 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFram
     light = materialize(plain(docs, "doc_id", "text", "source").select(
         "doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("bigint").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_row"),  # tells rows without an id apart
     ))
     total = light.count()
     many = buckets_for(total)
-    shuffled = light.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"))
+    shuffled = light.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", "_row"))
     in_source = bucket_rank(
         shuffled, by=["source"], bucket=F.pmod("_hash", F.lit(many)), order=["_hash", "doc_id", "text_crc32"], rank="_rank", count="_of",
     )
