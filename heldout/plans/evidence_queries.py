@@ -297,6 +297,27 @@ def _(spark, d):
     return lists.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("execution_record_rows", """
+SELECT trial_uid, unnest(CASE split WHEN 'train' THEN ['train','preprocessing_fit','no_eeg_population','eeg_population'] WHEN 'validation' THEN ['validation','model_selection','no_eeg_population','eeg_population']
+ WHEN 'test' THEN ['test','no_eeg_evaluation','eeg_evaluation'] END) AS role FROM strict WHERE split<>'excluded'""")
+def _(spark, d):
+    lists, _ = A.execution_records(S.double_holdout(V.trials(spark, d), validate=False), ["seed"])
+    return lists.select("trial_uid", "role")
+
+
+@query("workflow_audit_repeated_trial", f"""
+SELECT f AS execution_id, 'block' AS status, count(DISTINCT t.trial_uid) > 0 AS repeated FROM (SELECT unnest([{', '.join(f"'{f}'" for f in FAULTS)}]) AS f)
+ JOIN trials t ON t.event_id = (SELECT max(event_id) FROM trials) GROUP BY f""")
+def _(spark, d):
+    """One trial is in the table twice, with other identities the second time: nothing may be allowed."""
+    t, lists, executions = audited_executions(spark, d)
+    last = V.trials(spark, d).agg(F.max(F.struct("event_id", "trial_uid")).alias("m")).select("m.trial_uid")
+    twice = t.join(last, "trial_uid", "left_semi").withColumn("subject_uid", F.lit("someone else"))
+    checks = A.workflow_checks(t.unionByName(twice), lists, executions)
+    told = checks.groupBy("execution_id").agg(F.expr("bool_or(check in ('trial_schema', 'contract_schema'))").alias("repeated"))
+    return A.overall_status(checks).drop("checks").join(told, "execution_id")
+
+
 @query("evidence_review", """
 SELECT unnest(['assignment_schema','unique_trial_assignment','feature_file_binding','declared_preprocessing_test_exclusion','matched_predictor_calibration','prior_resource_declaration','prior_resources_match_evaluator','upstream_authenticity_and_pretraining_exposure']) AS check,
  unnest(['allow','allow','allow',(SELECT CASE WHEN count(*)>0 THEN 'block' ELSE 'allow' END FROM strict WHERE split='test'),'allow','allow','block','unverifiable']) AS status""")

@@ -74,6 +74,13 @@ def _(spark, d):
     return T.feature_support(t.select("trial_uid"), t.filter("label_available"))
 
 
+@query("align_feature_rows", """
+SELECT trial_uid, round(embedding[1]::DOUBLE, 6) AS first_feature FROM features JOIN trials USING (trial_uid) WHERE label_available""")
+def _(spark, d):
+    kept = T.align_feature_support(V.features(spark, d), V.trials(spark, d).filter("label_available"))
+    return kept.selectExpr("trial_uid", "round(features[0], 6) AS first_feature")
+
+
 @query("merge_feature_shards", "SELECT trial_uid, event_id AS position, user_id % 3 AS shard FROM trials")
 def _(spark, d):
     t = V.trials(spark, d)

@@ -137,6 +137,13 @@ def _(spark, d):
     return S.split_batch_audit(t, S.split_batch(t, seeds=(11, 12), validate=False))
 
 
+@query("split_batch_rows", f"""
+WITH b AS ({_batch_sql(11)} UNION ALL {_batch_sql(12)})
+SELECT protocol, CAST(seed AS BIGINT) AS seed, trial_uid, split FROM b""")
+def _(spark, d):
+    return S.split_batch(V.trials_multi(spark, d), seeds=(11, 12), validate=False).select("protocol", "seed", "trial_uid", "split")
+
+
 def _block_sql(col, seed):
     return f"""SELECT {col}, (row_number() OVER (ORDER BY sha256('{seed}:{col}:' || {col}), {col}) - 1) % 5 AS b
       FROM (SELECT DISTINCT {col} FROM trials)"""
