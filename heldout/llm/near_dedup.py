@@ -179,10 +179,13 @@ def link_groups(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The rows of ``docs``, all columns, of one document of each group; a row that repeats a kept doc_id goes too."""
-    judged = link_groups(docs, threshold)
-    kept = materialize(judged.filter("kept").select("doc_id").distinct())
+    """The rows of ``docs``, all columns, of one document of each group; a row that repeats a kept doc_id goes too.
+
+    The ids that go are sent to every task if they are few, so the texts needn't be shuffled; more are joined.
+    """
+    judged = materialize(link_groups(docs, threshold))
+    gone = materialize(judged.filter("NOT kept").select("doc_id").distinct())
+    few = gone.count() <= BROADCAST_IDS
+    out = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     repeated = judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    out = docs.join(kept, same, "left_semi")
     return out if repeated.isEmpty() else out.filter("doc_id IS NULL").unionByName(out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
