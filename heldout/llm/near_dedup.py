@@ -4,6 +4,7 @@ A signature is read in several orders, each a rotation that starts at another
 hash.  In each sorted order a region is the run of texts that share a prefix.
 A region of few texts gives all its pairs; a larger one links each text to its
 first text and is split by a longer prefix, so the depth follows the density.
+What that leaves apart in a larger region is compared in full, block by block.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ ORDERS, FIRST = 24, 4  # two texts at similarity 0.75 share no prefix of 4 in 24
 HASHES = ORDERS * FIRST
 DEPTHS = (4, 6, 8, 12, 16, 24, 32, 48, 96)
 REGION = 16  # texts of a region that are paired with each other
+ROUNDS = ((0, 1), (2, 3, 4, 5), tuple(range(6, ORDERS)))  # orders whose larger regions are finished together
+BLOCK_SETS, BLOCK_SHINGLES = 512, 200_000  # sets and shingles of a block of a larger region, about
+COLUMNS = 4096  # shingles of one matrix product
 BROADCAST_IDS = 1_000_000  # ids that every task may hold when texts are picked; more are joined
 _rng = np.random.default_rng(20240501)
 _FLIP = _rng.integers(0, 2**63, HASHES, np.uint64)
@@ -75,8 +79,8 @@ def _sketcher():
     return apply
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, times), a < b: pairs of nodes that are neighbours in some order, and in how many."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, times), a < b: pairs of nodes that are neighbours in some order, and in how many; (key, order, node) of the larger regions."""
     double = nodes.select("node", F.concat("sig", "sig").alias("_twice"))
     active = double.select("node", "_twice", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("order"))
     found = []
@@ -88,6 +92,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
         few = members.filter(F.col("n") <= REGION).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all"))
         found.append(few.selectExpr("inline(flatten(transform(all, (x, i) -> transform(slice(all, i + 2, size(all)), y -> struct(x AS a, y AS b)))))"))
         many = members.filter(F.col("n") > REGION).select("node", "order", "first")
+        if level == 0:
+            large = members.filter(F.col("n") > REGION).select("key", "order", "node")
         if many.isEmpty():
             break
         found.append(many.selectExpr("first AS a", "node AS b"))
@@ -95,7 +101,110 @@ def candidates(nodes: DataFrame) -> DataFrame:
     pairs = found[0]
     for other in found[1:]:
         pairs = pairs.unionAll(other)
-    return pairs.filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+    return pairs.filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), large
+
+
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of every set of ``one`` with every set of ``two``."""
+    flats = [np.concatenate(x) for x in (one, two)]
+    common = np.intersect1d(*map(np.unique, flats))
+    out = np.zeros((len(one), len(two)))
+    if not len(common):
+        return out.astype(np.int64)
+    sides = []
+    for sets, flat in zip((one, two), flats):
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        held = common[at] == flat
+        at, row = at[held], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[held]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], row[order], len(sets)))
+    for first in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - first)
+        parts = []
+        for at, row, n in sides:
+            lo, hi = np.searchsorted(at, [first, first + width])
+            dense = np.zeros((n, width), np.float32)
+            dense[row[lo:hi], at[lo:hi] - first] = 1
+            parts.append(dense)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def block_links(one: list[tuple], two: list[tuple] | None, threshold: float) -> list[tuple]:
+    """Links (a, b) between sets (node, label, shingles) of two blocks, or inside one, that join different labels; no more than do so."""
+    other = one if two is None else two
+    a, b = ([np.frombuffer(x[2], np.uint64) for x in side] for side in (one, other))
+    la, lb = (np.array([x[1] for x in side]) for side in (one, other))
+    apart = la[:, None] != lb[None, :]
+    if not apart.any():
+        return []
+    shared = shared_counts(a, b)
+    sizes = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
+    near = apart & (shared > 0) & (100 * shared >= threshold * 100 * (sizes - shared))
+    up: dict = {}
+
+    def top(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(near):
+        p, q = top(one[i][1]), top(other[j][1])
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((one[i][0], other[j][0]))
+    return out
+
+
+def _block_links(threshold: float):
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+        for one, two in batches:
+            answers = []
+            for x, y in zip(one, two):
+                x, y = ([(r["node"], r["label"], r["s"]) for r in side.as_py()] if side.is_valid else None for side in (x, y))
+                answers.append([{"a": a, "b": b} for a, b in block_links(x, y, threshold)])
+            yield pa.array(answers, kind)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return arrow_udf(run, "array<struct<a:bigint,b:bigint>>").asNondeterministic()
+
+
+def region_links(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (a, b) that join different labels inside the regions of ``members`` (key, node); None if no region has two labels.
+
+    Every two sets of a region that have different labels and nearly equal sizes
+    are compared in full.  Sets meet in blocks of bounded size, two blocks per
+    row, and only links come out, so no region is one task and no row is a pair.
+    """
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    placed = materialize(placed.join(mixed, "key"))
+    if placed.isEmpty():
+        return None
+    ids = materialize(placed.select("node").distinct())
+    few = ids.count() <= BROADCAST_IDS
+    make = row_udf(lambda: lambda rows, h=WordHash(): [shingle_set(h, t).tobytes() for t in rows], "binary")
+    sets = texts.join(F.broadcast(ids) if few else ids, "node").select("node", make("text").alias("s")).filter("length(s) > 0")
+    step = -float(np.log(0.999 * threshold))  # sets as similar as the threshold are in one size class or in neighbouring ones
+    sets = sets.selectExpr("node", "s", "length(s) div 8 AS n", f"cast(floor(ln(length(s) / 8D) / {step!r}D) AS int) AS size_class", "xxhash64(node, s) AS h")
+    sets = materialize(sets.dropDuplicates(["node", "h"]))
+    light = placed.join(sets.select("node", "n", "size_class", "h"), "node")
+    parts = light.groupBy("key", "size_class").agg(F.expr(f"cast(greatest(ceil(sum(n) / {BLOCK_SHINGLES}), ceil(count(1) / {BLOCK_SETS})) AS int)").alias("blocks"))
+    parts = materialize(parts)
+    block = F.expr("cast(pmod(h, blocks) AS int)").alias("block")
+    rows = light.join(parts, ["key", "size_class"]).select("key", "size_class", block, "node", "label", "h").join(sets.select("node", "h", "s"), ["node", "h"])
+    blocks = materialize(rows.groupBy("key", "size_class", "block").agg(F.collect_list(F.struct("node", "label", "s")).alias("sets")))
+    here = blocks.select("key", F.col("size_class").alias("c1"), F.col("block").alias("i"))
+    there = blocks.select("key", F.col("size_class").alias("c2"), F.col("block").alias("j"))
+    meet = here.join(there, "key").filter("(c1 = c2 AND i <= j) OR c2 = c1 + 1")
+    same = F.expr("c1 = c2 AND i = j")
+    meet = meet.select("key", "c1", "i", F.when(~same, F.col("c2")).alias("c2"), F.when(~same, F.col("j")).alias("j"))
+    left = blocks.select("key", F.col("size_class").alias("c1"), F.col("block").alias("i"), F.col("sets").alias("one"))
+    right = blocks.select("key", F.col("size_class").alias("c2"), F.col("block").alias("j"), F.col("sets").alias("two"))
+    both = meet.join(left, ["key", "c1", "i"]).join(right, ["key", "c2", "j"], "left")
+    return materialize(both.select(F.explode(_block_links(threshold)("one", "two")).alias("l")).select("l.a", "l.b").distinct())
 
 
 def _confirm(threshold: float):
@@ -146,7 +255,8 @@ def link_groups(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     confirmed; then every pair that still joins different components.  So each
     candidate link is confirmed on full sets or lies inside a component that
     confirmed links make anyway, and a group of copies costs links in proportion
-    to its size.
+    to its size.  Then the regions of more than ``REGION`` texts are finished:
+    all their pairs that are still in different components are compared.
 
     Texts without words have no shingles and no links.  Rows that repeat a
     doc_id are one document as to links and come out one by one.  A row with a
@@ -162,7 +272,8 @@ def link_groups(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     again = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     same_id = placed.join(again.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
 
-    pairs = materialize(candidates(nodes))
+    pairs, large = candidates(nodes)
+    pairs = materialize(pairs)
     texts = plain(docs, "doc_id", "text").withColumnRenamed("doc_id", "node")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"))
     links = confirmed(best, texts, threshold)
@@ -172,6 +283,11 @@ def link_groups(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     rest = materialize(rest.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
     more = confirmed(rest, texts, threshold)
     labels = components(links.unionByName(more).unionByName(same_id.select("a", "b")))
+    for orders in ROUNDS:
+        labels = materialize(labels)
+        more = region_links(large.filter(F.col("order").isin(*orders)), labels, texts, threshold)
+        if more is not None:
+            labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     found = placed.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component_id"))
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = light.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -61,6 +61,34 @@ def test_large_group_of_copies_and_shared_passage(spark):
     check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
 
 
+def test_many_edited_variants_of_one_text(spark):
+    """Variants are near their original and far from each other; the original's id is in the middle."""
+    rng = random.Random(8)
+    base = words(rng, 400).split()
+    rows = [(500, " ".join(base))]
+    for i in range(1001):
+        if i != 500:
+            w = list(base)
+            for k in rng.sample(range(6, 394, 6), rng.choice((9, 10, 11))):
+                w[k] = words(rng, 1) + "q"
+            rows.append((i, " ".join(w)))
+            a, b = shingles(rows[0][1]), shingles(rows[-1][1])
+            assert 0.75 < len(a & b) / len(a | b) < 0.8
+    got = near_dedup.link_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert [r["component_id"] for r in got] == [0] * 1001
+
+
+def test_blocks_compare_all_sets():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 9000, np.uint64)
+    one, two = ([np.unique(rng.choice(pool, n)) for n in rng.integers(1, 4000, 7)] for _ in range(2))
+    assert (near_dedup.shared_counts(one, two) == [[shared_count(a, b) for b in two] for a in one]).all()
+    rows = [(k, k, s.tobytes()) for k, s in enumerate((pool[:400], pool[100:500], pool[50:450], pool[600:700]))]
+    rows = [(k, k, np.sort(np.frombuffer(s, np.uint64)).tobytes()) for k, _, s in rows]
+    assert near_dedup.block_links(rows, None, 0.75) == [(0, 2), (1, 2)]
+    assert near_dedup.block_links(rows[:2], rows[2:], 0.75) == [(0, 2), (1, 2)] and near_dedup.block_links(rows[:1], rows[1:2], 0.75) == []
+
+
 def test_sets_match_words():
     cache = WordHash()
     rng = random.Random(1)
