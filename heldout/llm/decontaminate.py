@@ -3,7 +3,9 @@
 Items are partitioned by size.  For a partition of items with at most g
 shingles, the texts are read in windows of two blocks of g shingles: wherever an
 item stands, one window holds it whole and is at most four times as large, so a
-few dozen MinHash values find it however long the document is.
+few dozen MinHash values find it however long the document is.  Items of a few
+shingles are small beside the smallest window; their shingles are looked up one
+by one instead.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from heldout.llm.text import WordHash, bound_batches, plain, row_udf, shared_cou
 CONTAINED = 0.75
 HASHES = 48  # an item of which 3/4 stands in one place is missed once in 10,000 times at most
 LEAST_BLOCK = 8
+LOOKED_UP = LEAST_BLOCK // 2  # items of at most so many shingles are found by any one of them, without MinHash
 BLOCK_SHINGLES = 2_000_000  # item shingles that one pass over the documents holds, about
 _TOP = np.uint64(2**64 - 1)
 _rng = np.random.default_rng(20240607)
@@ -37,8 +40,12 @@ class ItemIndex:
     def __init__(self, items: list[np.ndarray], threshold: float):
         self.items, self.threshold = items, threshold
         by_class: dict[int, list[int]] = {}
+        few = [k for k, s in enumerate(items) if 0 < len(s) <= LOOKED_UP]
+        short = np.array([x for k in few for x in items[k]], np.uint64)
+        order = np.argsort(short, kind="stable")
+        self.short, self.short_items = short[order], np.array([k for k in few for _ in items[k]], np.int64)[order]
         for k, s in enumerate(items):
-            if len(s):
+            if len(s) > LOOKED_UP:
                 by_class.setdefault(size_class(len(s)), []).append(k)
         self.classes = {}
         for g, members in sorted(by_class.items()):
@@ -68,6 +75,21 @@ class ItemIndex:
                         k += 1
         return found
 
+    def looked_up(self, shingles: np.ndarray, ends: np.ndarray) -> Iterable[tuple[int, int]]:
+        """(part, item) of parts, ending at ``ends``, that have a shingle of an item of few shingles."""
+        found = set()
+        if not len(self.short):
+            return found
+        left = np.searchsorted(self.short, shingles)
+        hit = np.flatnonzero(self.short[np.minimum(left, len(self.short) - 1)] == shingles)
+        part = np.searchsorted(ends, hit, side="right")
+        for d, left in np.unique(np.stack([part, left[hit]], axis=1), axis=0).tolist():
+            k = left
+            while k < len(self.short) and self.short[k] == self.short[left]:
+                found.add((d, int(self.short_items[k])))
+                k += 1
+        return found
+
     def search(self, texts: list[bytes], cache: WordHash) -> list[list[tuple[int, int]]]:
         """(item, shared shingles) for each text, of items contained to the threshold."""
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -90,6 +112,7 @@ class ItemIndex:
     def _group(self, group: list[int], parts: list[np.ndarray], out: list[list[tuple[int, int]]]) -> None:
         ends = np.cumsum([len(p) for p in parts])
         pairs = set()
+        pairs.update(self.looked_up(np.concatenate(parts), ends))
         for a, b, item in self.candidates(np.concatenate(parts)):
             first, last = np.searchsorted(ends, [a, b - 1], side="right")
             pairs.update((d, item) for d in range(first, min(last, len(parts) - 1) + 1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heldout.functions.materialize import checkpoint_root
 from heldout.llm import chat, decontaminate, quality_rules, sharding, warc
+from heldout.llm.text import WordHash, shingle_set
 from tests.llm.fixtures import documents, empty, shingles, words
 
 
@@ -73,6 +74,18 @@ def test_contained_items_equal_brute_force(spark, threshold):
     assert decontaminate.contained_items(docs, none).count() == 0 and decontaminate.clean(docs, none).count() == docs.count()
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 8])
+def test_items_of_few_shingles_are_all_found(n):
+    rng = random.Random(n)
+    items = [words(rng, n) for _ in range(600)]
+    index = decontaminate.ItemIndex([shingle_set(WordHash(), t.encode()) for t in items], 0.75)
+    texts = [f"{words(rng, rng.choice((0, 3, 40)))} {t} {words(rng, rng.choice((0, 5, 60)))}" for t in items]
+    found = [index.search([t.encode()], WordHash())[0] for t in texts]  # one by one: each at the start of a group
+    assert found == [[(k, n - 4)] for k in range(600)]
+    together = index.search([t.encode() for t in texts], WordHash())
+    assert together == found
+
+
 def test_shards_are_even_and_mixed(spark):
     docs = spark.range(5000).select(
         F.col("id").alias("doc_id"), F.concat(F.lit("tëxt "), "id").alias("text"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"),
