@@ -223,7 +223,7 @@ def described_features(spark, d):
 
 @query("semantic_nuisance")
 def _(spark, d):
-    out, _, _ = S.semantic_prior(described_features(spark, d).withColumnRenamed("features", "y"), categories=["lang", "source"], text=None, alphas=ALPHAS, scale=True)
+    out, _, _ = S.semantic_prior(described_features(spark, d).withColumnRenamed("features", "y"), categories=["lang", "source"], alphas=ALPHAS, scale=True)
     return rounded(out.selectExpr("trial_uid", "prediction[0] AS first", "prediction[63] AS last"))
 
 
@@ -240,14 +240,14 @@ def _(spark, d):
 @query("decomposition_benchmark")
 def _(spark, d):
     rows = described_features(spark, d)
-    out, _ = D.decomposition_benchmark(rows, categories=["lang", "source"], text=None, alphas=ALPHAS, penalties=(0.0, 1.0), components=(0, 4), strengths=(0.0, 0.5))
+    out, _ = D.decomposition_benchmark(rows, categories=["lang", "source"], alphas=ALPHAS, penalties=(0.0, 1.0), components=(0, 4), strengths=(0.0, 0.5))
     return rounded(D.decomposition_metrics(materialize(out)))
 
 
 @query("subspace_curve")
 def _(spark, d):
     rows = described_features(spark, d).drop("stimulus_uid").withColumn("stimulus_uid", F.expr("concat('k', cast(substring(trial_uid, 2) as bigint) % 100)"))
-    return rounded(D.subspace_curve(rows, categories=["lang", "source"], text=None, components=(0, 2, 8), alphas=ALPHAS))
+    return rounded(D.subspace_curve(rows, categories=["lang", "source"], components=(0, 2, 8), alphas=ALPHAS))
 
 
 @query("audit_bundle")

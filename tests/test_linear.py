@@ -190,6 +190,23 @@ def test_semantic_vectors(spark):
     assert got["s3"] == [1, 0, 0, 0, 0, 0]
 
 
+@pytest.mark.parametrize("name", ["semantic_nuisance", "decomposition_benchmark", "subspace_curve"])
+def test_semantic_queries_read_the_text(spark, tmp_path, name):
+    """Documents that differ only in their text: the answers follow it."""
+    from heldout.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(7)
+    vectors = [(i, [float(v) for v in rng.normal(size=64)]) for i in range(30)]
+    answers = []
+    for word in ("short", "i"):
+        d = str(tmp_path / word)
+        rows = [(i, f"text {'long words here' if i % 3 else word} topic{i % 7}", "en", "web", 100 + 70 * (i % 7)) for i in range(150)]
+        spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+        answers.append(sorted(map(repr, QUERIES[name](spark, d).collect())))
+    assert answers[0] and answers[0] != answers[1]
+
+
 def test_cells_against_direct_fits(spark, data):
     """One exposure cell end to end against row-level NumPy, and the grid's invariants."""
     from heldout.sources import views as V
