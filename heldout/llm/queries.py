@@ -166,3 +166,14 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heldout.llm.sharding import interleave
 
     return interleave(table(spark, sf_dir, "documents"))
+
+
+@query("op12_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from heldout.llm.suffix_dedup import cut_repeats
+
+    cut = cut_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["length"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
