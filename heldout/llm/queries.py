@@ -187,3 +187,21 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return alignment_statistics(table(spark, sf_dir, "documents"), *paths)
+
+
+@query("op13_periodic_runs")
+def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from heldout.llm.periodic import periodic_runs, planted
+    from heldout.llm.text import bound_batches, plain
+
+    bound_batches(spark)
+    docs = plain(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", planted("doc_id", "text").alias("text"))
+    found = periodic_runs(docs).withColumn("best", F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))"))
+    lines = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.expr("-best.start").alias("start"), F.col("best.length").alias("length"),
+        F.expr("-best.period").alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
