@@ -8,6 +8,7 @@ row expression over them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ from heldout.functions.materialize import materialize
 TARGETS = ("target_valence", "target_arousal")
 SPLITS = ("train", "validation", "test", "excluded")
 DONOR_SEED = 1009
-GRID_LEVELS = 10  # finest grid: 2**10 cells per target axis
+PIECE = 512  # donors of one point that stand in one row, about
 LIST_LENGTH = 64  # first length of the candidate lists
 
 
@@ -91,25 +92,50 @@ def _grid(level: Column | str, *coordinates: str) -> list[str]:
     return [f"cast(floor({c} * shiftleft(1, {level})) as int)" for c in coordinates]
 
 
-def _candidates(additions: DataFrame, donors: DataFrame, block: Sequence[str], targets: Sequence[str], limit: int) -> DataFrame:
-    """The ``want`` nearest donors of each addition inside its block, ties by pair hash.
+def _donor_points(donors: DataFrame, block: Sequence[str], targets: Sequence[str], limit: int, ties: str) -> DataFrame:
+    """Donors by the point of their targets: ``(block, _d_targets, piece, n, donors)``, each row with a bounded list.
 
-    Donors are counted on nested grids.  An addition searches the finest grid
-    whose 3x3 neighbourhood holds enough donors: all of its nearest donors then
-    lie in the 7x7 neighbourhood, which is joined by cell.  No pair outside it
-    is formed, and many donors at one point are cut to ``limit`` (no ``want``
-    exceeds it) piece by piece.
+    With ties by donor every addition wants the donors of a point in the same
+    order, so the first ``limit`` of it are enough (no ``want`` exceeds it).
+    With ties by pair the order differs by addition: all donors of a point stay,
+    in pieces of about ``PIECE``.
     """
-    u, v = targets[0], targets[-1]
-    box = donors.agg(*[f(c).alias(f"_{n}_{i}") for i, c in enumerate((u, v)) for n, f in (("lo", F.min), ("hi", F.max))])
+    at = [*block, *[f"_d_{t}" for t in targets]]
+    d = donors.selectExpr(*block, "trial_uid AS donor_uid", *[f"{t} AS _d_{t}" for t in targets])
+    if ties == "donor":
+        d = d.withColumn("_tie", seeded_hash(F.col("seed"), "donor", F.col("donor_uid")))
+        first = first_per_group(d, by=at, order=["_tie", "donor_uid"], limit=limit, spread="donor_uid")
+        rows = first.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("_tie", "donor_uid"))).alias("donors")).withColumn("piece", F.lit(0))
+    else:
+        n = d.groupBy(*at).agg(F.expr(f"cast(ceil(count(1) / {PIECE}) as int) AS _pieces"))
+        d = attach_groups(d, n, at, how="inner", spread="donor_uid").withColumn("piece", F.expr("cast(pmod(xxhash64(donor_uid), _pieces) as int)"))
+        rows = d.groupBy(*at, "piece").agg(F.collect_list(F.struct(F.lit("").alias("_tie"), "donor_uid")).alias("donors"))
+    return materialize(rows.select(*at, "piece", F.size("donors").cast("bigint").alias("n"), "donors"))
+
+
+def _candidates(additions: DataFrame, points: DataFrame, block: Sequence[str], targets: Sequence[str], limit: int, ties: str) -> DataFrame:
+    """The ``want`` nearest donors of each addition inside its block, ties by hash.
+
+    Donors are counted on nested grids, as fine as their points are many.  An
+    addition searches the finest grid whose 3x3 neighbourhood holds enough
+    donors: all of its nearest donors then lie in the 7x7 neighbourhood.  The
+    points there are met without their donors, ring by ring of growing distance,
+    until they hold ``want``; only those points' donors, ``want`` of each list
+    at most, become pairs.
+    """
+    u, v = f"_d_{targets[0]}", f"_d_{targets[-1]}"
+    finest = min(24, max(4, math.ceil(math.log2(max(1, points.count())) / 2) + 2))
+    box = points.agg(*[f(c).alias(f"_{n}_{i}") for i, c in enumerate((u, v)) for n, f in (("lo", F.min), ("hi", F.max))])
     # both axes share one scale, so that a cell has the same side in each
     span = "greatest(_hi_0 - _lo_0, _hi_1 - _lo_1)"
-    unit = [f"if({span} > 0, ({c} - _lo_{i}) / {span} * 0.999999D, 0D) AS _g{i}" for i, c in enumerate((u, v))]
-    d = donors.crossJoin(box).selectExpr(*block, "trial_uid AS donor_uid", *[f"{t} AS _d_{t}" for t in targets], *unit)
-    a = additions.crossJoin(box).selectExpr(*block, "trial_uid", "seed", "dose_seed", "stimulus_dose", "want", *[f"{t} AS _a_{t}" for t in targets], *unit)
-    finest = f"{GRID_LEVELS}"
-    counts = d.selectExpr(*block, f"{_grid(finest, '_g0')[0]} AS x", f"{_grid(finest, '_g1')[0]} AS y").groupBy(*block, "x", "y").agg(
-        F.count(F.lit(1)).alias("n")
+    unit = lambda *names: [f"if({span} > 0, ({c} - _lo_{i}) / {span} * 0.999999D, 0D) AS _g{i}" for i, c in enumerate(names)]
+    at = [*block, *[f"_d_{t}" for t in targets], "piece"]
+    d = points.crossJoin(box).selectExpr(*at, "n", *unit(u, v))
+    a = additions.crossJoin(box).selectExpr(
+        *dict.fromkeys([*block, "trial_uid", "seed", "dose_seed", "stimulus_dose", "want"]), *[f"{t} AS _a_{t}" for t in targets], *unit(targets[0], targets[-1])
+    )
+    counts = d.selectExpr(*block, f"{_grid(str(finest), '_g0')[0]} AS x", f"{_grid(str(finest), '_g1')[0]} AS y", "n").groupBy(*block, "x", "y").agg(
+        F.sum("n").alias("n")
     )
     counts = counts.selectExpr(*block, "x", "y", "n", f"explode(sequence(0, {finest})) AS level").selectExpr(
         *block, "level", f"shiftright(x, {finest} - level) AS x", f"shiftright(y, {finest} - level) AS y", "n"
@@ -126,12 +152,18 @@ def _candidates(additions: DataFrame, donors: DataFrame, block: Sequence[str], t
     search = a.join(level, key).selectExpr(*a.columns, "level", f"{gx} AS cx", f"{gy} AS cy").selectExpr(
         *a.columns, "level", "explode(sequence(cx - 3, cx + 3)) AS x", "cy"
     ).selectExpr(*a.columns, "level", "x", "explode(sequence(cy - 3, cy + 3)) AS y").drop("_g0", "_g1")
-    used = level.select("level").distinct()  # at most GRID_LEVELS + 1 rows
-    keyed = d.crossJoin(used).selectExpr(*[c for c in d.columns if c not in ("_g0", "_g1")], "level", f"{gx} AS x", f"{gy} AS y")
+    used = level.select("level").distinct()  # one row per level of the grid
+    keyed = d.crossJoin(used).selectExpr(*at, "n", "level", f"{gx} AS x", f"{gy} AS y")
     square = " + ".join(f"(_d_{t} - _a_{t}) * (_d_{t} - _a_{t})" for t in targets)
-    pairs = search.join(keyed, [*block, "level", "x", "y"]).selectExpr(
-        *dict.fromkeys(["seed", "dose_seed", "stimulus_dose", "trial_uid", "donor_uid", "want"]), f"sqrt({square}) AS distance",
-    ).withColumn("_tie", seeded_hash(F.col("dose_seed"), "donor", F.col("trial_uid"), F.col("donor_uid")))
+    one = "seed, stimulus_dose, trial_uid"
+    rings = search.join(keyed, [*block, "level", "x", "y"]).selectExpr(
+        *dict.fromkeys([*at, "seed", "dose_seed", "stimulus_dose", "trial_uid", "want"]), "n", f"sqrt({square}) AS distance"
+    ).selectExpr("*", f"sum(n) over (partition by {one} order by distance) - sum(n) over (partition by {one}, distance) AS closer").filter("closer < want")
+    if ties == "donor":
+        first = "slice(donors, 1, cast(want as int))"
+    else:
+        first = "slice(array_sort(transform(donors, d -> struct(sha2(concat_ws(':', dose_seed, 'donor', trial_uid, d.donor_uid), 256) AS _tie, d.donor_uid AS donor_uid))), 1, cast(want as int))"
+    pairs = rings.drop("n", "closer").join(points.drop("n"), at).selectExpr("seed", "stimulus_dose", "trial_uid", "want", "distance", f"inline({first})")
     return first_per_group(
         pairs, by=["seed", "stimulus_dose", "trial_uid"], order=["distance", "_tie", "donor_uid"], limit=limit, rank="choice", spread="donor_uid", salts=16
     ).filter("choice <= want").drop("_tie")
@@ -166,18 +198,23 @@ def _propose(candidates: DataFrame) -> DataFrame:
 
 def match_donors(
     train: DataFrame, additions: DataFrame, *, context: str = "context", targets: Sequence[str] = TARGETS,
-    list_length: int = LIST_LENGTH,
+    list_length: int = LIST_LENGTH, ties: str = "pair",
 ) -> DataFrame:
     """One train row given up per added row: ``(seed, stimulus_dose, trial_uid, donor_uid)``.
 
     Additions (one row per seed, dose and trial) go in hash order; each takes
-    the nearest free donor of its own context, ties by pair hash, and another
-    context's only when its own has none left.  An addition of priority r never
-    needs more than its r nearest donors, so candidate lists are short; any
-    addition that runs out of candidates gets longer lists until it is placed.
+    the nearest free donor of its own context, and another context's only when
+    its own has none left.  Donors at equal distance go by the hash of the pair,
+    or with ``ties="donor"`` by a hash of the donor alone: then no more than an
+    addition's turn of the donors at one point are ever looked at, where a pair
+    hash has to be taken of all of them.  An addition of priority r never needs
+    more than its r nearest donors, so candidate lists are short; only additions
+    that run out of candidates get longer lists, until all are placed.
     """
     if len(targets) not in (1, 2):
         raise EvaluationError("donors are matched on one or two targets")
+    if ties not in ("pair", "donor"):
+        raise EvaluationError("ties go by pair or by donor")
     key = ["seed", "stimulus_dose"]
     block = ["seed", context]
     a = additions.withColumn("dose_seed", F.col("seed") + DONOR_SEED * F.col("stimulus_dose")).withColumn(
@@ -191,45 +228,52 @@ def match_donors(
         "more additions than train rows that could be given up",
     )
     donors = train.select("seed", "trial_uid", context, *targets)
-    length = list_length
-    spill = False
+    addition = [*key, "trial_uid"]
+    # reach: candidates asked for so far; spilt: the own context has no more of them
+    pending = a.selectExpr("*", f"{int(list_length)}L AS reach", "false AS spilt")
+    lists, reached, longest, spills, points = None, None, list_length, False, {}
     while True:
-        lists = _candidates(a.withColumn("want", F.least(F.col("turn"), F.lit(length).cast("bigint"))), donors, block, targets, length)
-        if spill:
+        for wide in (False, True) if spills else (False,):
+            near = block if not wide else ["seed"]
+            if ties == "donor" or wide not in points:  # with ties by pair the points don't depend on the reach
+                points[wide] = _donor_points(donors if not wide else donors.drop(context), near, targets, longest, ties)
+        new = _candidates(pending.withColumn("want", F.least("turn", "reach")), points[False], block, targets, longest, ties)
+        if spills:
             # additions whose own context is exhausted continue with the other contexts' donors
-            wide = _candidates(
-                a.withColumn("want", F.least(F.col("overall"), F.lit(length).cast("bigint"))).drop(context),
-                donors.drop(context), ["seed"], targets, length,
-            )
-            wide = wide.join(lists.select(*key, "trial_uid", "donor_uid"), [*key, "trial_uid", "donor_uid"], "left_anti")
-            own = lists.groupBy(*key, "trial_uid").agg(F.max("choice").alias("_own"))
-            wide = wide.join(own, [*key, "trial_uid"], "left").withColumn("choice", F.expr("cast(choice + coalesce(_own, 0) as int)")).drop("_own")
+            late = pending.filter("spilt").withColumn("want", F.least("overall", "reach")).drop(context)
+            wide = _candidates(late, points[True], ["seed"], targets, longest, ties)
+            wide = wide.join(new.select(*addition, "donor_uid"), [*addition, "donor_uid"], "left_anti")
+            own = new.groupBy(*addition).agg(F.max("choice").alias("_own"))
+            wide = wide.join(own, addition, "left").withColumn("choice", F.expr("cast(choice + coalesce(_own, 0) as int)")).drop("_own")
             # positions stay in preference order; gaps are closed for the proposal rounds
-            lists = lists.unionByName(wide).selectExpr(
+            new = new.unionByName(wide).selectExpr(
                 "seed", "stimulus_dose", "trial_uid", "donor_uid", "want",
                 "row_number() over (partition by seed, stimulus_dose, trial_uid order by choice) AS choice",
             )
-        lists = materialize(lists.select(*key, "trial_uid", "donor_uid", "choice").join(a.select(*key, "trial_uid", "priority"), [*key, "trial_uid"]))
+        new = new.select(*addition, "donor_uid", "choice").join(a.select(*addition, "priority"), addition)
+        lists = materialize(new if lists is None else lists.join(pending.select(*addition), addition, "left_anti").unionByName(new))
         matched = _propose(lists)
         matched = materialize(matched.selectExpr("seed", "cast(stimulus_dose as int) AS stimulus_dose", "trial_uid", "donor_uid"))
-        left = a.join(matched, [*key, "trial_uid"], "left_anti")
-        short = left.agg(F.count(F.lit(1)).alias("n"), F.max("overall").alias("overall"), F.max("turn").alias("turn")).first()
+        state = pending.select(*addition, "reach", "spilt") if reached is None else reached.join(
+            pending.select(*addition), addition, "left_anti").unionByName(pending.select(*addition, "reach", "spilt"))
+        reached = materialize(state)
+        left = a.join(matched, addition, "left_anti").join(reached, addition)
+        pending = materialize(left.selectExpr(*a.columns, "4 * reach AS reach", "spilt or turn <= reach AS spilt"))
+        short = pending.agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach"), F.max("spilt").alias("spilt")).first()
         if not short.n:
             return matched
-        if short.turn <= length:
-            spill = True
-        length *= 4
+        longest, spills = short.reach, short.spilt
 
 
 def compile_cells(
     trials: DataFrame, strict: DataFrame, *, p_doses: Sequence[int], s_doses: Sequence[int], subject="subject_uid",
-    stimulus="stimulus_uid", context="context", targets: Sequence[str] = TARGETS, validate: bool = True,
+    stimulus="stimulus_uid", context="context", targets: Sequence[str] = TARGETS, validate: bool = True, ties: str = "pair",
 ) -> DataFrame:
     """Role table of the whole grid: ``(seed, participant_dose, stimulus_dose, trial_uid, split, role)``."""
     return expand_cells(
         cell_marks(
             trials, strict, p_doses=p_doses, s_doses=s_doses, subject=subject, stimulus=stimulus, context=context,
-            targets=targets, validate=validate,
+            targets=targets, validate=validate, ties=ties,
         ),
         p_doses=p_doses, s_doses=s_doses,
     )
@@ -237,7 +281,7 @@ def compile_cells(
 
 def cell_marks(
     trials: DataFrame, strict: DataFrame, *, p_doses, s_doses, subject="subject_uid", stimulus="stimulus_uid",
-    context="context", targets=TARGETS, validate: bool = True,
+    context="context", targets=TARGETS, validate: bool = True, ties: str = "pair",
 ) -> DataFrame:
     """One row per (seed, trial) with everything that decides its role in any cell."""
     pmax, smax = max(p_doses), max(s_doses)
@@ -256,7 +300,7 @@ def cell_marks(
     additions = exposed.selectExpr("*", f"explode(array({', '.join(str(s) for s in doses)})) AS stimulus_dose").filter(
         "dose_rank <= stimulus_dose"
     ).select("seed", "stimulus_dose", "trial_uid", context, *targets)
-    donors = match_donors(support.filter("split = 'train'"), additions, context=context, targets=targets)
+    donors = match_donors(support.filter("split = 'train'"), additions, context=context, targets=targets, ties=ties)
     # a row is a donor at most once per dose, so the set has at most len(s_doses) items
     per_row = donors.groupBy("seed", F.col("donor_uid").alias("trial_uid")).agg(F.collect_set("stimulus_dose").alias("donor_doses"))
     return out.join(per_row, key, "left").withColumn("donor_doses", F.coalesce("donor_doses", F.array().cast("array<int>")))

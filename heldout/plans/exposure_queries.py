@@ -60,14 +60,17 @@ def _(spark, d):
     return a.unionByName(b).select("trial_uid", "pool", "dose_rank")
 
 
-def donors_sql(dose: int) -> str:
+def donors_sql(dose: int, rounded_targets: bool = False) -> str:
+    """The sequential rule; with ``rounded_targets`` both targets lie on 9 points and ties go by a hash of the donor."""
     seed = 11 + 1009 * dose
+    v, w = (f"round_even({c} * 8, 0) / 8" if rounded_targets else c for c in ("target_valence", "target_arousal"))
+    tie = "sha256('11:donor:'||b.trial_uid)" if rounded_targets else f"sha256('{seed}:donor:'||a.trial_uid||':'||b.trial_uid)"
     return f"""
- WITH RECURSIVE a AS MATERIALIZED (SELECT trial_uid, context, target_valence AS v, target_arousal AS w, row_number() OVER (ORDER BY sha256('{seed}:addition:'||trial_uid), trial_uid) AS r
+ WITH RECURSIVE a AS MATERIALIZED (SELECT trial_uid, context, {v} AS v, {w} AS w, row_number() OVER (ORDER BY sha256('{seed}:addition:'||trial_uid), trial_uid) AS r
    FROM sample_ranks JOIN trials USING (trial_uid) WHERE pool='stimulus' AND dose_rank<={dose}),
- b AS MATERIALIZED (SELECT trial_uid, context, target_valence AS v, target_arousal AS w FROM strict_rows WHERE split='train'),
+ b AS MATERIALIZED (SELECT trial_uid, context, {v} AS v, {w} AS w FROM strict_rows WHERE split='train'),
  m AS (SELECT 0::BIGINT AS r, ''::VARCHAR AS added, []::VARCHAR[] AS taken UNION ALL
-  SELECT a.r, any_value(a.trial_uid), list_append(m.taken, arg_min(b.trial_uid, struct_pack(c := (a.context<>b.context)::INT, d := sqrt((a.v-b.v)*(a.v-b.v)+(a.w-b.w)*(a.w-b.w)), h := sha256('{seed}:donor:'||a.trial_uid||':'||b.trial_uid))))
+  SELECT a.r, any_value(a.trial_uid), list_append(m.taken, arg_min(b.trial_uid, struct_pack(c := (a.context<>b.context)::INT, d := sqrt((a.v-b.v)*(a.v-b.v)+(a.w-b.w)*(a.w-b.w)), h := {tie})))
   FROM m JOIN a ON a.r=m.r+1 JOIN b ON NOT list_contains(m.taken, b.trial_uid) GROUP BY a.r, m.taken)
  SELECT added AS trial_uid, taken[-1] AS donor_uid, {dose} AS stimulus_dose FROM m WHERE r>0"""
 
@@ -76,13 +79,26 @@ view("donors_2", donors_sql(2))
 view("donors_4", donors_sql(4))
 
 
-@query("match_donors", "SELECT CAST(11 AS BIGINT) AS seed, CAST(stimulus_dose AS INT) AS stimulus_dose, trial_uid, donor_uid FROM (SELECT * FROM donors_2 UNION ALL SELECT * FROM donors_4)")
-def _(spark, d):
+def additions(spark, d):
+    """Train rows and the rows added at doses 2 and 4."""
     t, s = strict(spark, d)
     f = materialize(X.fixed_support(t, s, pmax=4, smax=4, validate=False))
     e = materialize(X.nested_dose_sample(f.filter("pool = 'stimulus'"), "stimulus_uid", axis="stimulus", dose=4))
-    adds = e.selectExpr("*", "explode(array(2, 4)) AS stimulus_dose").filter("dose_rank <= stimulus_dose")
-    return X.match_donors(f.filter("split = 'train'"), adds)
+    return f.filter("split = 'train'"), e.selectExpr("*", "explode(array(2, 4)) AS stimulus_dose").filter("dose_rank <= stimulus_dose")
+
+
+@query("match_donors", "SELECT CAST(11 AS BIGINT) AS seed, CAST(stimulus_dose AS INT) AS stimulus_dose, trial_uid, donor_uid FROM (SELECT * FROM donors_2 UNION ALL SELECT * FROM donors_4)")
+def _(spark, d):
+    return X.match_donors(*additions(spark, d))
+
+
+@query("match_donors_rounded", f"""SELECT CAST(11 AS BIGINT) AS seed, CAST(stimulus_dose AS INT) AS stimulus_dose, trial_uid, donor_uid
+FROM (SELECT * FROM ({donors_sql(2, True)}) UNION ALL SELECT * FROM ({donors_sql(4, True)}))""")
+def _(spark, d):
+    """Targets on a 9-point scale, so that nearly every donor is tied with many."""
+    nine = lambda df: df.withColumns({c: F.expr(f"bround({c} * 8, 0) / 8") for c in X.TARGETS})
+    train, adds = additions(spark, d)
+    return X.match_donors(nine(train), nine(adds), ties="donor")
 
 
 view("cells", """
