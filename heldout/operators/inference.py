@@ -13,6 +13,7 @@ from heldout.functions.hashing import support_digest
 from heldout.functions.materialize import materialize
 from heldout.operators import resample as R
 from heldout.operators.metrics import pair_sums, scores_from_sums
+from heldout.operators.multiplicity import weighted_sums
 
 CONTRASTS = {
     "eeg_added_population": ("combined_population", "prior"),
@@ -356,13 +357,21 @@ def _cluster_mean_draws(sums: DataFrame, groups: Sequence[str], values: Sequence
     """
     groups = list(groups)
     choices = R.seed_choices(sums, draws=draws, seed=seed)
-    spec = choices.crossJoin(sums.select(*groups).distinct()).selectExpr(
-        "seed", *groups, "cast(draw as bigint) * 1000000 + slot AS draw"
+    # conditions and splits are few; each has a number, and its own draws
+    names = sums.sparkSession.createDataFrame(
+        [(i, *r) for i, r in enumerate(sorted(sums.select(*groups, "seed").distinct().collect()))],
+        "_group bigint, " + ", ".join(f"{c} {dict(sums.dtypes)[c]}" for c in (*groups, "seed")),
+    )
+    pairs = ", ".join(f"cast({v} as double), cast(n_{v} as double)" for v in values)
+    rows = R.ranked(sums, {cluster: cluster}, ["seed", *groups]).join(F.broadcast(names), [*groups, "seed"]).selectExpr(
+        "_group", "_r0", "_n0", f"sequence(0, {2 * len(values) - 1}) AS _pos", f"array({pairs}) AS _values"
+    )
+    spec = names.join(choices, "seed").selectExpr("_group", "cast(draw as bigint) * 1000000 + slot AS draw")
+    parts = weighted_sums(rows, axes=[cluster], width=2 * len(values), seed=seed, draws=R.chosen_draws(spec, "_group"))
+    totals = parts.groupBy("_group", "draw").agg(*[F.sum(F.col("sums")[k]).alias(f"_{k}") for k in range(2 * len(values))])
+    drawn = totals.filter("draw > 0").join(F.broadcast(names), "_group").selectExpr(
+        *groups, "cast(draw div 1000000 as int) AS draw", "seed", *[f"_{2 * i} / nullif(_{2 * i + 1}, 0) AS {v}" for i, v in enumerate(values)]
     )
-    m = R.shared_multiplicities(sums, cluster, axis=cluster, draws=draws, seed=seed, by=["seed", *groups], choices=spec)
-    drawn = m.join(sums, ["seed", *groups, cluster]).groupBy(*groups, "draw", "seed").agg(
-        *[F.expr(f"sum(m * {v}) / nullif(sum(m * n_{v}), 0)").alias(v) for v in values]
-    ).selectExpr(*groups, "cast(draw div 1000000 as int) AS draw", "seed", *values)
     observed = sums.groupBy(*groups, "seed").agg(*[F.expr(f"sum({v}) / nullif(sum(n_{v}), 0)").alias(v) for v in values]).selectExpr(
         *groups, "0 AS draw", "seed", *values
     )

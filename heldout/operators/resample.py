@@ -2,12 +2,10 @@
 
 Rows are never resampled.  Predictions are first reduced to sums per (split,
 subject, stimulus) pair; a draw is a weighted sum of those with the product of
-the two identities' multiplicities, taken for all draws at once as one matrix
-product per Arrow batch.  Only (split, draw) sums are shuffled
-after it.
-
-Multiplicities come from hashes: slot j of draw b picks identity
-``sha256(seed:b:axis:j) mod n``, so a draw is the same on any cluster.
+the two identities' multiplicities, taken for blocks of draws as one matrix
+product per Arrow batch.  Multiplicities are made in the task from the rank of
+the identity (see ``multiplicity``), so pair rows carry no lists of draws and
+only (split, draw) sums are shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +19,10 @@ from pyspark.sql import functions as F
 
 from heldout.functions.checks import EvaluationError
 from heldout.functions.hashing import hash_rank, seeded_hash
+from heldout.functions.joins import attach_groups
 from heldout.functions.materialize import materialize
 from heldout.operators.metrics import SUMS, pair_sums
+from heldout.operators.multiplicity import weighted_sums
 
 STATS = len(SUMS)
 
@@ -64,64 +64,11 @@ def shared_multiplicities(
     return counts.join(ids.select(*by, "_r", column), [*by, "_r"]).select(*by, "draw", column, "m")
 
 
-def _lists(m: DataFrame, column: str, by: Sequence[str], name: str) -> DataFrame:
-    """The draws of an identity and its multiplicities, as two lists of at most one entry per draw."""
-    return m.groupBy(*by, column).agg(
-        F.collect_list(F.struct(F.col("draw").cast("int").alias("d"), F.col("m").cast("int").alias("m"))).alias("_e")
-    ).selectExpr(*by, column, f"transform(_e, e -> e.d) AS {name}_d", f"transform(_e, e -> e.m) AS {name}_m")
-
-
-def _accumulate(cells: int, length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            split = batch.column("_split").to_numpy(zero_copy_only=False)
-
-            def weights(name, n=n, batch=batch):
-                """Multiplicities of every row and draw; position 0 is the observed sample."""
-                draws = batch.column(f"{name}_d")
-                dense = np.zeros((n, length))
-                row = np.repeat(np.arange(n), draws.value_lengths().to_numpy(zero_copy_only=False))
-                dense[row, draws.flatten().to_numpy(zero_copy_only=False)] = batch.column(f"{name}_m").flatten().to_numpy(zero_copy_only=False)
-                dense[:, 0] = 1.0
-                return dense
-
-            w = weights("_wa")
-            if "_wb_d" in batch.schema.names:
-                w = w * weights("_wb")
-            pos = batch.column("_pos")
-            where = pos.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(n), pos.value_lengths().to_numpy(zero_copy_only=False))
-            dense = np.zeros((n, cells, STATS))
-            dense[row, where] = batch.column("_sums").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, STATS)
-            dense = dense.reshape(n, cells * STATS)
-            for s in np.unique(split):
-                pick = split == s
-                part = w[pick].T @ dense[pick]
-                total[s] = total[s] + part if s in total else part
-        for s, sums in total.items():
-            for start in range(0, length, 256):
-                block = sums[start:start + 256]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(block), s), pa.int64()),
-                        pa.array(np.arange(start, start + len(block)), pa.int32()),
-                        pa.array(list(block), pa.list_(pa.float64())),
-                    ],
-                    names=["_split", "draw", "sums"],
-                )
-
-    return run
-
-
 def _score(targets: int, guard: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            split = batch.column("_split").to_pylist()
+            split = batch.column("_group").to_pylist()
             draw = batch.column("draw").to_pylist()
             if not split:
                 continue
@@ -160,15 +107,32 @@ def pair_table(long: DataFrame, cells: Sequence[str], axes: Sequence[str], *, sp
     return materialize(pair_sums(long, [split, *axes, *cells, "target"]))
 
 
+def ranked(rows: DataFrame, axes: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with the rank ``_r{i}`` from 0 of each identity column, in the hash order of its axis, and their number ``_n{i}``."""
+    for i, (column, axis) in enumerate(axes.items()):
+        index = _indexed(rows, column, axis, by).selectExpr(*by, column, f"cast(_r - 1 as bigint) AS _r{i}", f"cast(_n as bigint) AS _n{i}")
+        others = [c for c in axes if c != column]
+        rows = attach_groups(rows, index, [*by, column], how="inner", spread=others[0] if others else None)
+    return rows
+
+
+def chosen_draws(choices: DataFrame, group: str) -> dict[int, np.ndarray]:
+    """Draws of each group in order; as many rows as draws and slots, whatever the size of the data."""
+    out: dict[int, list] = {}
+    for g, draw in choices.select(group, "draw").distinct().collect():
+        out.setdefault(g, []).append(draw)
+    return {g: np.sort(np.array(d, np.int64)) for g, d in out.items()}
+
+
 def split_draws(
-    sums: DataFrame, cells: Sequence[str], *, draws: int, multiplicities: dict[str, DataFrame], split: str = "seed",
-    mult_by: Sequence[str] = (), guard: float = 1e-15,
+    sums: DataFrame, cells: Sequence[str], *, draws: int, seed: int, axes: dict[str, str], split: str = "seed",
+    mult_by: Sequence[str] = (), choices: DataFrame | None = None, guard: float = 1e-15,
 ) -> DataFrame:
     """Macro CCC and MAE of every (split, draw, cell) of a ``pair_table``; draw 0 is the observed sample.
 
-    ``multiplicities`` names one or two identity axes.
+    ``axes`` maps one or two identity columns to the names their draws are
+    seeded with.  ``choices`` (split, draw) restricts each split to its draws.
     """
-    axes = list(multiplicities)
     # the grid of cells and targets is small by construction
     grid = sorted(tuple(r) for r in sums.select(*cells, "target").distinct().collect())
     targets = sorted({g[-1] for g in grid})
@@ -182,18 +146,17 @@ def split_draws(
     stats = ", ".join(SUMS)
     packed = (
         sums.join(F.broadcast(cell_table), list(cells)).join(F.broadcast(target_table), "target")
-        .selectExpr(split, *axes, f"_cell * {len(targets)} + _target AS p", f"array({stats}) AS v")
-        .groupBy(split, *axes).agg(F.collect_list("p").alias("_pos"), F.collect_list("v").alias("_sums"))
+        .selectExpr(split, *axes, f"(_cell * {len(targets)} + _target) * {STATS} AS p", f"array({stats}) AS v")
+        .groupBy(split, *axes).agg(F.collect_list("p").alias("_p"), F.collect_list("v").alias("_v"))
+    )
+    inner = ", ".join(f"p + {k}" for k in range(STATS))
+    rows = ranked(packed, axes, mult_by).selectExpr(
+        f"cast({split} as bigint) AS _group", *[f"{x}{i}" for i in range(len(axes)) for x in ("_r", "_n")],
+        f"flatten(transform(_p, p -> array({inner}))) AS _pos", "flatten(_v) AS _values",
     )
-    names = []
-    for axis, name in zip(axes, ("_wa", "_wb")):
-        # an identity never drawn has no entry but still counts in the observed sample
-        packed = packed.join(_lists(multiplicities[axis], axis, mult_by, name), [*mult_by, axis], "left")
-        names += [f"coalesce({name}_{x}, cast(array() as array<int>)) AS {name}_{x}" for x in "dm"]
-    rows = packed.selectExpr(f"cast({split} as bigint) AS _split", *names, "_pos", "_sums")
-    width = len(grid) * len(targets)
-    partial = rows.mapInArrow(_accumulate(width, draws + 1), "_split bigint, draw int, sums array<double>")
-    scored = partial.repartition("_split", "draw").mapInArrow(
+    wanted = np.arange(1, draws + 1) if choices is None else chosen_draws(choices.selectExpr(f"cast({split} as bigint) AS _group", "draw"), "_group")
+    partial = weighted_sums(rows, axes=list(axes.values()), width=len(grid) * len(targets) * STATS, seed=seed, draws=wanted)
+    scored = partial.repartition("_group", "draw").mapInArrow(
         _score(len(targets), guard), "_split bigint, draw int, _cell int, macro_ccc double, macro_mae double, weight double"
     )
     return scored.join(F.broadcast(cell_table), "_cell").drop("_cell").withColumnRenamed("_split", split)
@@ -209,16 +172,14 @@ def mean_over_splits(scores: DataFrame, keys: Sequence[str], splits: int) -> Dat
 def cluster_bootstrap(long: DataFrame, cells: Sequence[str], cluster: str, *, draws: int, seed: int, split: str = "seed") -> DataFrame:
     """Scores under resampled whole clusters."""
     sums = pair_table(long, cells, [cluster], split=split)
-    m = shared_multiplicities(sums, cluster, axis=cluster, draws=draws, seed=seed)
-    return split_draws(sums, cells, draws=draws, multiplicities={cluster: m}, split=split)
+    return split_draws(sums, cells, draws=draws, seed=seed, axes={cluster: cluster}, split=split)
 
 
 def crossed_bootstrap(
     sums: DataFrame, cells: Sequence[str], *, first="subject_uid", second="stimulus_uid", draws: int, seed: int, split: str = "seed",
 ) -> DataFrame:
     """Scores of a ``pair_table`` under independent multiplicities of both identities."""
-    ms = {c: shared_multiplicities(sums, c, axis=c, draws=draws, seed=seed) for c in (first, second)}
-    return split_draws(sums, cells, draws=draws, multiplicities=ms, split=split)
+    return split_draws(sums, cells, draws=draws, seed=seed, axes={c: c for c in (first, second)}, split=split)
 
 
 def seed_choices(long: DataFrame, *, draws: int, seed: int, split: str = "seed") -> DataFrame:
@@ -251,12 +212,8 @@ def nested_draws(
     pending = pseudo
     for attempt in range(retries + 1):
         tag = f":{attempt}" if attempt else ""
-        ms = {
-            c: shared_multiplicities(sums, c, axis=f"{c}{tag}", draws=total, seed=seed, by=[split], choices=pending.select(split, "draw"))
-            for c in clusters
-        }
-        scores = split_draws(sums, cells, draws=total, multiplicities=ms, split=split, mult_by=[split])
-        scores = materialize(scores)
+        axes = {c: f"{c}{tag}" for c in clusters}
+        scores = materialize(split_draws(sums, cells, draws=total, seed=seed, axes=axes, split=split, mult_by=[split], choices=pending))
         chosen = scores.join(pending, [split, "draw"]).selectExpr(
             "outer_draw AS draw", "slot", split, *cells, "macro_ccc", "macro_mae", "weight"
         )
