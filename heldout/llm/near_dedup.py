@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from heldout.functions.joins import attach_groups
 from heldout.functions.materialize import materialize
 from heldout.llm.components import components
 from heldout.llm.text import WordHash, as_bytes, bound_batches, plain, row_udf, shared_count, shingle_set
@@ -82,13 +83,13 @@ def _sketcher():
 def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, times), a < b: pairs of nodes that are neighbours in some order, and in how many; (key, order, node) of the larger regions."""
     double = nodes.select("node", F.concat("sig", "sig").alias("_twice"))
-    active = double.select("node", "_twice", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("order"))
+    active = double.withColumn("orders", F.sequence(F.lit(0), F.lit(ORDERS - 1)))
     found = []
     for level, depth in enumerate(DEPTHS):
-        key = F.expr(f"xxhash64(order, substring(_twice, {2 * FIRST} * order + 1, {2 * depth}))")
-        keyed = active.select("node", "order", key.alias("key"))
+        key = f"transform(orders, o -> struct(o AS order, xxhash64(o, substring(_twice, {2 * FIRST} * o + 1, {2 * depth})) AS key))"
+        keyed = active.select("node", F.expr(f"inline({key})"))
         regions = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
-        members = materialize(keyed.join(regions, "key"))
+        members = materialize(attach_groups(keyed, regions, ["key"], how="inner", spread="node"))
         few = members.filter(F.col("n") <= REGION).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all"))
         found.append(few.selectExpr("inline(flatten(transform(all, (x, i) -> transform(slice(all, i + 2, size(all)), y -> struct(x AS a, y AS b)))))"))
         many = members.filter(F.col("n") > REGION).select("node", "order", "first")
@@ -97,7 +98,7 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if many.isEmpty():
             break
         found.append(many.selectExpr("first AS a", "node AS b"))
-        active = many.select("node", "order").join(double, "node")
+        active = many.groupBy("node").agg(F.collect_list("order").alias("orders")).join(double, "node")  # one row per node
     pairs = found[0]
     for other in found[1:]:
         pairs = pairs.unionAll(other)
@@ -177,10 +178,13 @@ def region_links(members: DataFrame, labels: DataFrame, texts: DataFrame, thresh
     Every two sets of a region that have different labels and nearly equal sizes
     are compared in full.  Sets meet in blocks of bounded size, two blocks per
     row, and only links come out, so no region is one task and no row is a pair.
+    Sets of a region's largest label meet only sets of the other labels.
     """
-    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    placed = materialize(placed.join(mixed, "key"))
+    regions_of = members.groupBy("node").agg(F.collect_list("key").alias("keys")).join(labels, "node", "left")
+    placed = regions_of.select(F.explode("keys").alias("key"), "node", F.coalesce("label", "node").alias("label"))
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("largest")).filter("labels > 1")
+    placed = materialize(attach_groups(placed, mixed.select("key", "largest"), ["key"], how="inner", spread="node").withColumn("other", F.expr("label <> largest")).drop("largest"))
     if placed.isEmpty():
         return None
     ids = materialize(placed.select("node").distinct())
@@ -190,15 +194,20 @@ def region_links(members: DataFrame, labels: DataFrame, texts: DataFrame, thresh
     step = -float(np.log(0.999 * threshold))  # sets as similar as the threshold are in one size class or in neighbouring ones
     sets = sets.selectExpr("node", "s", "length(s) div 8 AS n", f"cast(floor(ln(length(s) / 8D) / {step!r}D) AS int) AS size_class", "xxhash64(node, s) AS h")
     sets = materialize(sets.dropDuplicates(["node", "h"]))
-    light = placed.join(sets.select("node", "n", "size_class", "h"), "node")
-    parts = light.groupBy("key", "size_class").agg(F.expr(f"cast(greatest(ceil(sum(n) / {BLOCK_SHINGLES}), ceil(count(1) / {BLOCK_SETS})) AS int)").alias("blocks"))
+    regions_of = placed.groupBy("node").agg(F.collect_list(F.struct("key", "label", "other")).alias("regions"))
+    light = regions_of.join(sets.select("node", "n", "size_class", "h"), "node").select("node", "n", "size_class", "h", F.expr("inline(regions)"))
+    parts = light.groupBy("key", "size_class", "other").agg(F.expr(f"cast(greatest(ceil(sum(n) / {BLOCK_SHINGLES}), ceil(count(1) / {BLOCK_SETS})) AS int)").alias("blocks"))
     parts = materialize(parts)
     block = F.expr("cast(pmod(h, blocks) AS int)").alias("block")
-    rows = light.join(parts, ["key", "size_class"]).select("key", "size_class", block, "node", "label", "h").join(sets.select("node", "h", "s"), ["node", "h"])
-    blocks = materialize(rows.groupBy("key", "size_class", "block").agg(F.collect_list(F.struct("node", "label", "s")).alias("sets")))
+    rows = light.join(parts, ["key", "size_class", "other"]).select("key", "size_class", "other", block, "node", "label", "h")
+    rows = rows.groupBy("node", "h").agg(F.collect_list(F.struct("key", "size_class", "other", "block", "label")).alias("regions"))
+    rows = rows.join(sets.select("node", "h", "s"), ["node", "h"]).select("node", "s", F.expr("inline(regions)"))
+    blocks = rows.groupBy("key", "size_class", "other", "block").agg(F.collect_list(F.struct("node", "label", "s")).alias("sets"))
+    # a block's number tells sets of the region's largest label (even) from the others (odd); two even ones have nothing to link
+    blocks = materialize(blocks.select("key", "size_class", F.expr("2 * block + int(other)").alias("block"), "sets"))
     here = blocks.select("key", F.col("size_class").alias("c1"), F.col("block").alias("i"))
     there = blocks.select("key", F.col("size_class").alias("c2"), F.col("block").alias("j"))
-    meet = here.join(there, "key").filter("(c1 = c2 AND i <= j) OR c2 = c1 + 1")
+    meet = here.join(there, "key").filter("((c1 = c2 AND i <= j) OR c2 = c1 + 1) AND (i % 2 = 1 OR j % 2 = 1)")
     same = F.expr("c1 = c2 AND i = j")
     meet = meet.select("key", "c1", "i", F.when(~same, F.col("c2")).alias("c2"), F.when(~same, F.col("j")).alias("j"))
     left = blocks.select("key", F.col("size_class").alias("c1"), F.col("block").alias("i"), F.col("sets").alias("one"))
@@ -242,8 +251,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     few = ids.count() <= BROADCAST_IDS
     wanted = texts.join(F.broadcast(ids) if few else ids, "node")
-    two = pairs.select("a", "b").join(wanted.select(F.col("node").alias("b"), F.col("text").alias("_b")), "b")
-    both = two.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("_a")), "a")
+    # a text with many partners is dealt to 16 joins
+    salted = materialize(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(16)).alias("_salt")))
+    firsts = salted.select("a", "_salt").distinct().join(wanted.select(F.col("node").alias("a"), F.col("text").alias("_a")), "a")
+    two = salted.join(wanted.select(F.col("node").alias("b"), F.col("text").alias("_b")), "b")
+    both = two.join(firsts, ["a", "_salt"])
     return materialize(both.withColumn("ok", _confirm(threshold)("_a", "_b")).filter("ok").select("a", "b").distinct())
 
 
@@ -295,13 +307,25 @@ def link_groups(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The rows of ``docs``, all columns, of one document of each group; a row that repeats a kept doc_id goes too.
+    """The rows of ``docs``, all columns, of one document of each group.
 
-    The ids that go are sent to every task if they are few, so the texts needn't be shuffled; more are joined.
+    Rows that repeat a kept doc_id stay once per shingle set, the one with the
+    smallest hash of its columns; so texts that differ stay, whatever their id.
+    The ids that go are sent to every task if they are few, so the texts needn't
+    be shuffled; more are joined.
     """
     judged = materialize(link_groups(docs, threshold))
     gone = materialize(judged.filter("NOT kept").select("doc_id").distinct())
     few = gone.count() <= BROADCAST_IDS
     out = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    repeated = judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    return out if repeated.isEmpty() else out.filter("doc_id IS NULL").unionByName(out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    repeated = materialize(judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return out
+    once = out.join(repeated, out["doc_id"] == repeated["doc_id"], "left_anti")
+    again = out.join(repeated, out["doc_id"] == repeated["doc_id"], "left_semi")
+    digest = row_udf(lambda: lambda rows, h=WordHash(): [xxhash.xxh3_128_digest(shingle_set(h, t).tobytes()) for t in rows], "binary")
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    text = "text" if "text" in docs.columns else None
+    packed = again.select(row.alias("row"), F.col("doc_id").alias("id"), digest(F.col("text") if text else F.lit(None).cast("string")).alias("set"))
+    first = packed.groupBy("id", "set").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.unionByName(first.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)]))
