@@ -313,40 +313,45 @@ def block_primary_draws(long: DataFrame, *, draws: int, seed: int) -> DataFrame:
     return d.join(valid, ["representation", "draw"]).select("draw", *CELL, "ccc_delta", "valid")
 
 
-def _paired(nested: DataFrame, label: str, first: str, second: str, *, strict: bool) -> DataFrame:
-    """Differences per (draw, slot) averaged over slots; ``strict`` lets one undefined slot undo the draw."""
-    key = ["draw", "slot", "seed"]
+def _paired(nested: DataFrame, label: str, first: str, second: str, *, strict: bool, by: Sequence[str] = ()):
+    """Differences per (by, draw, slot) averaged over slots; ``strict`` lets one undefined slot undo the draw."""
+    key = [*by, "draw", "slot", "seed"]
     a = nested.filter(F.col(label) == first).selectExpr(*key, "macro_ccc AS ca", "macro_mae AS ma")
     b = nested.filter(F.col(label) == second).selectExpr(*key, "macro_ccc AS cb", "macro_mae AS mb")
     d = a.join(b, key).selectExpr(*key, "ca - cb AS ccc", "ma - mb AS mae")
     whole = "if(count({0}) = count(*), avg({0}), null)" if strict else "avg({0})"
-    return d.groupBy("draw").agg(*[F.expr(whole.format(m)).alias(f"{m}_delta") for m in ("ccc", "mae")]), d
+    return d.groupBy(*by, "draw").agg(*[F.expr(whole.format(m)).alias(f"{m}_delta") for m in ("ccc", "mae")]), d
 
 
-def paired_protocol_analysis(long: DataFrame, pairs: Sequence[tuple[str, str]], clusters: Sequence[str], *, label: str = "model", draws: int, seed: int, retries: int = 0, strict: bool = True) -> DataFrame:
-    """Paired comparisons: splits resampled, then clusters; deltas, intervals and exact sign flips."""
-    nested = materialize(R.nested_draws(long, [label], clusters, draws=draws, seed=seed, retries=retries))
+def paired_protocol_analysis(long: DataFrame, pairs: Sequence[tuple[str, str]], clusters: Sequence[str], *, label: str = "model", draws: int, seed: int, retries: int = 0, strict: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """Paired comparisons: splits resampled, then clusters; deltas, intervals and exact sign flips.
+
+    ``by`` names the columns of a grid of cells: all cells share the draws, and
+    each comparison is made in each cell.
+    """
+    by = list(by)
+    nested = materialize(R.nested_draws(long, [*by, label], clusters, draws=draws, seed=seed, retries=retries))
     out = None
     for first, second in pairs:
-        per_draw, per_slot = _paired(nested, label, first, second, strict=strict)
-        part = None
+        per_draw, per_slot = (t.withColumn("_k", F.lit(1)) for t in _paired(nested, label, first, second, strict=strict, by=by))
+        key, part = [*by, "_k"], None
         for m in ("ccc", "mae"):
-            ci = intervals(per_draw.withColumn("_k", F.lit(1)), ["_k"], f"{m}_delta")
-            p = sign_flip_pvalue(per_slot.filter("draw = 0").withColumn("_k", F.lit(1)), ["_k"], m)
-            row = ci.join(p, "_k").selectExpr("_k", f"estimate AS {m}_delta", f"ci_low AS {m}_ci_low", f"ci_high AS {m}_ci_high", f"p_value AS {m}_p_value")
-            part = row if part is None else part.join(row, "_k")
+            ci = intervals(per_draw, key, f"{m}_delta")
+            p = sign_flip_pvalue(per_slot.filter("draw = 0"), key, m)
+            row = ci.join(p, key).selectExpr(*key, f"estimate AS {m}_delta", f"ci_low AS {m}_ci_low", f"ci_high AS {m}_ci_high", f"p_value AS {m}_p_value")
+            part = row if part is None else part.join(row, key)
         part = part.drop("_k").withColumn("comparison", F.lit(f"{first}_vs_{second}"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def ablation_analysis(long: DataFrame, clusters: Sequence[str], *, label: str = "view_id", draws: int, seed: int) -> DataFrame:
+def ablation_analysis(long: DataFrame, clusters: Sequence[str], *, label: str = "view_id", draws: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Every feature view against ``full``; empty crossed draws are redrawn up to 100 times."""
     views = sorted(r[0] for r in long.select(label).distinct().collect())  # feature views are few
     if "full" not in views:
         raise EvaluationError("the view that others are compared with is absent")
     pairs = [(v, "full") for v in views if v != "full"]
-    return paired_protocol_analysis(long, pairs, clusters, label=label, draws=draws, seed=seed, retries=100, strict=False)
+    return paired_protocol_analysis(long, pairs, clusters, label=label, draws=draws, seed=seed, retries=100, strict=False, by=by)
 
 
 def _cluster_mean_draws(sums: DataFrame, groups: Sequence[str], values: Sequence[str], *, cluster: str, draws: int, seed: int) -> DataFrame:
@@ -378,31 +383,33 @@ def _cluster_mean_draws(sums: DataFrame, groups: Sequence[str], values: Sequence
     return drawn.unionByName(observed)
 
 
-def condition_effects(df: DataFrame, *, baseline: str, candidates: Sequence[str], draws: int, seed: int, names=("valence", "arousal"), contrasts: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+def condition_effects(df: DataFrame, *, baseline: str, candidates: Sequence[str], draws: int, seed: int, names=("valence", "arousal"), contrasts: Sequence[tuple[str, str, str]] = (), by: Sequence[str] = ()) -> DataFrame:
     """MAE deltas against the baseline per condition, and named contrasts of two conditions.
 
-    Output ``(kind, name, candidate, estimate, ci_low, ci_high, p_value)``.
+    Output ``(by, kind, name, candidate, estimate, ci_low, ci_high, p_value)``;
+    ``by`` names the columns of a grid of cells that share the draws.
     """
+    by = list(by)
     k = len(names)
     delta = {c: " + ".join(f"abs({c}_{n} - target_{n}) - abs({baseline}_{n} - target_{n})" for n in names) for c in candidates}
-    rows = df.selectExpr("seed", "subject_uid", "context", *[f"({e}) / {k} AS d_{c}" for c, e in delta.items()])
+    rows = df.selectExpr(*by, "seed", "subject_uid", "context", *[f"({e}) / {k} AS d_{c}" for c, e in delta.items()])
     parts = []
     for c in candidates:
-        per = rows.groupBy("seed", "subject_uid", F.col("context").alias("name")).agg(F.sum(f"d_{c}").alias("v"), F.count(F.lit(1)).alias("n_v"))
-        d = _cluster_mean_draws(per, ["name"], ["v"], cluster="subject_uid", draws=draws, seed=seed)
-        parts.append(d.selectExpr("'condition' AS kind", "name", f"'{c}' AS candidate", "draw", "seed", "v AS value"))
+        per = rows.groupBy(*by, "seed", "subject_uid", F.col("context").alias("name")).agg(F.sum(f"d_{c}").alias("v"), F.count(F.lit(1)).alias("n_v"))
+        d = _cluster_mean_draws(per, [*by, "name"], ["v"], cluster="subject_uid", draws=draws, seed=seed)
+        parts.append(d.selectExpr(*by, "'condition' AS kind", "name", f"'{c}' AS candidate", "draw", "seed", "v AS value"))
         for name, a, b in contrasts:
-            both = rows.filter(F.col("context").isin(a, b)).groupBy("seed", "subject_uid").agg(
+            both = rows.filter(F.col("context").isin(a, b)).groupBy(*by, "seed", "subject_uid").agg(
                 F.expr(f"coalesce(sum(d_{c}) filter (where context = '{a}'), 0)").alias("va"), F.expr(f"count_if(context = '{a}')").alias("n_va"),
                 F.expr(f"coalesce(sum(d_{c}) filter (where context = '{b}'), 0)").alias("vb"), F.expr(f"count_if(context = '{b}')").alias("n_vb"),
             ).withColumn("name", F.lit(name))
-            d = _cluster_mean_draws(both, ["name"], ["va", "vb"], cluster="subject_uid", draws=draws, seed=seed)
-            parts.append(d.selectExpr("'contrast' AS kind", "name", f"'{c}' AS candidate", "draw", "seed", "va - vb AS value"))
+            d = _cluster_mean_draws(both, [*by, "name"], ["va", "vb"], cluster="subject_uid", draws=draws, seed=seed)
+            parts.append(d.selectExpr(*by, "'contrast' AS kind", "name", f"'{c}' AS candidate", "draw", "seed", "va - vb AS value"))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
     long = materialize(long)
-    keys = ["kind", "name", "candidate"]
+    keys = [*by, "kind", "name", "candidate"]
     per_draw = long.groupBy(*keys, "draw").agg(F.expr("if(count(value) = count(*), avg(value), null)").alias("value"))
     return intervals(per_draw, keys, "value").join(sign_flip_pvalue(long.filter("draw = 0"), keys, "value"), keys)
 

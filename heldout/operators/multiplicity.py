@@ -90,7 +90,7 @@ class Picker:
         return out
 
 
-def weighted_sums(rows: DataFrame, *, axes: Sequence[str], width: int, seed: int, draws: np.ndarray | dict[int, np.ndarray]) -> DataFrame:
+def weighted_sums(rows: DataFrame, *, axes: Sequence[str], width: int, seed: int, draws: np.ndarray | dict[int, np.ndarray], leaf: int = LEAF) -> DataFrame:
     """``(_group, draw, sums)``: per task and group the sum of row vectors, weighted by each draw; draw 0 weighs all by 1.
 
     ``rows`` holds ``_group``, for axis i the rank ``_r{i}`` from 0 and the
@@ -101,7 +101,7 @@ def weighted_sums(rows: DataFrame, *, axes: Sequence[str], width: int, seed: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        picker, total = Picker(seed), {}
+        picker, total = Picker(seed, leaf), {}
         none = np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:

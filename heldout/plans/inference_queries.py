@@ -247,91 +247,148 @@ def _(spark, d):
     return I.topology(predictions(spark, d))
 
 
-def one_cell(spark, d):
-    return predictions(spark, d).filter(
-        "representation = 'a_pretrained' and participant_dose = 4 and stimulus_dose = 4 and predictor in ('prior', 'combined_population')"
-    ).withColumnRenamed("predictor", "model")
+PAIR = ("prior", "combined_population")
+NESTED = 2000  # draws of the nested analyses, as many as the method's own studies take
+CELLS = "representation, participant_dose, stimulus_dose"
 
 
-view("one_cell", "SELECT *, predictor AS model FROM preds WHERE representation='a_pretrained' AND participant_dose=4 AND stimulus_dose=4 AND predictor IN ('prior','combined_population')")
+def all_cells(spark, d):
+    """Every cell of the grid with the two predictors that are compared."""
+    return predictions(spark, d).filter(F.col("predictor").isin(*PAIR)).withColumnRenamed("predictor", "model")
+
+
+view("all_cells", "SELECT *, predictor AS model FROM preds WHERE predictor IN ('prior','combined_population')")
 view("seed_choice", f"""
-WITH i AS MATERIALIZED (SELECT seed, row_number() OVER (ORDER BY sha256('split:'||seed), seed) AS r FROM (SELECT DISTINCT seed FROM one_cell))
-SELECT draw AS outer_draw, slot, (draw-1)*5+slot+1 AS draw, seed FROM (SELECT unnest(range(1,{B}+1)) AS draw) CROSS JOIN (SELECT unnest(range(5)) AS slot)
+WITH i AS MATERIALIZED (SELECT seed, row_number() OVER (ORDER BY sha256('split:'||seed), seed) AS r FROM (SELECT DISTINCT seed FROM all_cells))
+SELECT draw AS outer_draw, slot, (draw-1)*5+slot+1 AS draw, seed FROM (SELECT unnest(range(1,{NESTED}+1)) AS draw) CROSS JOIN (SELECT unnest(range(5)) AS slot)
 JOIN i ON i.r=('0x'||substr(sha256('{SEED}:'||draw||':split:'||slot),1,15))::BIGINT % 5 + 1""")
 
 
-def nested_sql(clusters: list[str]) -> str:
-    ms = ", ".join(f"m{i} AS ({mult_sql('one_cell', c, 0, 'seed', 'seed_choice')})" for i, c in enumerate(clusters))
+def flip_sql(source: str, keys: str, value: str) -> str:
+    """Exact sign-flip p-values of the rows of ``source``."""
+    return f"""SELECT {keys}, count_if(s>=o-1e-12)/count(*) AS p FROM (
+  SELECT {keys}, o, abs(list_sum(list_transform(range(n), lambda i: CASE WHEN (b>>i)&1=1 THEN -v[i+1] ELSE v[i+1] END)))/n AS s FROM (
+   SELECT {keys}, list({value} ORDER BY {value}) AS v, abs(avg({value})) AS o, count(*) AS n FROM {source} GROUP BY {keys}) JOIN (SELECT unnest(range(1<<20)) AS b) ON b<(1<<n)) GROUP BY {keys}"""
+
+
+def nested_sql(clusters: list[str], name: str) -> str:
+    ms = ", ".join(f"m{i} AS ({mult_sql('all_cells', c, 0, 'seed', 'seed_choice')})" for i, c in enumerate(clusters))
     if len(clusters) == 1:
         w = "SELECT draw, seed, subject_uid, m AS w FROM m0"
     else:
         w = "SELECT draw, seed, subject_uid, stimulus_uid, m0.m*m1.m AS w FROM m0 JOIN m1 USING (draw, seed)"
+    k = CELLS
+    same = " AND ".join(f"a.{c}=b.{c}" for c in k.split(", "))
+    ends = ", ".join(f"round(quantile_cont(CASE WHEN draw>0 THEN {m} END,{q}),6) AS {m}_ci_{e}" for m in ("ccc", "mae") for q, e in ((0.025, "low"), (0.975, "high")))
     return f"""
 WITH {ms}, w AS ({w}),
-s AS (SELECT draw, seed, model, target, {W} FROM one_cell JOIN w USING (seed, {', '.join(clusters)}) GROUP BY ALL
-  UNION ALL SELECT 0, seed, model, target, {W} FROM (SELECT *, 1 AS w FROM one_cell) GROUP BY ALL),
-c AS (SELECT draw, seed, model, avg({CCC}) AS ccc, avg(sae/n) AS mae FROM s GROUP BY ALL),
-d AS (SELECT a.draw, a.seed, a.ccc-b.ccc AS ccc, a.mae-b.mae AS mae FROM c a JOIN c b ON a.draw=b.draw AND a.seed=b.seed AND a.model='combined_population' AND b.model='prior'),
-per AS (SELECT outer_draw AS draw, ccc, mae FROM seed_choice JOIN d USING (draw, seed) UNION ALL SELECT 0, ccc, mae FROM d WHERE draw=0),
-g AS (SELECT draw, CASE WHEN count(ccc)=5 THEN avg(ccc) END AS ccc, CASE WHEN count(mae)=5 THEN avg(mae) END AS mae FROM per GROUP BY 1)
-SELECT round(max(CASE WHEN draw=0 THEN ccc END),6) AS ccc_delta, round(quantile_cont(CASE WHEN draw>0 THEN ccc END,0.025),6) AS ccc_ci_low, round(quantile_cont(CASE WHEN draw>0 THEN ccc END,0.975),6) AS ccc_ci_high,
- round(max(CASE WHEN draw=0 THEN mae END),6) AS mae_delta, round(quantile_cont(CASE WHEN draw>0 THEN mae END,0.025),6) AS mae_ci_low, round(quantile_cont(CASE WHEN draw>0 THEN mae END,0.975),6) AS mae_ci_high,
- {{name}} AS comparison FROM g"""
-
-
-@query("paired_protocol_analysis", nested_sql(["subject_uid"]).replace("{name}", "'combined_population_vs_prior'"))
+s AS (SELECT draw, seed, {k}, model, target, {W} FROM all_cells JOIN w USING (seed, {', '.join(clusters)}) GROUP BY ALL
+  UNION ALL SELECT 0, seed, {k}, model, target, {W} FROM (SELECT *, 1 AS w FROM all_cells) GROUP BY ALL),
+c AS (SELECT draw, seed, {k}, model, avg({CCC}) AS ccc, avg(sae/n) AS mae FROM s GROUP BY ALL),
+d AS (SELECT a.draw, a.seed, {', '.join(f'a.{c}' for c in k.split(', '))}, a.ccc-b.ccc AS ccc, a.mae-b.mae AS mae FROM c a JOIN c b ON a.draw=b.draw AND a.seed=b.seed AND {same} AND a.model='combined_population' AND b.model='prior'),
+zero AS (SELECT * FROM d WHERE draw=0),
+per AS (SELECT outer_draw AS draw, {k}, ccc, mae FROM seed_choice JOIN d USING (draw, seed) UNION ALL SELECT 0, {k}, ccc, mae FROM zero),
+g AS (SELECT draw, {k}, CASE WHEN count(ccc)=5 THEN avg(ccc) END AS ccc, CASE WHEN count(mae)=5 THEN avg(mae) END AS mae FROM per GROUP BY ALL),
+q AS (SELECT {k}, round(max(CASE WHEN draw=0 THEN ccc END),6) AS ccc_delta, round(max(CASE WHEN draw=0 THEN mae END),6) AS mae_delta, {ends} FROM g GROUP BY ALL)
+SELECT q.*, round(a.p,6) AS ccc_p_value, round(b.p,6) AS mae_p_value, '{name}' AS comparison FROM q JOIN ({flip_sql('zero', k, 'ccc')}) a USING ({k}) JOIN ({flip_sql('zero', k, 'mae')}) b USING ({k})"""
+
+
+@query("paired_protocol_analysis", nested_sql(["subject_uid"], "combined_population_vs_prior"))
 def _(spark, d):
-    out = I.paired_protocol_analysis(one_cell(spark, d), [("combined_population", "prior")], ["subject_uid"], draws=B, seed=SEED)
-    return rounded(out.drop("ccc_p_value", "mae_p_value"))
+    return rounded(I.paired_protocol_analysis(all_cells(spark, d), [("combined_population", "prior")], ["subject_uid"], draws=NESTED, seed=SEED, by=I.CELL))
 
 
-@query("ablation_analysis", nested_sql(["subject_uid", "stimulus_uid"]).replace("{name}", "'no_prior_vs_full'"))
+@query("ablation_analysis", nested_sql(["subject_uid", "stimulus_uid"], "no_prior_vs_full"))
 def _(spark, d):
-    long = one_cell(spark, d).withColumn("view_id", F.expr("if(model = 'prior', 'full', 'no_prior')"))
-    out = I.ablation_analysis(long, ["subject_uid", "stimulus_uid"], draws=B, seed=SEED)
-    return rounded(out.drop("ccc_p_value", "mae_p_value"))
+    long = all_cells(spark, d).withColumn("view_id", F.expr("if(model = 'prior', 'full', 'no_prior')"))
+    return rounded(I.ablation_analysis(long, ["subject_uid", "stimulus_uid"], draws=NESTED, seed=SEED, by=I.CELL))
+
+
+def wide_cells(spark, d):
+    return all_cells(spark, d).groupBy(*I.CELL, "seed", "trial_uid", "subject_uid", "context").agg(*[
+        F.expr(f"max(case when model = '{m}' and target = '{n}' then {v} end)").alias(a)
+        for n in ("valence", "arousal")
+        for m, v, a in (("prior", "y", f"target_{n}"), ("prior", "yhat", f"base_{n}"), ("combined_population", "yhat", f"shifted_{n}"))
+    ])
+
+
+def effects(spark, d):
+    return I.condition_effects(
+        wide_cells(spark, d), baseline="base", candidates=["shifted"], draws=NESTED, seed=SEED, contrasts=[("view-click", "view", "click")], by=I.CELL
+    )
+
+
+_GAIN = f"SELECT {CELLS}, seed, subject_uid, context, sum(CASE WHEN model='prior' THEN -abs(yhat-y) ELSE abs(yhat-y) END)/2 AS d FROM all_cells GROUP BY {CELLS}, seed, trial_uid, subject_uid, context"
 
 
 @query("condition_effects", f"""
-WITH t AS (SELECT seed, subject_uid, context, sum(CASE WHEN model='prior' THEN -abs(yhat-y) ELSE abs(yhat-y) END)/2 AS d FROM one_cell GROUP BY seed, trial_uid, subject_uid, context),
-s AS (SELECT seed, subject_uid, context, sum(d) v, count(*) n FROM t GROUP BY ALL),
+WITH t AS ({_GAIN}),
+s AS (SELECT {CELLS}, seed, subject_uid, context, sum(d) v, count(*) n FROM t GROUP BY ALL),
 i AS MATERIALIZED (SELECT seed, context, subject_uid, row_number() OVER (PARTITION BY seed, context ORDER BY sha256('subject_uid:'||subject_uid), subject_uid) r, count(*) OVER (PARTITION BY seed, context) n FROM (SELECT DISTINCT seed, context, subject_uid FROM s)),
 ch AS (SELECT outer_draw*1000000+slot AS draw, outer_draw, seed FROM seed_choice),
 p AS (SELECT seed, context, draw, outer_draw, ('0x'||substr(sha256('{SEED}:'||draw||':subject_uid:'||(r-1)),1,15))::BIGINT % n + 1 AS r, count(*) m FROM i JOIN ch USING (seed) GROUP BY ALL),
-d AS (SELECT context, outer_draw, draw, sum(m*v)/sum(m*s.n) AS v FROM p JOIN i USING (seed, context, r) JOIN s USING (seed, context, subject_uid) GROUP BY ALL
- UNION ALL SELECT context, 0, seed, sum(v)/sum(n) FROM s GROUP BY context, seed),
-g AS (SELECT context, outer_draw AS draw, CASE WHEN count(v)=count(*) THEN avg(v) END AS v FROM d GROUP BY 1,2)
-SELECT 'condition' AS kind, context AS name, 'shifted' AS candidate, round(max(CASE WHEN draw=0 THEN v END),6) AS estimate, round(quantile_cont(CASE WHEN draw>0 THEN v END,0.025),6) AS ci_low,
- round(quantile_cont(CASE WHEN draw>0 THEN v END,0.975),6) AS ci_high FROM g GROUP BY context""")
+d AS (SELECT {CELLS}, context, outer_draw, draw, sum(m*v)/sum(m*s.n) AS v FROM p JOIN i USING (seed, context, r) JOIN s USING (seed, context, subject_uid) GROUP BY ALL
+ UNION ALL SELECT {CELLS}, context, 0, seed, sum(v)/sum(n) FROM s GROUP BY {CELLS}, context, seed),
+zero AS (SELECT * FROM d WHERE outer_draw=0),
+g AS (SELECT {CELLS}, context, outer_draw AS draw, CASE WHEN count(v)=count(*) THEN avg(v) END AS v FROM d GROUP BY ALL)
+SELECT {CELLS}, 'condition' AS kind, context AS name, 'shifted' AS candidate, round(max(CASE WHEN draw=0 THEN v END),6) AS estimate, round(quantile_cont(CASE WHEN draw>0 THEN v END,0.025),6) AS ci_low,
+ round(quantile_cont(CASE WHEN draw>0 THEN v END,0.975),6) AS ci_high, round(any_value(p),6) AS p_value FROM g JOIN ({flip_sql('zero', CELLS + ', context', 'v')}) USING ({CELLS}, context) GROUP BY {CELLS}, context""")
 def _(spark, d):
-    wide = one_cell(spark, d).groupBy("seed", "trial_uid", "subject_uid", "context").agg(*[
-        F.expr(f"max(case when model = '{m}' and target = '{n}' then {v} end)").alias(a)
-        for n in ("valence", "arousal")
-        for m, v, a in (("prior", "y", f"target_{n}"), ("prior", "yhat", f"base_{n}"), ("combined_population", "yhat", f"shifted_{n}"))
-    ])
-    out = I.condition_effects(wide, baseline="base", candidates=["shifted"], draws=B, seed=SEED, contrasts=[("view-click", "view", "click")])
-    return rounded(out.filter("kind = 'condition'").select("kind", "name", "candidate", "estimate", "ci_low", "ci_high"))
+    return rounded(effects(spark, d).filter("kind = 'condition'").drop("valid_bootstrap"))
 
 
 @query("strategy_contrasts", f"""
-WITH t AS (SELECT seed, subject_uid, context, sum(CASE WHEN model='prior' THEN -abs(yhat-y) ELSE abs(yhat-y) END)/2 AS d FROM one_cell WHERE context IN ('view','click') GROUP BY seed, trial_uid, subject_uid, context),
-s AS (SELECT seed, subject_uid, coalesce(sum(d) FILTER (context='view'),0) va, count_if(context='view') na, coalesce(sum(d) FILTER (context='click'),0) vb, count_if(context='click') nb FROM t GROUP BY ALL),
-i AS MATERIALIZED (SELECT seed, subject_uid, row_number() OVER (PARTITION BY seed ORDER BY sha256('subject_uid:'||subject_uid), subject_uid) r, count(*) OVER (PARTITION BY seed) n FROM s),
+WITH t AS (SELECT * FROM ({_GAIN}) WHERE context IN ('view','click')),
+s AS (SELECT {CELLS}, seed, subject_uid, coalesce(sum(d) FILTER (context='view'),0) va, count_if(context='view') na, coalesce(sum(d) FILTER (context='click'),0) vb, count_if(context='click') nb FROM t GROUP BY ALL),
+i AS MATERIALIZED (SELECT seed, subject_uid, row_number() OVER (PARTITION BY seed ORDER BY sha256('subject_uid:'||subject_uid), subject_uid) r, count(*) OVER (PARTITION BY seed) n FROM (SELECT DISTINCT seed, subject_uid FROM s)),
 ch AS (SELECT outer_draw*1000000+slot AS draw, outer_draw, seed FROM seed_choice),
 p AS (SELECT seed, draw, outer_draw, ('0x'||substr(sha256('{SEED}:'||draw||':subject_uid:'||(r-1)),1,15))::BIGINT % n + 1 AS r, count(*) m FROM i JOIN ch USING (seed) GROUP BY ALL),
-d AS (SELECT outer_draw, draw, sum(m*va)/nullif(sum(m*na),0)-sum(m*vb)/nullif(sum(m*nb),0) AS v FROM p JOIN i USING (seed, r) JOIN s USING (seed, subject_uid) GROUP BY ALL
- UNION ALL SELECT 0, seed, sum(va)/sum(na)-sum(vb)/sum(nb) FROM s GROUP BY seed),
-g AS (SELECT outer_draw AS draw, CASE WHEN count(v)=count(*) THEN avg(v) END AS v FROM d GROUP BY 1)
-SELECT 'contrast' AS kind, 'view-click' AS name, 'shifted' AS candidate, round(max(CASE WHEN draw=0 THEN v END),6) AS estimate, round(quantile_cont(CASE WHEN draw>0 THEN v END,0.025),6) AS ci_low,
- round(quantile_cont(CASE WHEN draw>0 THEN v END,0.975),6) AS ci_high, count(CASE WHEN draw>0 THEN v END) AS valid_bootstrap FROM g""")
+d AS (SELECT {CELLS}, outer_draw, draw, sum(m*va)/nullif(sum(m*na),0)-sum(m*vb)/nullif(sum(m*nb),0) AS v FROM p JOIN i USING (seed, r) JOIN s USING (seed, subject_uid) GROUP BY ALL
+ UNION ALL SELECT {CELLS}, 0, seed, sum(va)/sum(na)-sum(vb)/sum(nb) FROM s GROUP BY {CELLS}, seed),
+zero AS (SELECT * FROM d WHERE outer_draw=0),
+g AS (SELECT {CELLS}, outer_draw AS draw, CASE WHEN count(v)=count(*) THEN avg(v) END AS v FROM d GROUP BY ALL)
+SELECT {CELLS}, 'contrast' AS kind, 'view-click' AS name, 'shifted' AS candidate, round(max(CASE WHEN draw=0 THEN v END),6) AS estimate, round(quantile_cont(CASE WHEN draw>0 THEN v END,0.025),6) AS ci_low,
+ round(quantile_cont(CASE WHEN draw>0 THEN v END,0.975),6) AS ci_high, count(CASE WHEN draw>0 THEN v END) AS valid_bootstrap, round(any_value(p),6) AS p_value FROM g JOIN ({flip_sql('zero', CELLS, 'v')}) USING ({CELLS}) GROUP BY {CELLS}""")
 def _(spark, d):
-    wide = one_cell(spark, d).groupBy("seed", "trial_uid", "subject_uid", "context").agg(*[
-        F.expr(f"max(case when model = '{m}' and target = '{n}' then {v} end)").alias(a)
-        for n in ("valence", "arousal")
-        for m, v, a in (("prior", "y", f"target_{n}"), ("prior", "yhat", f"base_{n}"), ("combined_population", "yhat", f"shifted_{n}"))
-    ])
-    out = I.condition_effects(wide, baseline="base", candidates=["shifted"], draws=B, seed=SEED, contrasts=[("view-click", "view", "click")])
-    return rounded(out.filter("kind = 'contrast'").drop("p_value"))
+    return rounded(effects(spark, d).filter("kind = 'contrast'"))
+
+
+GRID = (0, 1, 2, 4, 8)
+
+
+def grid_predictions(spark, d):
+    """The two predictors of the matched increment over the whole dose grid."""
+    t = V.trials(spark, d)
+    test = S.coverage_blocks(t, folds=5, seed=7).filter("split = 'test'").selectExpr("trial_uid", "cast(fold as bigint) AS seed")
+    doses = f"explode(array({', '.join(map(str, GRID))}))"
+    rows = t.join(test, "trial_uid").selectExpr("*", "'a_pretrained' AS representation", f"{doses} AS participant_dose").selectExpr("*", f"{doses} AS stimulus_dose")
+    cells = ", ".join(
+        f"struct('{p}' AS predictor, '{n}' AS target, target_{n} AS y, {_forms(n)[p].format(d='D')} AS yhat)" for n in BASE for p in ("prior_personalized", "combined_personalized")
+    )
+    return rows.selectExpr("seed", "trial_uid", "subject_uid", "stimulus_uid", "representation", "participant_dose", "stimulus_dose", f"inline(array({cells}))")
+
+
+view("grid_preds", "SELECT seed, subject_uid, stimulus_uid, participant_dose, stimulus_dose, p.* FROM (SELECT *, unnest([" + ", ".join(
+    f"{{'predictor': '{p}', 'target': '{n}', 'y': target_{n}, 'yhat': {_forms(n)[p].format(d='::DOUBLE')}}}" for n in BASE for p in ("prior_personalized", "combined_personalized")
+) + f"""]) AS p FROM (SELECT *, 'a_pretrained' AS representation FROM trials) JOIN (SELECT trial_uid, fold::BIGINT AS seed FROM blocks WHERE split='test') USING (trial_uid)
+ CROSS JOIN (SELECT unnest({list(GRID)})::INT AS participant_dose) CROSS JOIN (SELECT unnest({list(GRID)})::INT AS stimulus_dose))""")
+view("grid_subject", mult_sql("grid_preds", "subject_uid", NESTED))
+view("grid_stimulus", mult_sql("grid_preds", "stimulus_uid", NESTED))
+
+
+@query("block_primary_grid", f"""
+WITH w AS (SELECT 0 AS draw, subject_uid, stimulus_uid, 1 AS w FROM (SELECT DISTINCT subject_uid, stimulus_uid FROM grid_preds)
+  UNION ALL SELECT a.draw, subject_uid, stimulus_uid, a.m*b.m FROM grid_subject a JOIN grid_stimulus b USING (draw)),
+s AS (SELECT draw, seed, participant_dose, stimulus_dose, predictor, target, {W} FROM grid_preds JOIN w USING (subject_uid, stimulus_uid) GROUP BY ALL),
+c AS (SELECT draw, seed, participant_dose, stimulus_dose, predictor, avg({CCC}) AS ccc FROM s GROUP BY ALL),
+m AS (SELECT draw, participant_dose, stimulus_dose, predictor, CASE WHEN count(ccc)=5 THEN avg(ccc) END AS ccc FROM c GROUP BY ALL),
+d AS (SELECT draw, participant_dose, stimulus_dose, a.ccc-b.ccc AS v FROM (SELECT * FROM m WHERE predictor='combined_personalized') a JOIN (SELECT * FROM m WHERE predictor='prior_personalized') b USING (draw, participant_dose, stimulus_dose)),
+b AS ({interval_sql('d', 'participant_dose, stimulus_dose', 'v')})
+SELECT participant_dose, stimulus_dose, round(estimate,6) AS estimate, round(q[1],6) AS ci_low, round(q[2],6) AS ci_high, valid_bootstrap FROM b""")
+def _(spark, d):
+    """The matched increment over the whole dose grid at the full number of draws."""
+    draws = materialize(I.block_primary_draws(grid_predictions(spark, d), draws=NESTED, seed=SEED))
+    return rounded(I.intervals(draws, ["participant_dose", "stimulus_dose"], "ccc_delta"))
 
 
 def selector_tables(spark, d):

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heldout.operators import inference as I
+from heldout.operators import multiplicity as M
 from heldout.operators import resample as R
 
 
@@ -85,3 +86,48 @@ def test_complete_grid_is_required(long):
     I.check_grid(table)
     with pytest.raises(ValueError, match="share"):
         I.check_grid(table.filter("not (predictor = 'b' and trial_uid = 't0_1')"))
+
+
+def test_tree_splits_are_multinomial_and_the_same_everywhere():
+    """Buckets of 8 among 45 identities: totals are exact in each draw, and no bucket needs another's work."""
+    draws = np.array([1, 2, 5, 127, 128, 129, 300])
+    parts = [M.Picker(3, leaf=8).counts("a", 45, b, draws) for b in range(6)]
+    assert [len(p) for p in parts] == [8, 8, 8, 8, 8, 5]
+    whole = np.concatenate(parts)
+    assert (whole.sum(0) == 45).all() and len({tuple(c) for c in whole.T}) == len(draws)
+    one = M.Picker(3, leaf=8)
+    assert all((one.counts("a", 45, b, draws[4:5]) == parts[b][:, 4:5]).all() for b in (5, 0, 3))
+    many = np.concatenate([one.counts("a", 45, b, np.arange(1, 4001)) for b in range(6)])
+    assert abs(many.var(1).mean() - (1 - 1 / 45)) < 0.02 and np.abs(many.mean(1) - 1).max() < 0.1
+    pairs = np.cov(many)
+    assert abs(pairs[~np.eye(45, dtype=bool)].mean() + 1 / 45) < 0.003
+
+
+def test_one_bucket_is_the_table_of_picks(spark, long):
+    rows = {(r.draw, r.subject_uid): r.m for r in R.shared_multiplicities(long, "subject_uid", axis="subject_uid", draws=9, seed=4).collect()}
+    index = R.ranked(long.select("subject_uid").distinct(), {"subject_uid": "subject_uid"}).collect()
+    counts = M.Picker(4).counts("subject_uid", index[0]["_n0"], 0, np.arange(1, 10))
+    assert {(d, r.subject_uid): int(counts[r["_r0"], d - 1]) for r in index for d in range(1, 10) if counts[r["_r0"], d - 1]} == rows
+
+
+def test_draws_over_many_buckets(spark, long):
+    """Weighted scores with buckets of two identities equal row-level weights from the same pickers."""
+    sums = R.pair_table(long, ["predictor"], ["subject_uid", "stimulus_uid"])
+    axes = {"subject_uid": "subject_uid", "stimulus_uid": "stimulus_uid"}
+    index = R.ranked(sums.select(*axes).distinct(), axes).collect()
+    picker, draws = M.Picker(3, leaf=2), np.arange(1, 7)
+    weight = {}
+    for r in index:
+        m = [picker.weights(c, np.array([r[f"_r{i}"]]), np.array([r[f"_n{i}"]]), draws)[0] for i, c in enumerate(axes)]
+        weight[r.subject_uid, r.stimulus_uid] = m[0] * m[1]
+    rows = R.ranked(sums.filter("predictor = 'a' and target = 'v'"), axes).selectExpr(
+        "seed AS _group", "_r0", "_n0", "_r1", "_n1", "array(0) AS _pos", "array(cast(sx as double)) AS _values")
+    got = {}
+    for r in M.weighted_sums(rows, axes=list(axes), width=1, seed=3, draws=draws, leaf=2).collect():
+        got[r["_group"], r.draw] = got.get((r["_group"], r.draw), 0.0) + r.sums[0]
+    want = {}
+    for r in sums.filter("predictor = 'a' and target = 'v'").collect():
+        for d in range(7):
+            w = 1.0 if d == 0 else weight[r.subject_uid, r.stimulus_uid][d - 1]
+            want[r.seed, d] = want.get((r.seed, d), 0.0) + w * r.sx
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
