@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heldout.functions.materialize import materialize
+
 HEX_BUCKETS = 3  # hash prefix length: 16**3 buckets per rank group
 
 
@@ -71,6 +73,22 @@ def hash_rank(
     )
 
 
+def ordered_index(values: DataFrame, column: str, index: str) -> DataFrame:
+    """Distinct values with their 0-based place in order, without a task that sees them all.
+
+    Values are cut into ranges that are numbered each on its own and shifted by
+    the sizes of the ranges before; the cut is written once, so it can't change
+    between its two readers.
+    """
+    ranges = values.select(column).distinct().repartitionByRange(column).withColumn("_range", F.spark_partition_id())
+    ranges = materialize(ranges)
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    below = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_below"))
+    local = ranges.withColumn("_local", F.row_number().over(W.partitionBy("_range").orderBy(column)) - 1)
+    return local.join(F.broadcast(below), "_range").select(column, (F.col("_local") + F.col("_below")).alias(index))
+
+
 def first_per_group(
     df: DataFrame,
     *,

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heldout.functions.checks import EvaluationError, guard_complete, guard_none, guard_unique, require_columns
-from heldout.functions.hashing import hash_rank, seeded_hash
+from heldout.functions.hashing import hash_rank, ordered_index, seeded_hash
 from heldout.functions.materialize import materialize
 from heldout.functions.joins import attach_groups
 from heldout.functions.formulas import half_even_count
@@ -70,9 +69,8 @@ def group_partition(
         effective = F.col("seed") + offset
     else:
         groups = df.select(group, stratum).distinct()
-        strata = groups.select(stratum).distinct()
-        index = strata.select(stratum, (F.row_number().over(W.orderBy(stratum)) - 1).alias("_stratum_index"))
-        groups = groups.join(index, stratum).withColumn("seed", seed_rows)
+        index = ordered_index(groups, stratum, "_stratum_index")
+        groups = attach_groups(groups, index, [stratum], how="inner", spread=group).withColumn("seed", seed_rows)
         effective = F.col("seed") + offset + STRATUM_SEED * F.col("_stratum_index")
         by.append(stratum)
     hashed = groups.withColumn("_hash", seeded_hash(effective, group, F.col(group)))

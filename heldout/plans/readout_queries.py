@@ -38,7 +38,31 @@ def _(spark, d):
     return rounded(spark.createDataFrame(data, "pos int, mean double, scale double"))
 
 
-@query("ridge_predict")
+# Ridge in SQL: rows with one feature vector meet as counts and sums, the normal equations stand as rows of one list,
+# and a recursive Gauss-Jordan elimination solves them for every penalty.
+view("fit_vectors", """SELECT split, vec_id, count(*) AS c, sum(target_valence) AS sv, sum(target_arousal) AS sa
+FROM (SELECT *, event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM assigned) GROUP BY 1, 2""")
+view("vector_parts", "SELECT vec_id, generate_subscripts(embedding,1) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings")
+view("fit_scales", """SELECT p, sum(c*x)/sum(c) AS m, CASE WHEN sqrt(greatest(sum(c*x*x)/sum(c)-pow(sum(c*x)/sum(c),2),0))>=1e-12 THEN sqrt(sum(c*x*x)/sum(c)-pow(sum(c*x)/sum(c),2)) ELSE 1 END AS s
+FROM fit_vectors JOIN vector_parts USING (vec_id) WHERE split='train' GROUP BY 1""")
+view("fit_standard", "SELECT vec_id, p, (x-m)/s AS z FROM vector_parts JOIN fit_scales USING (p)")
+view("fit_equations", """
+WITH g AS (SELECT a.p AS i, b.p AS j, sum(c*a.z*b.z) AS v FROM fit_vectors JOIN fit_standard a USING (vec_id) JOIN fit_standard b USING (vec_id) WHERE split='train' GROUP BY 1, 2),
+y AS (SELECT p AS i, sum(z*sv) AS v, sum(z*sa) AS a FROM fit_vectors JOIN fit_standard USING (vec_id) WHERE split='train' GROUP BY 1)
+SELECT i, list(g.v ORDER BY j) AS row, any_value(y.v) AS yv, any_value(y.a) AS ya FROM g JOIN y USING (i) GROUP BY 1""")
+view("ridge_solved", """
+WITH RECURSIVE start AS (SELECT alpha, list(list_concat(list_transform(row, lambda v, j: CASE WHEN j=i THEN v+alpha ELSE v END), [yv, ya]) ORDER BY i) AS m
+  FROM fit_equations CROSS JOIN (SELECT unnest([0.01,0.1,1.0,10.0,100.0,1000.0]) AS alpha) GROUP BY alpha),
+gj AS (SELECT alpha, 0 AS k, m FROM start UNION ALL
+ SELECT alpha, k+1, list_transform(m, lambda r, i: CASE WHEN i=k+1 THEN list_transform(r, lambda v: v/r[k+1]) ELSE list_transform(r, lambda v, j: v-r[k+1]*m[k+1][j]/m[k+1][k+1]) END) FROM gj WHERE k<len(m))
+SELECT alpha, generate_subscripts(m,1) AS p, unnest(list_transform(m, lambda r: r[-2])) AS wv, unnest(list_transform(m, lambda r: r[-1])) AS wa FROM gj WHERE k=len(m)""")
+view("ridge_by_vector", """
+WITH mean AS (SELECT sum(sv)/sum(c) AS mv, sum(sa)/sum(c) AS ma FROM fit_vectors WHERE split='train')
+SELECT alpha, vec_id, mv+sum(z*wv) AS pv, ma+sum(z*wa) AS pa FROM fit_standard JOIN ridge_solved USING (p) CROSS JOIN mean GROUP BY alpha, vec_id, mv, ma""")
+
+
+@query("ridge_predict", """SELECT trial_uid, round(pv,6) AS valence, round(pa,6) AS arousal FROM (SELECT *, event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM assigned WHERE split='test')
+JOIN ridge_by_vector USING (vec_id) WHERE alpha=10""")
 def _(spark, d):
     rows = materialize(labelled(spark, d).selectExpr("trial_uid", "split", "features", "array(target_valence, target_arousal) AS y", "'all' AS one"))
     m = G.moments(rows.filter("split = 'train'"), "one", "y")["all"]
@@ -46,7 +70,19 @@ def _(spark, d):
         "trial_uid", "prediction[0] AS valence", "prediction[1] AS arousal"))
 
 
-@query("select_alpha")
+@query("ridge_coefficients", "SELECT alpha::DOUBLE AS alpha, CAST(p-1 AS INT) AS pos, round(wv,6) AS valence, round(wa,6) AS arousal FROM ridge_solved")
+def _(spark, d):
+    """Standardised coefficients at every penalty."""
+    rows = labelled(spark, d).filter("split = 'train'").selectExpr("features", "array(target_valence, target_arousal) AS y", "'all' AS one")
+    m = G.moments(rows, "one", "y")["all"]
+    out = [(a, i, float(v), float(w)) for a in R.ALPHAS for i, (v, w) in enumerate(G.ridge(m, a)[0] * m.scale[:, None])]
+    return rounded(spark.createDataFrame(out, "alpha double, pos int, valence double, arousal double"))
+
+
+@query("select_alpha", """
+WITH e AS (SELECT alpha, avg((abs(pv-target_valence)+abs(pa-target_arousal))/2) AS e FROM (SELECT *, event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM assigned WHERE split='validation')
+  JOIN ridge_by_vector USING (vec_id) GROUP BY 1)
+SELECT 'all' AS one, alpha::DOUBLE AS alpha, round(e,6) AS validation_mae, alpha=(SELECT arg_min(alpha, struct_pack(a := e, b := alpha)) FROM e) AS selected FROM e""")
 def _(spark, d):
     rows = labelled(spark, d).withColumn("one", F.lit("all"))
     return rounded(R.tuned_ridge(rows, key="one", alphas=R.ALPHAS)[1])
