@@ -1,8 +1,8 @@
 """One-pass linear models: additive moments, small solves, row products.
 
 A fit needs only n, sums and cross products of its rows.  Those are summed in
-Arrow batches per task, then per key; what reaches the driver is one k x k
-block per key.  Train sizes, folds, doses and penalties are combinations of
+Arrow batches per task, then per key and block of features; the driver puts a
+key's blocks together to solve.  Train sizes, folds, doses and penalties are combinations of
 such blocks, so no candidate ever rescans the fit rows.
 """
 
@@ -22,6 +22,9 @@ from heldout.functions.checks import EvaluationError
 
 SCALE_FLOOR = 1e-12
 FLUSH_GROUPS = 20_000
+BLOCK = 512  # features of one side of a block of the Gram matrix
+FAN_IN = 64  # upstream tasks whose sums one task adds first
+FLUSH_VALUES = 24 << 20  # sums that a task holds before it sends them on
 
 
 @dataclass
@@ -35,12 +38,6 @@ class Moments:
     xy: np.ndarray
     shift: np.ndarray
 
-    @classmethod
-    def unpack(cls, flat: np.ndarray, k: int, t: int, shift: np.ndarray) -> Moments:
-        cut = np.cumsum([1, k, t, k * k])
-        n, sx, sy, xx, xy = np.split(flat, cut)
-        return cls(float(n[0]), sx, sy, xx.reshape(k, k), xy.reshape(k, t), shift)
-
     def __add__(self, o: Moments) -> Moments:
         return Moments(self.n + o.n, self.sx + o.sx, self.sy + o.sy, self.xx + o.xx, self.xy + o.xy, self.shift)
 
@@ -94,36 +91,51 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
 
 
 def _emit(total: dict, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    keys = list(total)
-    for start in range(0, len(keys), 256):
-        part = keys[start:start + 256]
-        columns = [pa.array([k[i] for k in part], pa.string()) for i in range(len(names))]
-        columns.append(pa.array([total[k] for k in part], pa.list_(pa.float64())))
-        yield pa.RecordBatch.from_arrays(columns, names=[*names, "stats"])
+    """The sums of each key as rows, few long ones or many short ones to a batch."""
+    part, values = [], 0
+    for key, row in total.items():
+        if part and (len(part) == 256 or values + len(row) > 1 << 20):
+            yield _sums_batch(part, total, names)
+            part, values = [], 0
+        part.append(key)
+        values += len(row)
+    if part:
+        yield _sums_batch(part, total, names)
+
+
+def _sums_batch(keys: list, total: dict, names: Sequence[str]) -> pa.RecordBatch:
+    columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(len(names))]
+    edges = np.concatenate(([0], np.cumsum([len(total[k]) for k in keys])))
+    columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([total[k] for k in keys]))))
+    return pa.RecordBatch.from_arrays(columns, names=[*names, "stats"])
 
 
 def sum_arrays(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Elementwise sum of ``stats`` per key, in two levels.
 
-    The rows that upstream tasks made for a key are first summed in about the
-    square root of the shuffle partitions' number of groups, then those groups,
-    so no task gets a block from every task upstream.
+    The rows that ``FAN_IN`` neighbouring upstream tasks made for a key are
+    summed first, then those sums, so no task gets a block from every task
+    upstream.  Keys may have arrays of different lengths.
     """
     names = list(keys)
-    fan = math.ceil(math.sqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches):
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block = _matrix(batch.column("stats"), batch.num_rows)
-            for key, row in zip(zip(*[batch.column(k).to_pylist() for k in names]), block):
-                total[key] = total[key] + row if key in total else row.copy()
+            stats = batch.column("stats")
+            edges, values = stats.offsets.to_numpy(), stats.values.to_numpy(zero_copy_only=False)
+            for i, key in enumerate(zip(*[batch.column(k).to_pylist() for k in names])):
+                row = values[edges[i] : edges[i + 1]]
+                if key in total:
+                    total[key] += row
+                else:
+                    total[key] = row.copy()
         yield from _emit(total, names)
 
     schema = ", ".join(f"{k} string" for k in names) + ", stats array<double>"
-    salted = df.select(*names, "stats", F.pmod(F.spark_partition_id(), F.lit(fan)).alias("_salt"))
+    salted = df.select(*names, "stats", F.expr(f"spark_partition_id() div {FAN_IN}").alias("_salt"))
     return salted.repartition(*names, "_salt").mapInArrow(run, schema).repartition(*names).mapInArrow(run, schema)
 
 
@@ -138,13 +150,20 @@ def feature_shift(df: DataFrame, x: str = "features") -> np.ndarray:
     return np.asarray(rows, float).mean(0)
 
 
-def moments(df: DataFrame, key: str, y: str, *, x: str = "features", weight: str | None = None, shift: np.ndarray | None = None) -> dict[str, Moments]:
-    """Moments per value of the string column ``key``; the number of keys is small."""
-    shift = feature_shift(df, x) if shift is None else shift
+def moment_sums(df: DataFrame, key: str, y: str, *, x: str = "features", weight: str | None = None, shift: np.ndarray, block: int = BLOCK) -> DataFrame:
+    """``(key, part, stats)``: sums of every key, the cross products of features in blocks.
+
+    Part ``s`` holds n, the sums of features and targets, and their products;
+    part ``i:j`` (i <= j) the products of feature blocks i and j.  A block's
+    sums from all tasks meet in one task, which never sees another's, so no row
+    and no adding task grows with the square of the features.
+    """
     k = len(shift)
+    edges = list(range(0, k, block))
 
     def run(batches):
         total: dict[tuple, np.ndarray] = {}
+        held = 0
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -156,17 +175,47 @@ def moments(df: DataFrame, key: str, y: str, *, x: str = "features", weight: str
                 pick = labels == label
                 ax, by, ww = a[pick], b[pick], w[pick]
                 aw = ax * ww[:, None]
-                row = np.concatenate([[ww.sum()], aw.sum(0), ww @ by, (ax.T @ aw).ravel(), (aw.T @ by).ravel()])
-                total[(label,)] = total[(label,)] + row if (label,) in total else row
-        yield from _emit(total, ["key"])
+                rows = {"s": np.concatenate([[ww.sum()], aw.sum(0), ww @ by, (aw.T @ by).ravel()])}
+                for i, lo in enumerate(edges):
+                    for j, at in enumerate(edges[i:], i):
+                        rows[f"{i}:{j}"] = (ax[:, lo : lo + block].T @ aw[:, at : at + block]).ravel()
+                for part, row in rows.items():
+                    if (label, part) in total:
+                        total[label, part] += row
+                    else:
+                        total[label, part] = row
+                        held += len(row)
+            if held > FLUSH_VALUES:
+                yield from _emit(total, ["key", "part"])
+                total, held = {}, 0
+        yield from _emit(total, ["key", "part"])
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
-    sums = sum_arrays(rows.mapInArrow(run, "key string, stats array<double>"), ["key"]).collect()
+    return sum_arrays(rows.mapInArrow(run, "key string, part string, stats array<double>"), ["key", "part"])
+
+
+def moments(df: DataFrame, key: str, y: str, *, x: str = "features", weight: str | None = None, shift: np.ndarray | None = None, block: int = BLOCK) -> dict[str, Moments]:
+    """Moments per value of the string column ``key``; the number of keys is small.
+
+    The driver puts the blocks together, as it solves for the coefficients.
+    """
+    shift = feature_shift(df, x) if shift is None else shift
+    k = len(shift)
+    parts: dict[str, dict[str, np.ndarray]] = {}
+    for r in moment_sums(df, key, y, x=x, weight=weight, shift=shift, block=block).toLocalIterator():
+        parts.setdefault(r.key, {})[r.part] = np.asarray(r.stats, float)
     out = {}
-    for r in sums:
-        flat = np.asarray(r.stats, float)
-        t = (len(flat) - 1 - k - k * k) // (k + 1)
-        out[r.key] = Moments.unpack(flat, k, t, shift)
+    for name, found in parts.items():
+        sums = found.pop("s")
+        t = (len(sums) - 1 - k) // (k + 1)
+        n, sx, sy, xy = np.split(sums, np.cumsum([1, k, t]))
+        xx = np.empty((k, k))
+        for place, flat in found.items():
+            i, j = (int(v) * block for v in place.split(":"))
+            piece = flat.reshape(min(block, k - i), -1)
+            xx[i : i + block, j : j + block] = piece
+            xx[j : j + block, i : i + block] = piece.T
+        out[name] = Moments(float(n[0]), sx, sy, xx, xy.reshape(k, t), shift)
     return out
 
 

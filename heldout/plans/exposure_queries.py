@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from heldout.functions.materialize import materialize
 from heldout.operators import exposure as X
 from heldout.operators import splits as S
 from heldout.plans.prior_queries import rounded
-from heldout.plans.registry import query, view
+from heldout.plans.registry import VIEWS, query, view
 from heldout.plans.split_queries import roles_sql
 from heldout.sources import views as V
 
@@ -208,6 +210,51 @@ def _(spark, d):
     return out.groupBy("phase", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+def phase_sql(sql: str) -> str:
+    """A view of the strict split, read over the rows of the selector's validation phase instead."""
+    sql = re.sub(r"\b(pools|fixed_test|usable_pools|sample_ranks)\b", r"phase_\1", sql)
+    return re.sub(r"\bstrict_rows\b", "phase_rows", sql)
+
+
+for _name in ("pools", "fixed_test", "usable_pools", "sample_ranks"):
+    # the stimulus dose of this phase is 2
+    view(f"phase_{_name}", phase_sql(VIEWS[_name]).replace("pool='stimulus' GROUP BY 1 HAVING count(*)>=4", "pool='stimulus' GROUP BY 1 HAVING count(*)>=2"))
+view("phase_donors", phase_sql(donors_sql(2)))
+
+
+@query("phase_assignment_rows", """
+WITH r AS (SELECT t.trial_uid, CASE WHEN t.trial_uid IN (SELECT trial_uid FROM phase_fixed_test) THEN 'fixed_joint_test' WHEN c.dose_rank<=4 THEN 'labelled_participant_calibration'
+  WHEN split='validation' THEN 'strict_validation' WHEN e.dose_rank<=2 THEN 'repeated_stimulus_exposure' WHEN d.donor_uid IS NOT NULL THEN 'train_size_matched_donor'
+  WHEN split='train' THEN 'population_train' ELSE 'unsupported_or_unused' END AS role
+ FROM phase_rows t LEFT JOIN (SELECT * FROM phase_sample_ranks WHERE pool='participant') c USING (trial_uid) LEFT JOIN (SELECT * FROM phase_sample_ranks WHERE pool='stimulus') e USING (trial_uid)
+ LEFT JOIN phase_donors d ON d.donor_uid=t.trial_uid)
+SELECT 'validation' AS phase, trial_uid, role, CASE role WHEN 'fixed_joint_test' THEN 'test' WHEN 'labelled_participant_calibration' THEN 'calibration' WHEN 'strict_validation' THEN 'validation'
+ WHEN 'repeated_stimulus_exposure' THEN 'train' WHEN 'population_train' THEN 'train' ELSE 'excluded' END AS split FROM r""")
+def _(spark, d):
+    t = V.trials(spark, d)
+    roles = (S.identity_roles(t, c, seed=s) for c, s in (("subject_uid", 5), ("stimulus_uid", 6)))
+    return X.phase_assignment(t, *roles, phase="validation", p=4, s=2, pmax=4, smax=2, seed=11).select("phase", "trial_uid", "role", "split")
+
+
+@query("support_matched_rows", """
+WITH RECURSIVE t AS MATERIALIZED (SELECT trial_uid, subject_uid, stimulus_uid, sha256('11:'||trial_uid) AS h, CASE WHEN event_id%40=0 THEN 'test' WHEN event_id%40=1 THEN 'validation' ELSE 'train' END AS split FROM trials),
+f AS MATERIALIZED (SELECT trial_uid, h, CASE WHEN subject_uid IN (SELECT subject_uid FROM t WHERE split='test') THEN subject_uid END AS p,
+  CASE WHEN stimulus_uid IN (SELECT stimulus_uid FROM t WHERE split='test') THEN stimulus_uid END AS k FROM t WHERE split<>'test'),
+g AS (SELECT 0 AS step, []::VARCHAR[] AS ps, []::VARCHAR[] AS ks, []::VARCHAR[] AS chosen UNION ALL
+ SELECT step+1, CASE WHEN b.p IS NULL OR list_contains(ps, b.p) THEN ps ELSE list_append(ps, b.p) END, CASE WHEN b.k IS NULL OR list_contains(ks, b.k) THEN ks ELSE list_append(ks, b.k) END, list_append(chosen, b.u)
+ FROM (SELECT step, ps, ks, chosen, arg_min(struct_pack(u := f.trial_uid, p := f.p, k := f.k), struct_pack(gain := -((f.p IS NOT NULL AND NOT list_contains(ps, f.p))::INT + (f.k IS NOT NULL AND NOT list_contains(ks, f.k))::INT),
+   h := f.h, u := f.trial_uid)) AS b FROM g JOIN f ON (f.p IS NOT NULL AND NOT list_contains(ps, f.p)) OR (f.k IS NOT NULL AND NOT list_contains(ks, f.k)) GROUP BY step, ps, ks, chosen)),
+c AS MATERIALIZED (SELECT unnest(chosen) AS trial_uid FROM (SELECT chosen FROM g ORDER BY step DESC LIMIT 1)),
+n AS (SELECT count_if(split='train')-(SELECT count(*) FROM c) AS a, count_if(split='validation') AS b FROM t),
+r AS (SELECT trial_uid, row_number() OVER (ORDER BY h, trial_uid) AS o FROM t WHERE split<>'test' AND trial_uid NOT IN (FROM c))
+SELECT trial_uid, 'test' AS split FROM t WHERE split='test' UNION ALL SELECT trial_uid, 'train' FROM c
+UNION ALL SELECT trial_uid, CASE WHEN o<=a THEN 'train' ELSE 'validation' END FROM r CROSS JOIN n WHERE o<=a+b""")
+def _(spark, d):
+    t = V.trials(spark, d)
+    ref = t.selectExpr("trial_uid", "case event_id % 40 when 0 then 'test' when 1 then 'validation' else 'train' end AS split", "cast(11 as bigint) AS seed")
+    return X.support_matched_overlap(t, ref, validate=False).select("trial_uid", "split")
+
+
 # the reference split holds out subjects, so pool rows can cover a test stimulus only;
 # the joint matching phase is exercised by a split that ignores identity
 @query("support_matched_overlap", """

@@ -254,3 +254,24 @@ def test_cells_against_direct_fits(spark, data):
     want = c[:n] + np.stack([resid[sub == v].mean(0) for v in part["test"].subject_uid])
     got = pred[(pred.participant_dose == 2) & (pred.stimulus_dose == 2)].set_index("trial_uid").loc[part["test"].trial_uid]
     assert np.allclose(got[["combined_personalized_valence", "combined_personalized_arousal"]].to_numpy(), want, atol=1e-8)
+
+
+@pytest.mark.parametrize("k, block, rows", [(37, 8, 90), (4096, 512, 60)])
+def test_wide_models_meet_in_blocks(spark, k, block, rows):
+    """No row holds more than a block's products, and the sums and the fit equal NumPy's."""
+    rng = np.random.default_rng(k)
+    x, y = rng.normal(size=(rows, k)) + 3, rng.normal(size=(rows, 2))
+    df = spark.createDataFrame([(str(i % 2), a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "key string, features array<double>, y array<double>").repartition(3)
+    shift = np.full(k, 2.5)
+    sums = G.moment_sums(df, "key", "y", shift=shift, block=block).selectExpr("key", "part", "size(stats) AS n").collect()
+    assert max(r.n for r in sums) <= max(block * block, 3 + 3 * k) and len(sums) == 2 * (1 + -(-k // block) * (-(-k // block) + 1) // 2)
+    m = G.moments(df, "key", "y", shift=shift, block=block)
+    for name in ("0", "1"):
+        a, b = x[int(name)::2] - shift, y[int(name)::2]
+        assert np.allclose(m[name].xx, a.T @ a) and np.allclose(m[name].xy, a.T @ b) and np.allclose(m[name].sx, a.sum(0)) and m[name].n == len(a)
+    if k < 100:
+        w, c = G.ridge(m["0"], 2.0)
+        a, b = x[::2], y[::2]
+        z = (a - a.mean(0)) / a.std(0)
+        want = z @ np.linalg.solve(z.T @ z + 2.0 * np.eye(k), z.T @ (b - b.mean(0))) + b.mean(0)
+        assert np.allclose(a @ w + c, want)
