@@ -128,13 +128,48 @@ def consensus_summary(df: DataFrame, target: str, stimulus: str = "stimulus_uid"
     )
 
 
-def additive_r2(df: DataFrame, target: str, first="subject_uid", second="stimulus_uid", *, tolerance=1e-10, sweeps=200, every=5) -> DataFrame:
+def additive_effects(cells: DataFrame, mean: float, first: str, second: str, *, tolerance: float = 1e-12, steps: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(first, a) and (second, b): least-squares effects of both factors around ``mean`` over (first, second) cells with n and s.
+
+    The effects of ``first`` are eliminated: given b they are means of what is
+    left.  The remaining equations in b are solved by conjugate gradients,
+    scaled by the row counts; a step is two aggregations over the cells and two
+    over the effects of ``second``.  It stops when the residual of the normal
+    equations has fallen to ``tolerance`` of what it was.
+    """
+    centred = f"s - n * {mean!r}D"
+    onto = lambda table, column, other: attach_groups(cells, table, [column], spread=other)
+    left = cells.groupBy(first).agg(F.expr(f"sum({centred}) / sum(n)").alias("m"))
+    start = onto(left, first, second).groupBy(second).agg(F.sum("n").alias("d"), F.expr(f"sum({centred} - n * m)").alias("r"))
+    state = materialize(start.selectExpr(second, "d", "0D AS b", "r", "r / d AS p"))
+    size = state.agg(F.expr("sum(r * r / d)")).first()[0] or 0.0
+    goal = size * tolerance * tolerance
+    for _ in range(steps):
+        if size <= goal or size == 0.0:
+            break
+        u = onto(state.select(second, "p"), second, first).groupBy(first).agg(F.expr("sum(n * p) / sum(n)").alias("u"))
+        q = onto(u, first, second).groupBy(second).agg(F.expr("sum(n * u)").alias("nu"))
+        moved = materialize(state.join(q, second).selectExpr(second, "d", "b", "r", "p", "d * p - nu AS q"))
+        pq, pp = moved.agg(F.expr("sum(p * q)"), F.expr("sum(d * p * p)")).first()
+        if not pq > 1e-13 * pp:  # only a shift of all effects is left, which the means don't see
+            break
+        alpha = size / pq
+        after = moved.agg(F.expr(f"sum((r - {alpha!r}D * q) * (r - {alpha!r}D * q) / d)")).first()[0]
+        beta = after / size
+        state = moved.selectExpr(second, "d", f"b + {alpha!r}D * p AS b", f"r - {alpha!r}D * q AS r", f"(r - {alpha!r}D * q) / d + {beta!r}D * p AS p")
+        size = after
+    else:
+        raise EvaluationError(f"the additive fit still moves after {steps} steps; allow more steps or a larger tolerance")
+    b = materialize(state.select(second, "b"))
+    a = onto(b, second, first).groupBy(first).agg(F.expr(f"sum({centred} - n * b) / sum(n)").alias("a"))
+    return materialize(a), b
+
+
+def additive_r2(df: DataFrame, target: str, first="subject_uid", second="stimulus_uid", *, tolerance=1e-12, steps=500) -> DataFrame:
     """In-sample R2 of each factor alone and of both (additive least squares).
 
     Rows are first reduced to (first, second) cells.  One-factor fits are group
-    means.  The two-factor fit alternates group means of the residuals until
-    the explained sum of squares moves by less than ``tolerance`` of the total;
-    the effects are written out every few sweeps so the lineage stays short.
+    means; the two-factor fit is that of ``additive_effects``.
     """
     rows = df.filter(f"{target} is not null and not isnan({target})")
     cells = rows.groupBy(first, second).agg(
@@ -151,29 +186,10 @@ def additive_r2(df: DataFrame, target: str, first="subject_uid", second="stimulu
         return g.agg(F.expr("sum(s * s / n)")).first()[0] - base.s * base.s / base.n
 
     ss_first, ss_second = explained(first), explained(second)
-    a = cells.select(first).distinct().withColumn("a", F.lit(0.0))
-    previous, ss_both = None, None
-    for step in range(sweeps):
-        b = attach_groups(cells, a, [first], spread=second).groupBy(second).agg(
-            F.expr(f"sum(s - n * ({mean!r}D + a)) / sum(n)").alias("b")
-        )
-        a = attach_groups(cells, b, [second], spread=first).groupBy(first).agg(
-            F.expr(f"sum(s - n * ({mean!r}D + b)) / sum(n)").alias("a")
-        )
-        if step % every == every - 1:
-            a = materialize(a)
-            b = attach_groups(cells, a, [first], spread=second).groupBy(second).agg(
-                F.expr(f"sum(s - n * ({mean!r}D + a)) / sum(n)").alias("b")
-            )
-            fitted = attach_groups(attach_groups(cells, a, [first], spread=second), b, [second], spread=first)
-            f = f"({mean!r}D + a + b)"
-            residual = fitted.agg(F.expr(f"sum(q - 2 * {f} * s + n * {f} * {f})")).first()[0]
-            ss_both = total - residual
-            if previous is not None and abs(ss_both - previous) <= tolerance * max(total, 1e-300):
-                break
-            previous = ss_both
-    else:
-        raise EvaluationError(f"the additive fit still moves after {sweeps} sweeps; allow more sweeps or a larger tolerance")
+    a, b = additive_effects(cells, mean, first, second, tolerance=tolerance, steps=steps)
+    fitted = attach_groups(attach_groups(cells, a, [first], spread=second), b, [second], spread=first)
+    f = f"({mean!r}D + a + b)"
+    ss_both = total - fitted.agg(F.expr(f"sum(q - 2 * {f} * s + n * {f} * {f})")).first()[0]
     r1, r2, both = (x / total if total > 0 else None for x in (ss_first, ss_second, ss_both))
     data = [(int(base.n), total / (base.n - 1), r1, r2, both, None if both is None else both - r1, None if both is None else both - r2)]
     return df.sparkSession.createDataFrame(

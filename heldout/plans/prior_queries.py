@@ -291,7 +291,29 @@ def _(spark, d):
     return rounded(M.consensus_summary(_consensus(spark, d), "rating"))
 
 
-@query("additive_r2")
+# two-factor least squares in SQL: subject effects eliminated, one stimulus as the origin, the rest solved by elimination
+view("rating_cells", """SELECT subject_uid AS u, stimulus_uid AS k, count(*)::DOUBLE AS n, sum(target_arousal)-count(*)*(SELECT avg(target_arousal) FROM trials) AS s,
+ sum(pow(target_arousal-(SELECT avg(target_arousal) FROM trials),2)) AS q FROM trials GROUP BY 1, 2""")
+view("rating_effects", """
+WITH RECURSIVE su AS MATERIALIZED (SELECT u, sum(n) AS n, sum(s) AS s FROM rating_cells GROUP BY 1),
+i AS MATERIALIZED (SELECT k, row_number() OVER (ORDER BY k)-1 AS i FROM (SELECT DISTINCT k FROM rating_cells)),
+c AS MATERIALIZED (SELECT rating_cells.*, i FROM rating_cells JOIN i USING (k)),
+pairs AS (SELECT a.i, b.i AS j, sum(a.n*b.n/su.n) AS v FROM c a JOIN c b USING (u) JOIN su USING (u) GROUP BY 1, 2),
+d AS (SELECT c.i, sum(c.n) AS n, sum(c.s-c.n*su.s/su.n) AS r FROM c JOIN su USING (u) GROUP BY 1),
+rows AS (SELECT x.i, list((CASE WHEN x.i=y.i THEN d.n ELSE 0 END)-coalesce(p.v,0) ORDER BY y.i) AS row, any_value(d.r) AS r
+  FROM i x JOIN i y ON x.i>0 AND y.i>0 JOIN d ON d.i=x.i LEFT JOIN pairs p ON p.i=x.i AND p.j=y.i GROUP BY x.i),
+gj AS (SELECT 0 AS step, list(list_append(row, r) ORDER BY i) AS m FROM rows UNION ALL
+ SELECT step+1, list_transform(m, lambda r, i: CASE WHEN i=step+1 THEN list_transform(r, lambda v: v/r[step+1]) ELSE list_transform(r, lambda v, j: v-r[step+1]*m[step+1][j]/m[step+1][step+1]) END) FROM gj WHERE step<len(m)),
+b AS (SELECT generate_subscripts(m,1) AS i, unnest(list_transform(m, lambda r: r[-1])) AS b FROM gj WHERE step=len(m) UNION ALL SELECT 0, 0)
+SELECT k, b FROM b JOIN i USING (i)""")
+
+
+@query("additive_r2", """
+WITH g AS (SELECT sum(n) AS n, sum(q) AS t FROM rating_cells), f AS (SELECT sum(s*s/n) AS v FROM (SELECT sum(n) n, sum(s) s FROM rating_cells GROUP BY u)), h AS (SELECT sum(s*s/n) AS v FROM (SELECT sum(n) n, sum(s) s FROM rating_cells GROUP BY k)),
+a AS (SELECT u, sum(s-n*b)/sum(n) AS a FROM rating_cells JOIN rating_effects USING (k) GROUP BY 1),
+e AS (SELECT sum(q-2*(a+b)*s+n*(a+b)*(a+b)) AS v FROM rating_cells JOIN rating_effects USING (k) JOIN a USING (u))
+SELECT g.n::BIGINT AS observation_count, round(t/(g.n-1),6) AS target_sample_variance, round(f.v/t,6) AS first_only, round(h.v/t,6) AS second_only, round(1-e.v/t,6) AS both,
+ round(1-e.v/t-f.v/t,6) AS second_given_first, round(1-e.v/t-h.v/t,6) AS first_given_second FROM g, f, h, e""")
 def _(spark, d):
     return rounded(M.additive_r2(V.trials(spark, d), "target_arousal"))
 

@@ -165,6 +165,22 @@ def test_additive_r2(data):
     assert got.both == pytest.approx(r2(design(u, g)), abs=1e-7)
 
 
+def test_additive_effects_of_sparse_cells(spark):
+    """A thin bipartite chain, where alternating means crawl: the normal equations hold to many digits."""
+    rng = np.random.default_rng(5)
+    rows = [(f"u{i}", f"k{(i + j) % 60}", float(rng.normal() + i / 10)) for i in range(60) for j in (0, 1)] + [("lone", "own", 3.0)]
+    df = spark.createDataFrame(rows, "subject_uid string, stimulus_uid string, y double")
+    cells = df.selectExpr("subject_uid", "stimulus_uid", "1D AS n", "y AS s")
+    mean = float(np.mean([r[2] for r in rows]))
+    a, b = M.additive_effects(cells, mean, "subject_uid", "stimulus_uid")
+    a, b = ({r[0]: r[1] for r in t.collect()} for t in (a, b))
+    for side in (0, 1):
+        sums = {}
+        for r in rows:
+            sums[r[side]] = sums.get(r[side], 0.0) + r[2] - mean - a[r[0]] - b[r[1]]
+        assert max(map(abs, sums.values())) < 1e-9
+
+
 def test_nuisance_removal(data):
     df, x, y, g, u, split = data
     tr, te = split == "train", split == "test"
