@@ -165,6 +165,24 @@ def _(spark, d):
     return rounded(_nearest(spark, d).filter("labels = 'observed'").select("accuracy", "balanced_accuracy"))
 
 
+@query("nearest_centroid_permuted", """
+WITH e AS MATERIALIZED (SELECT vec_id, generate_subscripts(embedding,1) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings),
+v AS MATERIALIZED (SELECT split, trial_uid, vec_id, embeddings.label FROM (SELECT *, event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM assigned) JOIN embeddings USING (vec_id)),
+ra AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('17:permute_rows:'||trial_uid), trial_uid) AS r FROM v WHERE split='train'),
+rb AS (SELECT label, row_number() OVER (ORDER BY sha256('17:permute_labels:'||trial_uid), trial_uid) AS r FROM v WHERE split='train'),
+a AS MATERIALIZED (SELECT vec_id, label, count(*) AS c FROM ra JOIN rb USING (r) GROUP BY 1, 2),
+st AS MATERIALIZED (SELECT p, sum(c*x)/sum(c) AS m, sqrt(sum(c*x*x)/sum(c)-pow(sum(c*x)/sum(c),2)) AS s FROM a JOIN e USING (vec_id) GROUP BY 1),
+ce AS MATERIALIZED (SELECT label, p, sum(c*(x-m)/s)/sum(c) AS z FROM a JOIN e USING (vec_id) JOIN st USING (p) GROUP BY 1, 2),
+t AS MATERIALIZED (SELECT vec_id, label, count(*) AS c FROM v WHERE split='test' GROUP BY 1, 2),
+ds AS (SELECT vec_id, ce.label AS guess, sum(pow((x-m)/s-z,2)) AS d FROM (SELECT DISTINCT vec_id FROM t) JOIN e USING (vec_id) JOIN st USING (p) JOIN ce USING (p) GROUP BY 1, 2),
+g AS (SELECT vec_id, arg_min(guess, d) AS guess FROM ds GROUP BY 1),
+r AS (SELECT label, sum(c) AS n, sum(CASE WHEN guess=label THEN c ELSE 0 END) AS h FROM t JOIN g USING (vec_id) GROUP BY 1)
+SELECT round(sum(h)/sum(n),6) AS accuracy, round(avg(h/n),6) AS balanced_accuracy, (SELECT count(DISTINCT label) FROM a)::INT AS identity_count FROM r""")
+def _(spark, d):
+    """The permuted-label control."""
+    return rounded(_nearest(spark, d).filter("labels = 'permuted'").select("accuracy", "balanced_accuracy", "identity_count"))
+
+
 def _grams(spark, d):
     rows = materialize(labelled(spark, d).filter("split = 'train'").selectExpr("trial_uid", "stimulus_uid", "features", "'all' AS one", "array(target_valence, target_arousal) AS y"))
     shift = G.feature_shift(rows)

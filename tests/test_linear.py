@@ -105,7 +105,12 @@ def balanced(x, label, r, alpha):
     return np.array(classes)[np.argmax(zr @ coef, 1)]
 
 
-def test_probes(data):
+@pytest.mark.parametrize("values", [None, 20])
+def test_probes(data, values, monkeypatch):
+    """In one block of classes and in many."""
+    if values:
+        monkeypatch.setattr(B, "BLOCK_VALUES", values)
+        monkeypatch.setattr(B, "PASSES", 2)
     df, x, y, g, u, split = data
     label = np.array([f"u{v}" for v in u])
     fit, te = split != "test", split == "test"
