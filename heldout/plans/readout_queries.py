@@ -18,7 +18,7 @@ from heldout.plans.prior_queries import rounded
 from heldout.plans.registry import query, view
 from heldout.sources import views as V
 
-ALPHAS = (1.0, 100.0)
+ALPHAS = R.ALPHAS
 
 
 def labelled(spark, d, group="subject_uid"):
@@ -255,17 +255,17 @@ def described(spark, d):
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM documents),
 x AS (SELECT doc_id, unnest(list_concat(w, CASE WHEN len(w)>1 THEN list_transform(range(1, len(w)), lambda i: w[i]||' '||w[i+1]) ELSE [] END)) AS term FROM t),
 c AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY 1,2),
-v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY 1 ORDER BY total DESC, term LIMIT 200)
+v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY 1 ORDER BY total DESC, term LIMIT 1024)
 SELECT term, CAST(row_number() OVER (ORDER BY term)-1 AS INT) AS column, round(ln((1+(SELECT count(DISTINCT doc_id) FROM c))/(1+df))+1,6) AS idf FROM v""")
 def _(spark, d):
     docs = V.table(spark, d, "documents").selectExpr("concat('d', doc_id) AS stimulus_uid", "text")
-    return rounded(S.vocabulary(S.term_counts(docs), 200))
+    return rounded(S.vocabulary(S.term_counts(docs)))
 
 
 @query("semantic_prior")
 def _(spark, d):
     rows = described(spark, d).selectExpr("*", "array(target_valence, target_arousal) AS y")
-    out, _, _ = S.semantic_prior(rows, categories=["lang", "source"], alphas=ALPHAS, size=256)
+    out, _, _ = S.semantic_prior(rows, categories=["lang", "source"], alphas=ALPHAS)
     return rounded(out.selectExpr("trial_uid", "prediction[0] AS valence", "prediction[1] AS arousal"))
 
 
@@ -286,7 +286,7 @@ def _(spark, d):
     rows, m, g, k = _grams(spark, d)
     nuisance = G.nuisance_gram(g, m, k, 2)["all"]
     held = labelled(spark, d).filter("split = 'validation'").selectExpr("features", "array(target_valence, target_arousal) AS y", "cast(array() as array<double>) AS none")
-    cands = [((p, a), lambda mm, p=p, a=a: G.conditional_ridge(mm, a, p, nuisance)) for p in (0.0, 1.0) for a in ALPHAS]
+    cands = [((p, a), lambda mm, p=p, a=a: G.conditional_ridge(mm, a, p, nuisance)) for p in D.PENALTIES for a in ALPHAS]
     chosen, scores = R.grid_select(held, cands, m["all"], prior="none")
     return rounded(spark.createDataFrame([(float(key[0]), float(key[1]), e, key == chosen) for key, e in scores], "penalty double, alpha double, validation_mae double, selected boolean"))
 
@@ -294,14 +294,14 @@ def _(spark, d):
 @query("decomposition_benchmark")
 def _(spark, d):
     rows = described_features(spark, d)
-    out, _ = D.decomposition_benchmark(rows, categories=["lang", "source"], alphas=ALPHAS, penalties=(0.0, 1.0), components=(0, 4), strengths=(0.0, 0.5))
+    out, _ = D.decomposition_benchmark(rows, categories=["lang", "source"])
     return rounded(D.decomposition_metrics(materialize(out)))
 
 
 @query("subspace_curve")
 def _(spark, d):
     rows = described_features(spark, d).drop("stimulus_uid").withColumn("stimulus_uid", F.expr("concat('k', cast(substring(trial_uid, 2) as bigint) % 100)"))
-    return rounded(D.subspace_curve(rows, categories=["lang", "source"], components=(0, 2, 8), alphas=ALPHAS))
+    return rounded(D.subspace_curve(rows, categories=["lang", "source"]))
 
 
 @query("audit_bundle")
