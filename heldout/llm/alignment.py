@@ -8,7 +8,9 @@ stretch of it between two common ends, so that few lanes outlive the others.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -26,6 +28,29 @@ FREQUENT = 300_000  # commonest pairs whose counts every task holds; all others
 _ALIGNED = "doc_id bigint, a_ids array<int>, b_ids array<int>, group_a array<int>, group_b array<int>, link_a array<int>, link_b array<int>, link_n array<int>"
 
 Encode = Callable[[list[str]], list[list[int]]]
+#: Cuts of byte-level vocabularies, a fixed value of their library.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What lies outside of blocks whose letters, numbers and white space all libraries tell apart alike.
+RARE = re.compile("[^\x00-\u024f\u0391-\u03c9\u0400-\u04ff\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+
+
+def _ranked(path: str, letters: dict[str, int]):
+    """The same vocabulary as ranks of merges, which is several times faster; None where its file says more than that."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    if not plain or spec.get("normalizer") or model.get("unk_token") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    special = {x["id"] for x in spec["added_tokens"]}
+    ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if i not in special}
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    made = [ranks.get(bytes(letters[c] for c in a + b)) for a, b in pairs]
+    if made != sorted(set(made), key=lambda i: -1 if i is None else i) or len(made) + 256 != len(ranks):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_tables(path_a: str, path_b: str) -> tuple[Encode, Encode, list[bytes], list[bytes]]:
@@ -48,7 +73,13 @@ def token_tables(path_a: str, path_b: str) -> tuple[Encode, Encode, list[bytes],
     for i in range(b.vocab_size()):
         piece = b.id_to_piece(i)
         bytes_b.append(bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode())
-    encode_a = lambda texts: [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    ranked = _ranked(path_a, letters)
+
+    def encode_a(texts: list[str]) -> list[list[int]]:
+        if ranked is None:
+            return [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [a.encode(" " + t, add_special_tokens=False).ids if RARE.search(t) else ranked.encode_ordinary(" " + t) for t in texts]
+
     return encode_a, lambda texts: b.encode(texts, num_threads=1), bytes_a, bytes_b
 
 

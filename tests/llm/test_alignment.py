@@ -109,3 +109,17 @@ def test_lockstep_against_sets():
         side = lambda ends: np.searchsorted(cuts, ends)
         want = {(i, j) for i, x in enumerate(side(a)) for j, y in enumerate(side(b)) if x == y}
         assert sorted(map(tuple, links.T.tolist())) == sorted(want)
+
+
+def test_ranks_give_the_ids_of_the_library():
+    """Random strings of the blocks that go by ranks, white space and apostrophes often."""
+    library = Tokenizer.from_file(PATHS[0])
+    library.encode_special_tokens = True
+    rng = random.Random(6)
+    blocks = [(0, 0x24F), (0x391, 0x3C9), (0x400, 0x4FF), (0x2010, 0x2027), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+    common = [*" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0", "'s", "'S", "'ll", " the", "'re", "<|endoftext|>", "²", "½", "_", "1", "ª"]
+    texts = ["".join(rng.choice(common) if rng.random() < 0.5 else chr(rng.randint(*rng.choice(blocks))) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    texts += ["".join(chr(c) for c in range(a, b + 1)) for a, b in blocks]
+    assert not any(alignment.RARE.search(t) for t in texts)
+    encode = alignment.token_tables(*PATHS)[0]
+    assert encode(texts) == [e.ids for e in library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
