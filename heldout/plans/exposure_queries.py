@@ -149,6 +149,28 @@ def _(spark, d):
     return card.selectExpr(*X.CELL, "cell", "supported_deployment", "participant_identity_id_required", "size(blocked_claims) AS blocked")
 
 
+@query("claim_card_isolated", """
+WITH r AS (SELECT participant_dose AS p, stimulus_dose AS s, split, unnest(['session','dataset','device']) AS axis, unnest([subject_uid, dataset_id, 'v'||event_id%5]) AS id FROM cell_rows JOIN trials USING (trial_uid) WHERE split<>'excluded'),
+g AS (SELECT p, s, axis, id, bool_or(split<>'test') AS dev, bool_or(split='test') AS te FROM r GROUP BY ALL),
+o AS (SELECT p, s, axis, count_if(dev AND te)=0 AS ok FROM g GROUP BY ALL),
+w AS (SELECT p, s, bool_or(ok) FILTER (axis='session') AS a, bool_or(ok) FILTER (axis='dataset') AS b, bool_or(ok) FILTER (axis='device') AS c FROM o GROUP BY 1, 2)
+SELECT CAST(11 AS BIGINT) AS seed, p AS participant_dose, s AS stimulus_dose, 'participant-0'||p||'_stimulus-0'||s AS cell, p AS participant_labels_required, s AS same_stimulus_training_labels_required,
+ concat_ws(',', CASE WHEN a THEN 'session' END, CASE WHEN b THEN 'dataset' END, CASE WHEN c THEN 'device' END) AS verified_holdouts, 'session,device' AS requested_holdouts, 'clinic' AS deployment_context,
+ concat_ws('|', 'latent or true emotion disentanglement', 'causal removal of participant or stimulus identity', 'fully subject-independent prediction when participant calibration is non-zero',
+  'unseen-stimulus prediction when stimulus exposure is non-zero', CASE WHEN NOT a THEN 'session-independent generalization' END, CASE WHEN NOT b THEN 'cross-dataset generalization' END, CASE WHEN NOT c THEN 'cross-device generalization' END) AS blocked_claims FROM w""")
+def _(spark, d):
+    """Cards whose claims follow from the isolation that each cell really has: a session is a user here."""
+    t, c = cells(spark, d)
+    c = materialize(c)
+    t = t.selectExpr("*", "subject_uid AS session_uid", "concat('v', event_id % 5) AS device_id")
+    isolation = X.axis_isolation(t, c, ["session_uid", "dataset_id", "device_id"])
+    card = X.claim_card(c.select(*X.CELL).distinct(), isolation=isolation, requested=["session", "device"], context="clinic")
+    return card.selectExpr(
+        *X.CELL, "cell", "participant_labels_required", "same_stimulus_training_labels_required", "array_join(verified_holdouts, ',') AS verified_holdouts",
+        "array_join(requested_holdouts, ',') AS requested_holdouts", "deployment_context", "array_join(blocked_claims, '|') AS blocked_claims",
+    )
+
+
 @query("cell_audit", """SELECT seed, participant_dose, stimulus_dose, """ + ", ".join(f"count_if(split='{s}') AS {s}_rows" for s in ("train", "validation", "calibration", "test", "excluded")) + """,
  count_if(role='train_size_matched_donor') AS donors, count_if(role='repeated_stimulus_exposure') AS exposures, count_if(split='train')=(SELECT count(*) FROM strict WHERE split='train') AS train_size_preserved
 FROM cell_rows GROUP BY 1,2,3""")
