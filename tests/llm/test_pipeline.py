@@ -2,7 +2,7 @@ from collections import Counter
 
 import corpus_pipeline as P
 from heldout.llm import decontaminate, near_dedup, packing, quality_model, quality_rules
-from tests.llm.fixtures import shingles
+from tests.llm.fixtures import documents, empty, shingles
 from tests.llm.test_near_dedup import brute
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,16 @@ def test_each_stage_against_its_operator_and_brute_force(spark, tmp_path):
 def test_run_returns_the_packed_pieces(spark):
     out = P.run(spark, SF)
     assert "sequence_id" in out.columns and out.count() > 50
+
+
+def test_awkward_and_empty_documents(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through all stages; an empty table gives no row."""
+    for name, docs in (("odd", documents(spark)), ("none", empty(spark))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            P.table(spark, SF, other).write.parquet(f"{tmp_path}/{name}/{other}.parquet")
+    ids = {r["doc_id"] for r in documents(spark).collect()}
+    out = P.run(spark, f"{tmp_path}/odd")
+    found = [r["doc_id"] for r in out.collect()]
+    assert set(found) <= ids and not {5, 6, 13} & set(found)  # without words a text fails the rules
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
