@@ -2,49 +2,86 @@
 
 from __future__ import annotations
 
-import itertools
-from functools import reduce
+import json
+import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heldout.functions.checks import EvaluationError, require_columns
-from heldout.functions.materialize import materialize
 
+LEAVES = 100_000  # rows of a batch that a task hands on
 _NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
 
 def flatten_json_numeric(docs: DataFrame, *, depth: int | None = None) -> DataFrame:
     """Every numeric leaf of ``(asset, json)`` as ``(asset, json_path, value)``.
 
-    One pass per nesting level.  Without ``depth`` the loop stops at the first
-    level that holds no container; booleans and strings are skipped.
+    One scan for any nesting: a task walks each document of an Arrow batch with
+    a stack of its own.  ``depth`` is the number of levels read, the root being
+    the first.  Booleans, strings and nulls are skipped, null text has no leaf;
+    malformed text, a repeated key and a number beyond the range of doubles are errors.
     """
     require_columns(docs, ["asset", "json"])
-    level = docs.selectExpr("asset", "'$' AS json_path", "parse_json(json) AS node").selectExpr(
-        "*", "schema_of_variant(node) AS kind"
-    )
-    found, tvf = [], docs.sparkSession.tvf
-    for _ in range(depth) if depth is not None else itertools.count():
-        found.append(
-            level.filter(F.col("kind").rlike(_NUMBER)).selectExpr(
-                "asset", "json_path", "cast(node as double) AS value"
-            )
-        )
-        nested = materialize(level.filter("kind like 'OBJECT%' or kind like 'ARRAY%'").selectExpr("asset", "json_path", "to_json(node) AS node"))
-        if depth is None and not nested.head(1):
-            break
-        level = (
-            nested.selectExpr("asset", "json_path", "parse_json(node) AS node")
-            .lateralJoin(tvf.variant_explode(F.col("node").outer()))
-            .selectExpr(
-                "asset",
-                "concat(json_path, if(key is null, concat('[', pos, ']'), concat('.', key))) AS json_path",
-                "value AS node",
-            )
-            .selectExpr("*", "schema_of_variant(node) AS kind")
-        )
-    return reduce(lambda a, b: a.unionByName(b), found)
+    asset = docs.schema["asset"]
+
+    def run(batches):
+        for batch in batches:
+            found: tuple[list, list, list] = ([], [], [])
+            for name, text in zip(batch.column("asset").to_pylist(), batch.column("json").to_pylist()):
+                for path, value in _leaves(text, depth) if text is not None else ():
+                    for column, v in zip(found, (name, path, value)):
+                        column.append(v)
+                    if len(found[0]) == LEAVES:  # a document of many leaves leaves the task in pieces
+                        yield _leaf_batch(found, batch.schema.field("asset").type)
+                        found = ([], [], [])
+            if found[0]:
+                yield _leaf_batch(found, batch.schema.field("asset").type)
+
+    schema = T.StructType([asset, T.StructField("json_path", T.StringType()), T.StructField("value", T.DoubleType())])
+    return docs.select("asset", "json").mapInArrow(run, schema)
+
+
+def _leaf_batch(found: tuple[list, list, list], asset: pa.DataType) -> pa.RecordBatch:
+    columns = [pa.array(v, t) for v, t in zip(found, (asset, pa.string(), pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["asset", "json_path", "value"])
+
+
+def _unique(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise EvaluationError("a JSON object repeats a key")
+    return out
+
+
+def _no_constant(name: str):
+    raise EvaluationError(f"{name} is not JSON")
+
+
+def _leaves(text: str, depth: int | None) -> Iterator[tuple[str, float]]:
+    """Paths and values of the numbers of one document, in document order."""
+    try:
+        root = json.loads(text, object_pairs_hook=_unique, parse_constant=_no_constant)
+    except (json.JSONDecodeError, RecursionError) as e:
+        raise EvaluationError(f"malformed JSON: {e}") from e
+    open_nodes = [("$", root, 1)]
+    while open_nodes:
+        path, node, level = open_nodes.pop()
+        if isinstance(node, (dict, list)):
+            if depth is None or level < depth:
+                inner = ((f".{k}", v) for k, v in node.items()) if isinstance(node, dict) else ((f"[{i}]", v) for i, v in enumerate(node))
+                open_nodes += [(path + step, v, level + 1) for step, v in inner][::-1]
+        elif isinstance(node, (int, float)) and not isinstance(node, bool):
+            try:
+                value = float(node)
+            except OverflowError:
+                value = math.inf
+            if math.isinf(value):
+                raise EvaluationError(f"{path} is beyond the range of doubles")
+            yield path, value
 
 
 def _numeric(variant: str) -> str:

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import json
 
 import pytest
 
@@ -62,6 +63,23 @@ def test_json_leaves(spark):
     assert got == {("x", "$.b[0]", 1.0), ("x", "$.b[1].c", 2.5), ("y", "$", 3.0)}
 
 
+def test_json_leaves_of_any_depth_in_one_scan(spark, monkeypatch):
+    deep = '{"a":[' * 200 + "7, null" + "]}" * 200
+    wide = json.dumps({"v": list(range(2500)), "w": {"": -1.5, "é.x": 12345678901234567890}})
+    docs = spark.createDataFrame([(1, deep), (2, wide), (3, None), (4, "[]"), (1, "2")], "asset bigint, json string")
+    monkeypatch.setattr(D, "LEAVES", 1000)
+    leaves = D.flatten_json_numeric(docs)
+    assert leaves._jdf.queryExecution().toString().count("ExchangeExec") == 0
+    got = sorted(tuple(r) for r in leaves.collect())
+    want = [(1, "$" + ".a[0]" * 200, 7.0), (1, "$", 2.0), (2, "$.w.", -1.5), (2, "$.w.é.x", float(12345678901234567890))]
+    assert got == sorted(want + [(2, f"$.v[{i}]", float(i)) for i in range(2500)])
+    shallow = {tuple(r) for r in D.flatten_json_numeric(docs, depth=2).collect()}
+    assert shallow == {(1, "$", 2.0)}
+    for bad in ('{"a":1,"a":2}', "{", "NaN", "[1e999]", "1" + "0" * 400):
+        with pytest.raises(Exception, match="repeats|malformed|not JSON|beyond"):
+            D.flatten_json_numeric(spark.createDataFrame([("x", bad)], "asset string, json string")).collect()
+
+
 def test_unsupported_alignment_is_an_error(spark):
     f = spark.createDataFrame([("a",), ("b",)], "trial_uid string")
     want = spark.createDataFrame([("a",), ("c",)], "trial_uid string")
