@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from heldout.operators import decomposition as D
 from heldout.operators import exposure as X
@@ -211,6 +212,54 @@ def test_semantic_vectors(spark):
     assert got["s3"] == [1, 0, 0, 0, 0, 0]
 
 
+def test_sparse_prior_against_dense_ridge(spark):
+    """Many categories, a null one, one unseen in train, terms: the sparse solve equals the direct one on dense one-hot rows."""
+    rng = np.random.default_rng(11)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(6)]
+    rows = []
+    for i in range(160):
+        split = ("train", "train", "train", "validation", "test")[i % 5]
+        group = None if i % 31 == 0 else "only_test" if i == 4 else f"g{int(rng.integers(40))}"
+        text = None if i % 37 == 1 else " ".join(rng.choice(words, int(rng.integers(0, 9))))
+        for k in range(1 + i % 2):
+            rows.append((f"t{i}_{k}", f"s{i}", split, group, f"c{i % 3}", text, [float(v) for v in rng.normal(size=2)]))
+    df = spark.createDataFrame(rows, "trial_uid string, stimulus_uid string, split string, g string, c string, text string, y array<double>")
+    alphas = (0.1, 1.0, 10.0)
+    out, tuned, scores = S.semantic_prior(df, categories=["c", "g"], alphas=alphas, size=50)
+    out, tuned = ({r.trial_uid: r.prediction for r in x.collect()} for x in (out, tuned))
+
+    def dense(fit_splits, alpha):
+        stim = {r[1]: r for r in rows}
+        fit = [s for s in stim if stim[s][2] in fit_splits]
+        frame = spark.createDataFrame([(s, r[3], r[4], r[5]) for s, r in stim.items()], "stimulus_uid string, g string, c string, text string")
+        x = {r.stimulus_uid: np.array(r.features) for r in S.semantic_vectors(frame, frame.filter(F.col("stimulus_uid").isin(fit)), categories=["g", "c"], size=50).collect()}
+        a = np.array([x[s] for s in fit])
+        b = np.array([np.mean([r[6] for r in rows if r[1] == s], 0) for s in fit])
+        ac = a - a.mean(0)
+        w = np.linalg.solve(ac.T @ ac + alpha * np.eye(a.shape[1]), ac.T @ (b - b.mean(0)))
+        return lambda s: b.mean(0) + (x[s] - a.mean(0)) @ w
+
+    held = [r for r in rows if r[2] == "validation"]
+    for (alpha, error) in scores:
+        model = dense(("train",), alpha)
+        assert error == pytest.approx(np.mean([np.abs(model(r[1]) - r[6]).mean() for r in held]), abs=1e-9)
+    best = min(scores, key=lambda x: x[1])[0]
+    model = dense(("train",), best)
+    assert set(tuned) == {r[0] for r in held} and all(np.allclose(tuned[r[0]], model(r[1]), atol=1e-9) for r in held)
+    model = dense(("train", "validation"), best)
+    wanted = [r for r in rows if r[2] == "test"]
+    assert set(out) == {r[0] for r in wanted} and all(np.allclose(out[r[0]], model(r[1]), atol=1e-9) for r in wanted)
+
+
+def test_sparse_products_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 11)) * (rng.random((50, 11)) < 0.4)
+    y = rng.normal(size=(50, 3))
+    df = spark.createDataFrame([([int(i) for i in np.flatnonzero(r)], [float(v) for v in r[r != 0]], [float(v) for v in t]) for r, t in zip(x, y)], "at array<int>, w array<double>, y array<double>")
+    for (xx, xy), f in zip(S.sparse_products(df.repartition(3), 11, 3, lambda at, w: np.array([1.0, len(at)]), 2, block=4), (np.ones(50), (x != 0).sum(1))):
+        assert np.allclose(xx, x.T @ (x * f[:, None])) and np.allclose(xy, x.T @ (y * f[:, None]))
+
+
 @pytest.mark.parametrize("name", ["semantic_nuisance", "decomposition_benchmark", "subspace_curve"])
 def test_semantic_queries_read_the_text(spark, tmp_path, name):
     """Documents that differ only in their text: the answers follow it."""
