@@ -11,6 +11,7 @@ from heldout.functions.materialize import materialize
 from heldout.llm.text import plain
 
 SAMPLE_ROWS = 1_000  # rows on which cost and selectivity of the rules are measured, about
+WINDOW_HASH = "xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2))"  # brings windows together; words decide
 _BLANK = "' \\t\\n\\u000B\\u000C\\r'"
 
 #: Rules beyond the base: a name and the SQL condition that rejects. They may use the base columns, _text, _words and _lines.
@@ -30,6 +31,8 @@ def measured(docs: DataFrame) -> DataFrame:
 
     A 3-word window is hashed to the high bits of a number whose low bits are
     its position, so one sort of primitive numbers brings equal windows together.
+    Windows that share these bits are sorted once more by their words, so the
+    count is exact for texts of any length.
     """
     step = docs.selectExpr("*", "coalesce(text, '') AS _text").selectExpr("*", f"btrim(_text, {_BLANK}) AS _trim")
     step = step.selectExpr(
@@ -44,16 +47,28 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     step = step.selectExpr("*", _once(
         "if(n_words < 3, cast(array() AS array<bigint>), sort_array(transform(sequence(0, greatest(cast(n_words AS int) - 3, 0)), "
-        "i -> shiftleft(xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)), _bits) | i)))", "_windows",
+        f"i -> shiftleft({WINDOW_HASH}, _bits) | i)))", "_windows",
     ))
     step = step.selectExpr("*", _once(
-        "sort_array(transform(filter(_windows, (x, k) -> shiftright(x, _bits) = shiftright(get(_windows, k + 1), _bits) "
-        "OR shiftright(x, _bits) = shiftright(get(_windows, k - 1), _bits)), x -> x & (shiftleft(1L, _bits) - 1)))", "_starts",
+        "transform(filter(_windows, (x, k) -> shiftright(x, _bits) = shiftright(get(_windows, k + 1), _bits) "
+        "OR shiftright(x, _bits) = shiftright(get(_windows, k - 1), _bits)), x -> x & (shiftleft(1L, _bits) - 1))", "_maybe",
+    ))
+    step = step.selectExpr("*", _once(
+        "sort_array(transform(_maybe, p -> struct(get(_words, cast(p AS int)) AS a, get(_words, cast(p AS int) + 1) AS b, get(_words, cast(p AS int) + 2) AS c, p)))",
+        "_alike",
+    ))
+    step = step.selectExpr("*", _once(
+        f"sort_array(transform(filter(_alike, (x, k) -> {_same('k + 1')} OR {_same('k - 1')}), x -> x.p))", "_starts"
     ))
     step = step.selectExpr("*", _once(
         "aggregate(transform(_starts, (x, k) -> if(k = 0, 3L, least(3L, x - get(_starts, k - 1)))), 0L, (a, x) -> a + x)", "n_repeat_words"
     ))
-    return step.drop("_trim", "_bits", "_windows", "_starts")
+    return step.drop("_trim", "_bits", "_windows", "_maybe", "_alike", "_starts")
+
+
+def _same(at: str) -> str:
+    """Whether window ``x`` has the words of the window at place ``at`` of the sorted ones."""
+    return "(" + " AND ".join(f"x.{w} = get(_alike, {at}).{w}" for w in "abc") + ")"
 
 
 def _once(expression: str, name: str) -> str:

@@ -161,7 +161,24 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op8_sharding")
+# CRC-32 of a text, byte by byte through the table of its polynomial
+CRC_TABLE = """(SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+SHARDING_SQL = f"""
+WITH b AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 8 AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS bytes FROM documents),
+c AS MATERIALIZED (SELECT doc_id, source, size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM b, {CRC_TABLE}),
+h AS (SELECT *, ('0x' || substr(md5('1:' || doc_id || ':' || size || ':' || text_crc32), 1, 15))::BIGINT AS hash,
+  (('0x' || substr(md5('1' || coalesce(':' || source, '')), 1, 15))::BIGINT % 1048576) / 1048576::DOUBLE AS shift FROM c),
+p AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY hash, doc_id, text_crc32) - 1 + shift) / count(*) OVER (PARTITION BY source)::DOUBLE AS place FROM h),
+r AS (SELECT *, row_number() OVER (ORDER BY place, md5(source) NULLS FIRST, source NULLS FIRST) - 1 AS spot, count(*) OVER () AS total FROM p),
+s AS (SELECT *, spot * 24 // total AS shard FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard,
+  spot - (shard * total + 23) // 24 AS slot, CAST(NULL AS INT) AS grown_shard FROM s"""
+
+
+@query("op8_sharding", SHARDING_SQL)
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heldout.llm.sharding import interleave
 

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,33 @@ def test_shards_are_even_and_mixed(spark):
     assert again == {(r["doc_id"], r["shard"], r["slot"]) for r in rows}
 
 
+def test_repeated_words_where_hashes_collide(spark, monkeypatch):
+    """All windows share one hash: their words alone decide, so the counts stay those of brute force."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcd"), n)) for n in (0, 2, 3, 4, 9, 40, 200)] + ["a b c a b c a", "x y z", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = []
+    for t in texts:
+        w = (t or "").split()
+        seen = Counter(zip(w, w[1:], w[2:]))
+        want.append(len({i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}))
+    for hashed in (quality_rules.WINDOW_HASH, "cast(1 AS bigint)", "length(get(_words, i)) + ascii(get(_words, i + 2)) % 2"):
+        monkeypatch.setattr(quality_rules, "WINDOW_HASH", hashed)
+        got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.measured(docs).select("doc_id", "n_repeat_words").collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_shards_equal_their_sql(spark, tmp_path):
+    from heldout.llm.queries import ORACLE, QUERIES
+    from tests.oracle import compare, connect
+
+    documents(spark).filter("doc_id is not null").dropDuplicates(["doc_id"]).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    (tmp_path / "sql").mkdir()
+    con = connect(str(tmp_path / "sql"))
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare(spark, con, "op8", QUERIES["op8_sharding"], ORACLE["op8_sharding"], str(tmp_path)).startswith("ok")
+
+
 def test_shards_of_awkward_rows(spark):
     docs = documents(spark)
     rows = sharding.interleave(docs, shards=5).collect()
