@@ -129,14 +129,14 @@ def interval_sql(source, keys, value, low="q[1]", high="q[2]"):
 
 @query("intervals", f"""
 WITH b AS ({interval_sql('draws', KEYS, 'macro_ccc')})
-SELECT {KEYS}, unnest(['percentile','basic','block_t']) AS method, round(unnest([q[1], 2*estimate-q[2], estimate-2.7764451051977934*sd]),6) AS ci_low,
- round(unnest([q[2], 2*estimate-q[1], estimate+2.7764451051977934*sd]),6) AS ci_high FROM b""")
+SELECT {KEYS}, unnest(['percentile','basic','block_t','normal_t']) AS method, round(unnest([q[1], 2*estimate-q[2], estimate-2.7764451051977934*sd, estimate-2.2621571628540993*sd]),6) AS ci_low,
+ round(unnest([q[2], 2*estimate-q[1], estimate+2.7764451051977934*sd, estimate+2.2621571628540993*sd]),6) AS ci_high FROM b""")
 def _(spark, d):
     t = draw_table(spark, d)
     keys = [*I.CELL, "predictor"]
     out = None
-    for m in ("percentile", "basic", "block_t"):
-        part = I.intervals(t, keys, "macro_ccc", method=m, df=4).select(*keys, F.lit(m).alias("method"), "ci_low", "ci_high")
+    for m, df in (("percentile", None), ("basic", None), ("block_t", 4), ("normal_t", 9)):
+        part = I.intervals(t, keys, "macro_ccc", method=m, df=df).select(*keys, F.lit(m).alias("method"), "ci_low", "ci_high")
         out = part if out is None else out.unionByName(part)
     return rounded(out)
 
