@@ -16,6 +16,7 @@ from heldout.functions.joins import attach_groups
 BANDS = (("delta", 1.0, 4.0), ("theta", 4.0, 8.0), ("alpha", 8.0, 13.0), ("beta", 13.0, 30.0), ("gamma", 30.0, 45.0))
 TINY = float(np.finfo(np.float64).tiny)
 BLOCK_SECONDS = 30
+SALTS = 4  # tasks that the vectors of one key are dealt to
 
 
 def cut_epochs(samples: DataFrame, trials: DataFrame, *, bucket: int = 4096, validate: bool = True) -> DataFrame:
@@ -139,13 +140,79 @@ def inspect_blocks(seconds: DataFrame, expected: DataFrame, *, block: int = BLOC
     )
 
 
+def _run_sums(whole: bool):
+    """Sums over runs of equal ``_key`` of rows sorted by it: of vectors ``v`` with weight ``w``, or of such sums."""
+
+    def add(state: list, parts: Sequence[np.ndarray]) -> None:
+        short = len(parts[0]) - len(state[0])
+        if short > 0:
+            state[:] = [np.append(s, np.zeros(short)) for s in state]
+        for s, p in zip(state, parts):
+            s[: len(p)] += p
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        names = batch.column("_key").to_pylist()
+        starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+        columns = [batch.column(c) for c in (("a", "b", "n") if whole else ("v",))]
+        lengths = columns[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = [c.flatten() for c in columns]
+        if whole:
+            values = [f.to_numpy(zero_copy_only=False) for f in flat]
+        else:
+            w = batch.column("w")
+            known = np.repeat(w.is_valid().to_numpy(zero_copy_only=False), lengths) & flat[0].is_valid().to_numpy(zero_copy_only=False)
+            weight = np.repeat(w.fill_null(0).to_numpy(zero_copy_only=False).astype(float), lengths)
+            v = flat[0].to_numpy(zero_copy_only=False).astype(float)
+            counted = np.repeat(w.is_valid().to_numpy(zero_copy_only=False), lengths)
+            values = [np.where(known, weight * np.where(known, v, 0), 0), np.where(counted, weight, 0), known.astype(float)]
+        if len(set(lengths.tolist())) == 1 and lengths[0]:
+            blocks = [np.add.reduceat(x.reshape(len(names), -1), starts, axis=0) for x in values]
+            yield from ((names[at], [x[i] for x in blocks]) for i, at in enumerate(starts))
+        else:
+            ends = np.cumsum(lengths)
+            yield from ((names[i], [x[ends[i] - lengths[i] : ends[i]] for x in values]) for i in range(len(names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, state, schema = [], None, None
+
+        def out():
+            lists = [pa.array([k for k, _ in done], schema), *[pa.array([s[i] for _, s in done], pa.list_(pa.float64())) for i in range(3)]]
+            done.clear()
+            return pa.RecordBatch.from_arrays(lists, names=["_key", "a", "b", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema = batch.schema.field("_key").type
+            for key, parts in rows(batch):
+                if state is None or key != state[0]:
+                    if state is not None:
+                        done.append(state)
+                    if len(done) >= 1024:
+                        yield out()
+                    state = (key, [np.zeros(0)] * 3)
+                add(state[1], parts)
+        if state is not None:
+            done.append(state)
+            yield out()
+
+    return run
+
+
 def pool_vectors(vectors: DataFrame, *, weight: str | None = None, key: str = "trial_uid", vector: str = "vector") -> DataFrame:
-    """Weighted elementwise mean of the window or token vectors of a trial."""
+    """Weighted elementwise mean of the window or token vectors of a trial.
+
+    Vectors are sent whole, once, to one of ``SALTS`` tasks of their key; only sums go on from there.
+    """
     w = f"cast({weight} as double)" if weight else "1D"
-    long = vectors.selectExpr(key, f"{w} AS w", f"posexplode({vector}) AS (p, v)")
-    mean = long.groupBy(key, "p").agg(F.expr("sum(w * v) / sum(w)").alias("v"))
-    # one entry per vector position
-    return mean.groupBy(key).agg(F.expr("transform(array_sort(collect_list(struct(p, v))), e -> e.v)").alias(vector))
+    rows = vectors.selectExpr(f"{key} AS _key", f"{w} AS w", f"{vector} AS v", f"spark_partition_id() % {SALTS} AS _salt")
+    kind = dict(rows.dtypes)["_key"]
+    shape = f"_key {kind}, a array<double>, b array<double>, n array<double>"
+    part = rows.repartition("_key", "_salt").sortWithinPartitions("_key", "_salt").select("_key", "w", "v").mapInArrow(_run_sums(False), shape)
+    total = part.repartition("_key").sortWithinPartitions("_key").mapInArrow(_run_sums(True), shape)
+    return total.filter("size(a) > 0").selectExpr(
+        f"_key AS {key}", f"transform(sequence(0, size(a) - 1), i -> if(n[i] > 0, a[i] / b[i], cast(null as double))) AS {vector}"
+    )
 
 
 def concat_modalities(left: DataFrame, right: DataFrame, *, width: int, key: str = "trial_uid", vector: str = "vector") -> DataFrame:

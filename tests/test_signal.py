@@ -46,3 +46,12 @@ def test_epoch_bounds_are_errors(spark):
 def test_regions_must_partition(spark):
     with pytest.raises(ValueError, match="partition"):
         G.enumerate_views(spark, ["a", "b"], ["x"], {"r": ["a"]})
+
+
+def test_pooling_of_uneven_vectors_and_gaps(spark):
+    """One vector of each key is shuffled, not one row per entry; lengths may differ and entries may be null."""
+    rows = [("a", 1.0, [1.0, 2.0]), ("a", 3.0, [5.0, None, 7.0]), ("b", 2.0, [None]), ("c", None, [4.0]), ("c", 2.0, [8.0])] + [("d", 1.0, [float(i)]) for i in range(100)]
+    got = {r.k: r.vector for r in G.pool_vectors(spark.createDataFrame(rows, "k string, w double, vector array<double>").repartition(5), weight="w", key="k").collect()}
+    assert got == {"a": [4.0, 0.5, 7.0], "b": [None], "c": [8.0], "d": [49.5]}
+    plan = G.pool_vectors(spark.createDataFrame(rows, "k string, w double, vector array<double>"), weight="w", key="k")._jdf.queryExecution().toString()
+    assert "posexplode" not in plan
